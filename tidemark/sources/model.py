@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
 
-@dataclass(frozen=True)
 class Sources:
     """Raw tables under the column names the operators use.
 
@@ -25,22 +24,39 @@ class Sources:
     feature_eav, city_eav  user_id, three_class_name, feature_name, feature_value
     city_key        city_key, parent_province_name
     access_channel  user_id, three_class_name, feature_value
+
+    A table is opened when first read, so a job only touches the tables it needs.
     """
 
-    app_traffic: DataFrame
-    web_traffic: DataFrame
-    calls: DataFrame
-    robot_calls: DataFrame
-    wecom_chat: DataFrame
-    service_chat: DataFrame
-    coupons: DataFrame
-    product_rating: DataFrame
-    prd_route: DataFrame
-    route_dim: DataFrame
-    label_orders: DataFrame
-    history_orders: DataFrame
-    cust_attribute: DataFrame
-    feature_eav: DataFrame
-    city_eav: DataFrame
-    city_key: DataFrame
-    access_channel: DataFrame
+    NAMES = (
+        "app_traffic",
+        "web_traffic",
+        "calls",
+        "robot_calls",
+        "wecom_chat",
+        "service_chat",
+        "coupons",
+        "product_rating",
+        "prd_route",
+        "route_dim",
+        "label_orders",
+        "history_orders",
+        "cust_attribute",
+        "feature_eav",
+        "city_eav",
+        "city_key",
+        "access_channel",
+    )
+
+    def __init__(self, **tables: Callable[[], DataFrame]):
+        unknown, missing = set(tables) - set(self.NAMES), set(self.NAMES) - set(tables)
+        if unknown or missing:
+            raise ValueError(f"unknown tables {sorted(unknown)}, missing tables {sorted(missing)}")
+        self._tables = tables
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in type(self).NAMES:
+            raise AttributeError(name)
+        table = self._tables[name]()
+        setattr(self, name, table)
+        return table

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,9 +14,8 @@ EVENT_SHIFT_DAYS = 9315
 CHAT_EPOCH = date(1998, 7, 1)
 
 
-def _events(spark: SparkSession, folder: str, event_type: str) -> DataFrame:
-    raw = spark.read.parquet(f"{folder}/events.parquet").filter(F.col("event_type") == event_type)
-    return raw.select(
+def _events(events: DataFrame, event_type: str) -> DataFrame:
+    return events.filter(F.col("event_type") == event_type).select(
         "event_id",
         "user_id",
         F.date_sub(F.col("ts").cast("date"), EVENT_SHIFT_DAYS).alias("op_date"),
@@ -106,6 +106,18 @@ def _product_rating(events: DataFrame) -> DataFrame:
     )
 
 
+def _coupons(events: DataFrame) -> DataFrame:
+    return events.select(
+        F.col("user_id").alias("cust_id"), "op_date", _flag(F.col("k") % 2 == 0).alias("collect_coupons_status")
+    )
+
+
+def _prd_route(part: DataFrame) -> DataFrame:
+    return part.select(
+        F.col("p_partkey").alias("route_id"), F.col("p_retailprice").cast("decimal(18,2)").alias("lowest_price")
+    )
+
+
 def _route_dim(part: DataFrame) -> DataFrame:
     kind = F.col("p_type")
     return part.select(
@@ -200,32 +212,37 @@ def _access_channel(customer: DataFrame) -> DataFrame:
 
 
 def standin_sources(spark: SparkSession, folder: str) -> Sources:
+    @cache
     def table(name: str) -> DataFrame:
         return spark.read.parquet(f"{folder}/{name}.parquet")
 
-    purchases = _events(spark, folder, "purchase")
-    order_detail = _order_detail(table("orders"), table("lineitem"))
-    eav = _feature_eav(table("customer"), table("nation"))
+    def events(event_type: str) -> DataFrame:
+        return _events(table("events"), event_type)
+
+    @cache
+    def order_detail() -> DataFrame:
+        return _order_detail(table("orders"), table("lineitem"))
+
+    @cache
+    def eav() -> DataFrame:
+        return _feature_eav(table("customer"), table("nation"))
+
     return Sources(
-        app_traffic=_traffic(_events(spark, folder, "click")),
-        web_traffic=_traffic(_events(spark, folder, "view")),
-        calls=_calls(_events(spark, folder, "error")),
-        robot_calls=_robot_calls(_events(spark, folder, "signup")),
-        wecom_chat=_wecom_chat(table("conversations")),
-        service_chat=_service_chat(table("documents")),
-        coupons=purchases.select(
-            F.col("user_id").alias("cust_id"), "op_date", _flag(F.col("k") % 2 == 0).alias("collect_coupons_status")
-        ),
-        product_rating=_product_rating(purchases),
-        prd_route=table("part").select(
-            F.col("p_partkey").alias("route_id"), F.col("p_retailprice").cast("decimal(18,2)").alias("lowest_price")
-        ),
-        route_dim=_route_dim(table("part")),
+        app_traffic=lambda: _traffic(events("click")),
+        web_traffic=lambda: _traffic(events("view")),
+        calls=lambda: _calls(events("error")),
+        robot_calls=lambda: _robot_calls(events("signup")),
+        wecom_chat=lambda: _wecom_chat(table("conversations")),
+        service_chat=lambda: _service_chat(table("documents")),
+        coupons=lambda: _coupons(events("purchase")),
+        product_rating=lambda: _product_rating(events("purchase")),
+        prd_route=lambda: _prd_route(table("part")),
+        route_dim=lambda: _route_dim(table("part")),
         label_orders=order_detail,
         history_orders=order_detail,
-        cust_attribute=_cust_attribute(table("customer")),
+        cust_attribute=lambda: _cust_attribute(table("customer")),
         feature_eav=eav,
         city_eav=eav,
-        city_key=_city_key(table("nation"), table("region")),
-        access_channel=_access_channel(table("customer")),
+        city_key=lambda: _city_key(table("nation"), table("region")),
+        access_channel=lambda: _access_channel(table("customer")),
     )
