@@ -6,7 +6,7 @@ rows and applied unchanged to any later cohort.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml.feature import SQLTransformer
@@ -127,8 +127,11 @@ def fit_prep(
     imputed: Sequence[str] = IMPUTED,
     categorical: Sequence[str] = CATEGORICAL,
     keys: Sequence[str] = KEYS,
+    declared: Mapping[str, Sequence[int]] | None = None,
 ) -> PrepModel:
-    """One aggregate over all numeric columns and one distinct over all categories.
+    """Categories are the values seen in `train`, unless `declared` for a column.
+
+    One aggregate over all numeric columns and one distinct over all categories.
 
     Filling a column with its mean leaves the mean as it is and shrinks the population deviation by
     sqrt(known / all), so no second pass over the filled column is needed. A column with one value
@@ -149,7 +152,10 @@ def fit_prep(
         centers[name] = low if constant else mean
         known = row[f"{name}|n"] / row["n"] if name in imputed and row["n"] else 1.0
         scales[name] = 1.0 if constant or mean is None else row[f"{name}|std"] * known**0.5
-    return PrepModel(means, _categories(train, categorical), centers, scales, tuple(keys))
+    declared = declared or {}
+    seen = _categories(train, [name for name in categorical if name not in declared])
+    categories = {name: sorted(declared.get(name) or seen[name]) for name in categorical}
+    return PrepModel(means, categories, centers, scales, tuple(keys))
 
 
 def hash_split(df: DataFrame, id_column: str, test_percent: int = 20, seed: int = 42) -> DataFrame:
