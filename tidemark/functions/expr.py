@@ -34,10 +34,14 @@ def recency_flag(day: Column, anchor: Column, lookback_days: int) -> Column:
     return F.when(day.between(first, anchor), 1).when(day < first, 2).otherwise(0)
 
 
-def ratio(numerator: Column, denominator: Column, scale: float = 1.0, digits: int = 4) -> Column:
-    """Rounded quotient as a double; null when the denominator is zero."""
-    quotient = F.try_divide(numerator.cast("double"), denominator.cast("double"))
-    return F.round(quotient if scale == 1.0 else quotient * F.lit(scale), digits)
+def ratio(total: Column, count: Column, scale: int = 1, digits: int = 4) -> Column:
+    """`scale` * total / count, rounded half up, as a double; null when the count is zero.
+
+    The division is done in decimals: a quotient such as 905.22125 has no exact double, and rounding the
+    nearest one may go down. `total` is a whole number or an amount with two decimals.
+    """
+    exact = F.try_divide((total * scale).cast("decimal(24,2)"), count.cast("decimal(20,0)"))
+    return F.round(exact, digits).cast("double")
 
 
 def mean_of(total: Column, count: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.expr import mean_of, or_zero, ratio, sum_if
+from tidemark.functions.expr import or_zero, ratio, sum_if
 from tidemark.functions.joins import left_join_sparse_key
 from tidemark.operators.browsing import AMOUNTS
 
@@ -108,7 +108,6 @@ def browsing_features(product_days: DataFrame, weights: DataFrame, coupons: Data
 
 def _browsing_columns() -> list[Column]:
     c = F.col
-    satisfaction = F.try_divide(c("f_satisfaction_sum") / F.lit(1000000.0), c("f_satisfaction_n").cast("double"))
     values = [
         c("days"),
         c("traces"),
@@ -121,14 +120,14 @@ def _browsing_columns() -> list[Column]:
         c("bookings"),
         c("searches"),
         c("vacation_searches"),
-        F.round(mean_of(c("price_sum"), c("price_n")), 4),
-        F.round(mean_of(c("vac_price_sum"), c("vac_price_n")), 4),
+        ratio(c("price_sum"), c("price_n")),
+        ratio(c("vac_price_sum"), c("vac_price_n")),
         c("vacation_products"),
         c("single_products"),
         c("coupon_days"),
-        F.round(satisfaction, 4),
+        ratio(c("f_satisfaction_sum"), c("f_satisfaction_n") * 1000000),
         c("grade"),
-        *[F.round(mean_of(c(f"{a}_sum"), c(f"{a}_n")), 4) for a in AMOUNTS],
+        *[ratio(c(f"{a}_sum"), c(f"{a}_n")) for a in AMOUNTS],
     ]
     return [value.alias(name) for name, value in zip(BROWSING, values, strict=True)]
 
@@ -191,12 +190,12 @@ def communication_features(contact_days: DataFrame) -> DataFrame:
     )
     contacts = c("ch1") + c("ch2") + c("ch3") + c("ch4")
     channels = [F.when(c(f"ch{n}") > 0, 1).otherwise(0) for n in (1, 2, 3, 4)]
-    completing = F.when(c("day_calls") != 0, ratio(c("calls"), c("day_calls"), 100.0)).otherwise(0.0)
+    completing = F.when(c("day_calls") != 0, ratio(c("calls"), c("day_calls"), 100)).otherwise(0.0)
     values = [
         c("days"),
         contacts,
         ratio(contacts, c("days")),
-        *[ratio(c(f"ch{n}"), contacts, 100.0) for n in (1, 2, 3, 4)],
+        *[ratio(c(f"ch{n}"), contacts, 100) for n in (1, 2, 3, 4)],
         channels[0] + channels[1] + channels[2] + channels[3],
         c("time"),
         ratio(c("time"), c("days")),
@@ -204,11 +203,11 @@ def communication_features(contact_days: DataFrame) -> DataFrame:
         c("calls"),
         ratio(c("calls"), c("call_days")),
         c("active_calls"),
-        ratio(c("active_calls"), c("calls"), 100.0),
+        ratio(c("active_calls"), c("calls"), 100),
         c("chats"),
         ratio(c("chats"), c("chat_days")),
         c("active_chats"),
-        ratio(c("active_chats"), c("chats"), 100.0),
+        ratio(c("active_chats"), c("chats"), 100),
         c("vac"),
         c("single"),
     ]

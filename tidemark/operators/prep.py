@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import Vocabulary
-from tidemark.functions.expr import hash_number, row_hash
+from tidemark.functions.expr import hash_number, ratio, row_hash
 from tidemark.schema import CATEGORICAL, IMPUTED, KEYS, NUMERIC
 
 MAX_CATEGORIES = 1000
@@ -26,8 +26,7 @@ def label_distribution(df: DataFrame, label: str) -> DataFrame:
         F.count(F.when(F.col(label) == 0, 1)).alias("negatives"),
         F.count(F.when(F.col(label) == 1, 1)).alias("positives"),
     )
-    ratio = F.round(F.try_divide(F.col("negatives").cast("double"), F.col("positives").cast("double")), 4)
-    return counts.withColumn("negatives_per_positive", ratio)
+    return counts.withColumn("negatives_per_positive", ratio(F.col("negatives"), F.col("positives")))
 
 
 def encode_ordinals(df: DataFrame, words: Vocabulary) -> DataFrame:
