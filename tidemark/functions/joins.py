@@ -20,13 +20,17 @@ def left_join_sparse_key(left: DataFrame, right: DataFrame, key: str, slots: int
     return slotted.join(target.filter(F.col(key).isNotNull()), [key, "_slot"], "left").drop("_slot")
 
 
-def keep_members(rows: DataFrame, members: DataFrame, key: str, size: int | None = None) -> DataFrame:
-    """Rows whose key is in `members` (unique on the key).
+def keep_members(rows: DataFrame, members: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is in `members`; the optimizer chooses the join."""
+    return rows.join(members.select(F.col(members.columns[0]).alias(key)), key, "left_semi")
 
-    `size` is the counted number of members. Below the bound their ids are broadcast and rows are
-    dropped before any shuffle; above it, or uncounted, the join strategy is left to the optimizer.
+
+def drop_strangers(rows: DataFrame, members: DataFrame, key: str, size: int | None) -> DataFrame:
+    """The same as an early filter, for rows that are joined to `members` later anyway.
+
+    `size` is the counted number of members. Below the bound their ids are broadcast, and rows are
+    dropped before any work or shuffle; otherwise the rows stay for the later join.
     """
-    ids = members.select(F.col(members.columns[0]).alias(key))
-    if size is not None and size <= BROADCAST_ROWS:
-        ids = F.broadcast(ids)
-    return rows.join(ids, key, "left_semi")
+    if size is None or size > BROADCAST_ROWS:
+        return rows
+    return rows.join(F.broadcast(members.select(F.col(members.columns[0]).alias(key))), key, "left_semi")

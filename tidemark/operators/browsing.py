@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import FeatureConfig, Vocabulary
 from tidemark.functions.expr import or_zero, recency_flag, search_intent
-from tidemark.functions.joins import keep_members, left_join_sparse_key
+from tidemark.functions.joins import drop_strangers, keep_members, left_join_sparse_key
 from tidemark.operators.orders import CLASS, class_weights, product_classes
 from tidemark.sources.model import Sources
 
@@ -23,27 +23,22 @@ AMOUNTS = ("f_remark_amount", "f_essence_amount", "f_coupon_amount", "f_money_am
 RATING = ("f_satisfaction", "f_comp_grade_level", *AMOUNTS)
 
 
-def traffic_union(
-    app: DataFrame,
-    web: DataFrame,
-    start: date,
-    end: date,
-    words: Vocabulary,
-    cohort: DataFrame | None = None,
-    size: int | None = None,
-) -> DataFrame:
-    """Distinct page views of both sites inside the window, with `search_key_type`.
+def _window_views(src: Sources, cfg: FeatureConfig) -> DataFrame:
+    rows = src.app_traffic.unionByName(src.web_traffic)
+    inside = rows.filter(F.col("op_date").between(cfg.behavior_start, cfg.behavior_end))
+    return inside.select(F.col("vt_mapuid").alias("cust_id"), F.col("op_date").alias("operate_date"), *VIEW)
 
-    `size`, the counted cohort, allows the ids to be broadcast when they are few.
-    """
-    rows = app.unionByName(web).filter(F.col("op_date").between(start, end))
-    views = rows.select(F.col("vt_mapuid").alias("cust_id"), F.col("op_date").alias("operate_date"), *VIEW)
-    if cohort is not None:
-        views = keep_members(views, cohort, "cust_id", size)
+
+def _distinct_views(views: DataFrame, words: Vocabulary) -> DataFrame:
     intent = search_intent(F.col("search_key"), words.single_search_words)
     return views.distinct().withColumn("search_key_type", intent)
 
 
+def traffic_union(cohort: DataFrame, src: Sources, cfg: FeatureConfig) -> DataFrame:
+    """Distinct page views of both sites by cohort customers in the window, with `search_key_type`."""
+    return _distinct_views(keep_members(_window_views(src, cfg), cohort, "cust_id"), cfg.words)
+
+
 def latest_product_rating(rating: DataFrame, ties: bool = True) -> DataFrame:
     """The rows of each product with its newest update time; ties are kept unless asked otherwise.
 
@@ -76,17 +71,13 @@ def coupon_match(views: DataFrame, days: DataFrame) -> DataFrame:
     return joined.withColumn("collect_coupons_status", or_zero(F.col("collect_coupons_status")))
 
 
-def browsing_facts(
-    cohort: DataFrame, src: Sources, cfg: FeatureConfig, size: int | None = None, rating_ties: bool = True
-) -> DataFrame:
+def browsing_facts(cohort: DataFrame, src: Sources, cfg: FeatureConfig, rating_ties: bool = True) -> DataFrame:
     """Cohort x page views x price x class x coupon x rating; customers without views keep one row.
 
     Classes join by route only, so a route with two classes doubles its views, unless
     `cfg.route_city_join` asks for one row per route.
     """
-    views = traffic_union(
-        src.app_traffic, src.web_traffic, cfg.behavior_start, cfg.behavior_end, cfg.words, cohort, size
-    )
+    views = traffic_union(cohort, src, cfg)
     flagged = coupon_match(views, coupon_days(src.coupons, cfg.behavior_start, cfg.behavior_end))
     prices = src.prd_route.select(F.col("route_id").alias("product_id"), "lowest_price").distinct()
     ratings = latest_product_rating(src.product_rating, rating_ties).withColumnRenamed("f_product_id", "product_id")
@@ -97,9 +88,7 @@ def browsing_facts(
     anchor, day = F.col("create_date"), F.col("operate_date")
     # Views are the large side: an inner join lets a heavy customer be split, the others are added after.
     seen = described.join(cohort, "cust_id")
-    traffic = src.app_traffic.unionByName(src.web_traffic)
-    inside = F.col("op_date").between(cfg.behavior_start, cfg.behavior_end)
-    viewers = traffic.filter(inside).select(F.col("vt_mapuid").alias("cust_id")).distinct()
+    viewers = _window_views(src, cfg).select("cust_id").distinct()
     rows = seen.unionByName(cohort.join(viewers, "cust_id", "left_anti"), allowMissingColumns=True)
     return rows.select(
         "cust_id",
@@ -126,11 +115,12 @@ def _route_classes(src: Sources, cfg: FeatureConfig) -> DataFrame:
 def product_day_views(
     cohort: DataFrame, src: Sources, cfg: FeatureConfig, size: int | None = None
 ) -> DataFrame:
-    """Views per (customer, day, product) with the anchor and `browsing_flag`."""
-    members = cohort if size is not None else None
-    views = traffic_union(
-        src.app_traffic, src.web_traffic, cfg.behavior_start, cfg.behavior_end, cfg.words, members, size
-    )
+    """Views per (customer, day, product) with the anchor and `browsing_flag`.
+
+    The join to the cohort comes after both reductions, unless the counted cohort is small enough for
+    an early filter.
+    """
+    views = _distinct_views(drop_strangers(_window_views(src, cfg), cohort, "cust_id", size), cfg.words)
     daily = views.groupBy("cust_id", "operate_date", "product_id").agg(
         F.count(F.lit(1)).alias("rows"),
         F.count("visitor_trace").alias("traces"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import FeatureConfig
 from tidemark.functions.expr import contains_any, phone_tail, recency_flag, sum_if
-from tidemark.functions.joins import left_join_sparse_key
+from tidemark.functions.joins import drop_strangers, left_join_sparse_key
 from tidemark.operators.orders import PLACE, class_weights, product_classes
 from tidemark.operators.profile import personal_attributes
 from tidemark.sources.model import Sources
@@ -133,14 +133,21 @@ def cohort_phones(cohort: DataFrame, src: Sources, cfg: FeatureConfig) -> DataFr
     return owned.select(F.col("user_id").alias("cust_id"), "tel_num").join(cohort, "cust_id", "left_semi")
 
 
-def channel_days(cohort: DataFrame, src: Sources, cfg: FeatureConfig) -> list[DataFrame]:
-    """The four daily tables, in the order of `words.channels`. Three still hold every customer."""
+def channel_days(cohort: DataFrame, src: Sources, cfg: FeatureConfig, size: int | None = None) -> list[DataFrame]:
+    """The four daily tables, in the order of `words.channels`.
+
+    Three of them may still hold other customers, which the later join to the cohort drops.
+    """
     classes = product_classes(src.route_dim, cfg.words)
+
+    def near(rows: DataFrame) -> DataFrame:
+        return drop_strangers(rows, cohort, "cust_id", size)
+
     return [
         call_daily(src.calls, cohort_phones(cohort, src, cfg), src.history_orders, classes, cfg),
-        robot_call_daily(src.robot_calls, cfg),
-        wecom_chat_daily(src.wecom_chat, cfg),
-        service_chat_daily(src.service_chat, cfg),
+        robot_call_daily(near(src.robot_calls), cfg),
+        wecom_chat_daily(near(src.wecom_chat), cfg),
+        service_chat_daily(near(src.service_chat), cfg),
     ]
 
 
@@ -159,9 +166,11 @@ def stack_channels(days: Sequence[DataFrame], names: Sequence[str]) -> DataFrame
     return reduce(DataFrame.unionByName, tagged)
 
 
-def communication_days(cohort: DataFrame, src: Sources, cfg: FeatureConfig) -> DataFrame:
+def communication_days(
+    cohort: DataFrame, src: Sources, cfg: FeatureConfig, size: int | None = None
+) -> DataFrame:
     """Customer x day x channel of the cohort with `comm_flag`; customers without contact are absent."""
-    stacked = stack_channels(channel_days(cohort, src, cfg), cfg.words.channels)
+    stacked = stack_channels(channel_days(cohort, src, cfg, size), cfg.words.channels)
     flag = recency_flag(F.col("comm_date"), F.col("create_date"), cfg.lookback_days)
     return stacked.join(cohort, "cust_id").select(
         "cust_id", "create_date", "comm_date", flag.alias("comm_flag"), "channel", "channel_id", *MEASURES

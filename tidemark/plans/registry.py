@@ -32,6 +32,11 @@ class Run:
 
     @cached_property
     def src(self) -> Sources:
+        return standin_sources(self.spark, self.folder, self.cfg)
+
+    @cached_property
+    def whole(self) -> Sources:
+        """The sources without the run's windows."""
         return standin_sources(self.spark, self.folder)
 
     @cached_property
@@ -59,10 +64,7 @@ class Run:
         return browsing.coupon_days(self.src.coupons, self.cfg.behavior_start, self.cfg.behavior_end)
 
     def page_views(self) -> DataFrame:
-        cfg = self.cfg
-        return browsing.traffic_union(
-            self.src.app_traffic, self.src.web_traffic, cfg.behavior_start, cfg.behavior_end, cfg.words, self.cohort
-        )
+        return browsing.traffic_union(self.cohort, self.src, self.cfg)
 
 
 def _integers(df: DataFrame) -> DataFrame:
@@ -84,7 +86,7 @@ def activity_union(run: Run) -> DataFrame:
 
 
 def phone_attribution(run: Run) -> DataFrame:
-    return cohort.attribute_by_phone(run.src.calls, cohort.phones(run.src.feature_eav, run.cfg.words.phone_name))
+    return cohort.attribute_by_phone(run.whole.calls, cohort.phones(run.whole.feature_eav, run.cfg.words.phone_name))
 
 
 def effective_orders(run: Run) -> DataFrame:
@@ -120,7 +122,7 @@ def reachable_channels(run: Run) -> DataFrame:
 
 def searches(run: Run) -> DataFrame:
     intent = search_intent(F.col("search_key"), run.cfg.words.single_search_words)
-    return run.src.app_traffic.select("visitor_trace", "search_key", intent.alias("search_key_type"))
+    return run.whole.app_traffic.select("visitor_trace", "search_key", intent.alias("search_key_type"))
 
 
 def latest_product_rating(run: Run) -> DataFrame:

@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.config import FeatureConfig
 from tidemark.sources.model import Sources
 
 EVENT_SHIFT_DAYS = 9315
 CHAT_EPOCH = date(1998, 7, 1)
 
 
-def _events(events: DataFrame, event_type: str) -> DataFrame:
-    return events.filter(F.col("event_type") == event_type).select(
+def _events(events: DataFrame, event_type: str, days: tuple[date, date] | None = None) -> DataFrame:
+    """Events of one type. `days` repeats the run's window on the raw time, where the scan can use it."""
+    kept = events.filter(F.col("event_type") == event_type)
+    if days is not None:
+        first, last = (day + timedelta(days=EVENT_SHIFT_DAYS) for day in days)
+        kept = kept.filter(F.col("ts").cast("date").between(first, last))
+    return kept.select(
         "event_id",
         "user_id",
         F.date_sub(F.col("ts").cast("date"), EVENT_SHIFT_DAYS).alias("op_date"),
@@ -171,8 +177,8 @@ def _cust_attribute(customer: DataFrame) -> DataFrame:
     )
 
 
-def _feature_eav(customer: DataFrame, nation: DataFrame) -> DataFrame:
-    """Every attribute of a customer in one pass, as an exploded array of entries."""
+def _feature_eav(customer: DataFrame) -> DataFrame:
+    """Personal attributes of a customer in one pass, as an exploded array of entries."""
     key = F.col("c_custkey")
     band = (
         F.when(key % 60 < 8, "16-25").when(key % 60 < 18, "26-35").when(key % 60 < 28, "36-45").otherwise("46+")
@@ -190,13 +196,21 @@ def _feature_eav(customer: DataFrame, nation: DataFrame) -> DataFrame:
         entry(key % 9 != 4, "AGE", F.lit("age"), (key % 60 + 18).cast("string")),
         entry(key % 9 != 4, "AGE_GROUP", band, F.lit("g")),
         entry(key.isNotNull(), "PHONE", F.lit("phone"), phone),
-        entry(F.col("n_name").isNotNull(), "CITY", F.col("n_name"), F.col("c_nationkey").cast("string")),
     )
-    homes = customer.join(nation, F.col("n_nationkey") == F.col("c_nationkey"), "left")
-    rows = homes.select(key.alias("user_id"), F.explode(F.array_compact(entries)).alias("e"))
+    rows = customer.select(key.alias("user_id"), F.explode(F.array_compact(entries)).alias("e"))
     return rows.select("user_id", "e.three_class_name", "e.feature_name", "e.feature_value")
 
 
+def _city_eav(customer: DataFrame, nation: DataFrame) -> DataFrame:
+    homes = customer.join(nation, F.col("n_nationkey") == F.col("c_nationkey"))
+    return homes.select(
+        F.col("c_custkey").alias("user_id"),
+        F.lit("CITY").alias("three_class_name"),
+        F.col("n_name").alias("feature_name"),
+        F.col("c_nationkey").cast("string").alias("feature_value"),
+    )
+
+
 def _city_key(nation: DataFrame, region: DataFrame) -> DataFrame:
     return nation.join(region, F.col("r_regionkey") == F.col("n_regionkey")).select(
         F.col("n_nationkey").cast("string").alias("city_key"), F.col("r_name").alias("parent_province_name")
@@ -211,22 +225,21 @@ def _access_channel(customer: DataFrame) -> DataFrame:
     )
 
 
-def standin_sources(spark: SparkSession, folder: str) -> Sources:
+def standin_sources(spark: SparkSession, folder: str, cfg: FeatureConfig | None = None) -> Sources:
+    """All sources of a folder; with a config, the event channels are read for its windows only."""
+    days = cfg and (min(cfg.activity_start, cfg.behavior_start), max(cfg.activity_end, cfg.behavior_end))
+
     @cache
     def table(name: str) -> DataFrame:
         return spark.read.parquet(f"{folder}/{name}.parquet")
 
     def events(event_type: str) -> DataFrame:
-        return _events(table("events"), event_type)
+        return _events(table("events"), event_type, days)
 
     @cache
     def order_detail() -> DataFrame:
         return _order_detail(table("orders"), table("lineitem"))
 
-    @cache
-    def eav() -> DataFrame:
-        return _feature_eav(table("customer"), table("nation"))
-
     return Sources(
         app_traffic=lambda: _traffic(events("click")),
         web_traffic=lambda: _traffic(events("view")),
@@ -235,14 +248,14 @@ def standin_sources(spark: SparkSession, folder: str) -> Sources:
         wecom_chat=lambda: _wecom_chat(table("conversations")),
         service_chat=lambda: _service_chat(table("documents")),
         coupons=lambda: _coupons(events("purchase")),
-        product_rating=lambda: _product_rating(events("purchase")),
+        product_rating=lambda: _product_rating(_events(table("events"), "purchase")),
         prd_route=lambda: _prd_route(table("part")),
         route_dim=lambda: _route_dim(table("part")),
         label_orders=order_detail,
         history_orders=order_detail,
         cust_attribute=lambda: _cust_attribute(table("customer")),
-        feature_eav=eav,
-        city_eav=eav,
+        feature_eav=lambda: _feature_eav(table("customer")),
+        city_eav=lambda: _city_eav(table("customer"), table("nation")),
         city_key=lambda: _city_key(table("nation"), table("region")),
         access_channel=lambda: _access_channel(table("customer")),
     )
