@@ -112,6 +112,8 @@ class PrepModel:
 
 def _categories(df: DataFrame, names: Sequence[str]) -> dict[str, list[int]]:
     """Sorted distinct values per column, read in one pass; far too many values are an error."""
+    if not names:
+        return {}
     pairs = F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("bigint").alias("value")) for n in names])
     found = df.select(F.explode(pairs).alias("p")).select("p.name", "p.value").filter("value is not null").distinct()
     rows = found.limit(MAX_CATEGORIES + 1).collect()
