@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 2_000_000
 
 
-def left_join_sparse_key(left: DataFrame, right: DataFrame, key: str, slots: int = 256) -> DataFrame:
+def left_join_sparse_key(left: DataFrame, right: DataFrame, keys: str | Sequence[str], slots: int = 256) -> DataFrame:
     """Left join in which rows with a null key are spread over `slots` partitions.
 
     They match nothing, yet a plain left join would hash them all to one task.
     """
-    missing = F.col(key).isNull()
-    spread = F.pmod(F.xxhash64(*[c for c in left.columns if c != key]), F.lit(slots)) + 1
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    missing = reduce(or_, [F.col(key).isNull() for key in keys])
+    rest = [c for c in left.columns if c not in keys]
+    spread = F.pmod(F.xxhash64(*rest), F.lit(slots)) + 1
     slotted = left.withColumn("_slot", F.when(missing, spread).otherwise(F.lit(0).cast("bigint")))
-    target = right.withColumn("_slot", F.when(missing, F.lit(1)).otherwise(F.lit(0)).cast("bigint"))
-    return slotted.join(target.filter(F.col(key).isNotNull()), [key, "_slot"], "left").drop("_slot")
+    # Always 0, but computed: a constant would be folded out of the join keys, and with it the spread.
+    target = right.withColumn("_slot", F.pmod(F.xxhash64(*keys), F.lit(1)))
+    return slotted.join(target, [*keys, "_slot"], "left").drop("_slot")
 
 
 def keep_members(rows: DataFrame, members: DataFrame, key: str) -> DataFrame:

@@ -11,7 +11,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 Stage = Callable[[DataFrame, str], DataFrame]
@@ -42,6 +44,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_together(keep: Stage, **tables: DataFrame) -> list[DataFrame]:
+    """Stage independent tables at the same time, so that one job's tail does not idle the cluster."""
+    with ThreadPoolExecutor(len(tables)) as pool:
+        started = [pool.submit(inheritable_thread_target(keep), df, name) for name, df in tables.items()]
+        return [job.result() for job in started]
+
+
 def no_stage(df: DataFrame, name: str) -> DataFrame:
     """Keep the plan lazy."""
     return df

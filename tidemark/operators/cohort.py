@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import FeatureConfig
 from tidemark.functions.expr import phone_tail
+from tidemark.functions.joins import left_join_sparse_key
 from tidemark.sources.model import Sources
 
 
@@ -26,7 +27,7 @@ def attribute_by_phone(calls: DataFrame, phone_book: DataFrame, digits: int = 11
     A number shared by several users yields one row for each of them.
     """
     numbered = calls.withColumn("tel_num", phone_tail(F.col("cust_tel_no"), digits))
-    return numbered.join(phone_book, "tel_num", "left")
+    return left_join_sparse_key(numbered, phone_book, "tel_num")
 
 
 def _call_days(src: Sources, cfg: FeatureConfig) -> DataFrame:

@@ -23,7 +23,7 @@ def order_mentions(orders: DataFrame, classes: DataFrame, cfg: FeatureConfig) ->
     lines = orders.select("order_id", "create_time", *PLACE)
     if cfg.call_orders_since is not None:
         lines = lines.filter(F.col("create_time") >= F.lit(cfg.call_orders_since))
-    weighted = lines.join(class_weights(classes, cfg.words), PLACE, "left")
+    weighted = left_join_sparse_key(lines, class_weights(classes, cfg.words), PLACE)
     return weighted.groupBy("order_id").agg(
         F.sum(F.coalesce(F.col("n_classes"), F.lit(1))).alias("order_rows"),
         F.sum(F.coalesce(F.col("n_vacation"), F.lit(0))).alias("vacation_rows"),

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import FeatureConfig, Vocabulary
 from tidemark.functions.expr import mean_of, or_zero
+from tidemark.functions.joins import left_join_sparse_key
 
 PLACE = ["route_id", "book_city"]
 CLASS = "producttype_class_name"
@@ -90,7 +91,7 @@ def trailing_orders(cohort: DataFrame, orders: DataFrame, classes: DataFrame, cf
     near = orders.filter(reach[0] | reach[1] | reach[2]).select(
         "cust_id", "order_id", *PLACE, "travel_sign_amount", "satisfaction", *days
     )
-    weighted = near.join(cohort, "cust_id").join(class_weights(classes, cfg.words), PLACE, "left")
+    weighted = left_join_sparse_key(near.join(cohort, "cust_id"), class_weights(classes, cfg.words), PLACE)
 
     anchor = F.col("create_date")
     rows = F.coalesce(F.col("n_classes"), F.lit(1))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import FeatureConfig
-from tidemark.functions.staging import Stage, stage
+from tidemark.functions.staging import Stage, stage, stage_together
 from tidemark.operators import behavior, browsing, communication, orders, profile
 from tidemark.operators.cohort import cohort as build_cohort
 from tidemark.schema import COLUMNS, FEATURE_SCHEMA
@@ -40,8 +40,11 @@ def history_table(cohort: DataFrame, src: Sources, cfg: FeatureConfig) -> DataFr
 
 def behavior_table(cohort: Cohort, src: Sources, cfg: FeatureConfig, keep: Stage = stage) -> DataFrame:
     """Both fact tables are read by two steps each, so they are staged."""
-    views = keep(browsing.product_day_views(cohort.rows, src, cfg, cohort.size), "product_days")
-    contacts = keep(communication.communication_days(cohort.rows, src, cfg, cohort.size), "contact_days")
+    views, contacts = stage_together(
+        keep,
+        product_days=browsing.product_day_views(cohort.rows, src, cfg, cohort.size),
+        contact_days=communication.communication_days(cohort.rows, src, cfg, cohort.size),
+    )
     coupons = browsing.coupon_days(src.coupons, cfg.behavior_start, cfg.behavior_end)
     return behavior.behavior_features(
         cohort.rows,
