@@ -31,6 +31,20 @@ def test_neighbors_are_exact(spark, chunk, pivots):
     assert found == brute_force(points, 5)
 
 
+def test_neighbors_when_only_counted(spark):
+    points = stage(spark.range(60).select("id", F.array(F.col("id").cast("double")).alias("x")), "points")
+    assert nearest_neighbors(points, 3, 20).count() == 60
+
+
+def test_distance_function_travels_by_value():
+    """Workers need not have this package installed."""
+    from pyspark import cloudpickle
+    from tidemark.operators.neighbors import distance_function
+
+    text = cloudpickle.dumps(distance_function())
+    assert b"distance_function" in text and b"_make_function" in text
+
+
 def test_neighbors_of_few(spark):
     df = stage(spark.createDataFrame([(1, [0.0]), (2, [5.0])], "id long, x array<double>"), "points")
     assert {r["id"]: r["neighbors"] for r in nearest_neighbors(df, 5).collect()} == {1: [2], 2: [1]}

@@ -23,7 +23,7 @@ def left_join_sparse_key(left: DataFrame, right: DataFrame, keys: str | Sequence
     spread = F.pmod(F.xxhash64(*rest), F.lit(slots)) + 1
     slotted = left.withColumn("_slot", F.when(missing, spread).otherwise(F.lit(0).cast("bigint")))
     # Always 0, but computed: a constant would be folded out of the join keys, and with it the spread.
-    target = right.withColumn("_slot", F.pmod(F.xxhash64(*keys), F.lit(1)))
+    target = right.filter(~missing).withColumn("_slot", F.pmod(F.xxhash64(*keys), F.lit(1)))
     return slotted.join(target, [*keys, "_slot"], "left").drop("_slot")
 
 

@@ -47,7 +47,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 def stage_together(keep: Stage, **tables: DataFrame) -> list[DataFrame]:
     """Stage independent tables at the same time, so that one job's tail does not idle the cluster."""
     with ThreadPoolExecutor(len(tables)) as pool:
-        started = [pool.submit(inheritable_thread_target(keep), df, name) for name, df in tables.items()]
+        started = [pool.submit(inheritable_thread_target(df.sparkSession)(keep), df, name) for name, df in tables.items()]
         return [job.result() for job in started]
 
 

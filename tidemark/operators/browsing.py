@@ -35,8 +35,12 @@ def _distinct_views(views: DataFrame, words: Vocabulary) -> DataFrame:
 
 
 def traffic_union(cohort: DataFrame, src: Sources, cfg: FeatureConfig) -> DataFrame:
-    """Distinct page views of both sites by cohort customers in the window, with `search_key_type`."""
-    return _distinct_views(keep_members(_window_views(src, cfg), cohort, "cust_id"), cfg.words)
+    """Distinct page views of both sites by cohort customers in the window, with `search_key_type`.
+
+    Rows become distinct first, spread by all their columns. The other order would let the distinct
+    reuse the join's partitioning by customer and keep a heavy customer in one task.
+    """
+    return keep_members(_distinct_views(_window_views(src, cfg), cfg.words), cohort, "cust_id")
 
 
 def latest_product_rating(rating: DataFrame, ties: bool = True) -> DataFrame:
@@ -77,19 +81,18 @@ def browsing_facts(cohort: DataFrame, src: Sources, cfg: FeatureConfig, rating_t
     Classes join by route only, so a route with two classes doubles its views, unless
     `cfg.route_city_join` asks for one row per route.
     """
-    views = traffic_union(cohort, src, cfg)
+    # Views are the large side: an inner join lets a heavy customer be split, the others are added after.
+    views = _distinct_views(_window_views(src, cfg), cfg.words).join(cohort, "cust_id")
     flagged = coupon_match(views, coupon_days(src.coupons, cfg.behavior_start, cfg.behavior_end))
     prices = src.prd_route.select(F.col("route_id").alias("product_id"), "lowest_price").distinct()
     ratings = latest_product_rating(src.product_rating, rating_ties).withColumnRenamed("f_product_id", "product_id")
     klass = _route_classes(src, cfg).withColumnRenamed("route_id", "product_id")
-    described = flagged
-    for side in (prices, klass, ratings):
-        described = left_join_sparse_key(described, side, "product_id")
+    # The sides join each other first, so the views move once. A side without the product adds nulls.
+    products = prices.join(klass, "product_id", "full").join(ratings, "product_id", "full")
+    described = left_join_sparse_key(flagged, products, "product_id")
     anchor, day = F.col("create_date"), F.col("operate_date")
-    # Views are the large side: an inner join lets a heavy customer be split, the others are added after.
-    seen = described.join(cohort, "cust_id")
     viewers = _window_views(src, cfg).select("cust_id").distinct()
-    rows = seen.unionByName(cohort.join(viewers, "cust_id", "left_anti"), allowMissingColumns=True)
+    rows = described.unionByName(cohort.join(viewers, "cust_id", "left_anti"), allowMissingColumns=True)
     return rows.select(
         "cust_id",
         "create_date",

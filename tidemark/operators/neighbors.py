@@ -9,7 +9,7 @@ pair of chunks returns only its k best per row.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,17 +18,29 @@ from pyspark.sql import functions as F
 
 CHUNK_ROWS = 2000
 MAX_PIVOTS = 256
+# Rows whose distances are summed at a time, so that the running sums stay in cache.
+STRIP_ROWS = 64
 # Relative allowance for rounding in the pruning bounds.
 SLACK = 1e-9
 
 
-def distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Euclidean distances, summed column by column: equal for any cut into blocks."""
-    total = np.zeros((len(left), len(right)))
-    for column in range(left.shape[1]):
-        difference = left[:, column, None] - right[None, :, column]
-        total += difference * difference
-    return np.sqrt(total)
+def distance_function(strip_rows: int = STRIP_ROWS) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Euclidean distances between two sets of rows.
+
+    Sums run column by column, so they are equal for any cut into blocks. Being an inner function it
+    travels to the workers by value and does not need this package installed there.
+    """
+
+    def distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        total = np.zeros((len(left), len(right)))
+        for start in range(0, len(left), strip_rows):
+            rows, strip = left[start : start + strip_rows], total[start : start + strip_rows]
+            for column in range(left.shape[1]):
+                difference = rows[:, column, None] - right[None, :, column]
+                strip += difference * difference
+        return np.sqrt(total)
+
+    return distances
 
 
 def nearest_neighbors(points: DataFrame, k: int, chunk_rows: int = CHUNK_ROWS, pivots: int | None = None) -> DataFrame:
@@ -41,6 +53,7 @@ def nearest_neighbors(points: DataFrame, k: int, chunk_rows: int = CHUNK_ROWS, p
     if pivots is None:
         pivots = min(MAX_PIVOTS, math.ceil(size / chunk_rows))
     seeds = points.orderBy(F.md5(F.col("id").cast("string")), "id").limit(max(1, pivots)).select("x").collect()
+    distances = distance_function()
     centers = np.array([row["x"] for row in seeds], dtype=float).reshape(len(seeds), -1)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -61,7 +74,7 @@ def _cell_bounds(placed: DataFrame, centers: np.ndarray, k: int) -> list[tuple[f
     """
     totals = placed.groupBy("cell").agg(F.max("reach").alias("radius"), F.count(F.lit(1)).alias("rows"))
     known = {row["cell"]: (row["radius"], row["rows"]) for row in totals.collect()}
-    between = distances(centers, centers)
+    between = distance_function()(centers, centers)
     bounds = []
     for cell in range(len(centers)):
         radius, rows = known.get(cell, (0.0, 0))
@@ -92,22 +105,25 @@ def _block_join(placed: DataFrame, bounds: list[tuple[float, int]], k: int, chun
         F.pmod(own_hash, F.element_at(chunks_of, (F.col("cell") + 1).cast("int"))).cast("int").alias("chunk"),
         F.explode(up_to(F.lit(slices))).alias("slice"),
     )
+    # Own names for the second side: with shared ones, an unused output lets pruning drop its columns.
     in_reach = F.filter(
         F.transform("apart", lambda apart, i: F.when(apart <= F.element_at(limit_of, i + 1), i)),
         lambda cell: cell.isNotNull(),
     )
     others = (
         placed.select("id", "x", F.pmod(own_hash, F.lit(slices)).cast("int").alias("slice"), F.explode(in_reach).alias("to"))
-        .select("id", "x", "slice", F.col("to").cast("bigint").alias("cell"))
+        .select(F.col("id").alias("other"), F.col("x").alias("y"), "slice", F.col("to").cast("bigint").alias("cell"))
         .withColumn("chunk", F.explode(up_to(F.element_at(chunks_of, (F.col("cell") + 1).cast("int")))))
     )
 
+    distances = distance_function()
+
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"id": [], "other": [], "distance": []})
-        right = right.sort_values("id")
-        ids, other = left["id"].to_numpy(), right["id"].to_numpy()
-        apart = distances(np.stack(left["x"].to_numpy()), np.stack(right["x"].to_numpy()))
+        right = right.sort_values("other")
+        ids, other = left["id"].to_numpy(), right["other"].to_numpy()
+        apart = distances(np.stack(left["x"].to_numpy()), np.stack(right["y"].to_numpy()))
         apart[ids[:, None] == other[None, :]] = np.inf
         order = np.argsort(apart, axis=1, kind="stable")[:, :k]
         nearest = np.take_along_axis(apart, order, axis=1)

@@ -54,21 +54,38 @@ def _in_days(day: Column, anchor: Column, first: int, last: int) -> Column:
 def future_purchases(
     cohort: DataFrame, orders: DataFrame, classes: DataFrame, cfg: FeatureConfig, horizons: Sequence[int] | None = None
 ) -> DataFrame:
-    """Flags of the cohort customers who order a vacation product after the anchor; others are absent."""
+    """Flags of the cohort customers who order a vacation product after the anchor; others are absent.
+
+    Order lines shrink to distinct (customer, event, day) before they meet the cohort: a customer with
+    very many lines brings at most two rows per calendar day to the join.
+    """
     horizons = tuple(horizons or cfg.label_horizons)
     first, last = cfg.activity_start + timedelta(days=1), cfg.activity_end + timedelta(days=max(horizons))
-    executed, ordered, anchor = F.col("executed_date"), F.col("create_time"), F.col("create_date")
+    executed, ordered = F.col("executed_date"), F.col("create_time")
     vacation = classes.filter(F.col(CLASS) == cfg.words.vacation).select(*PLACE).distinct()
-    # Anchors lie inside the activity window, so constant bounds prune the scan before the join.
+    # Anchors lie inside the activity window, so constant bounds prune the lines first.
     near = orders.filter(executed.between(first, last) | ordered.between(first, last)).select(
         "cust_id", *PLACE, "executed_date", "create_time"
     )
+    events = F.array(
+        F.struct(F.lit("executed").alias("event"), executed.alias("day")),
+        F.struct(F.lit("ordered").alias("event"), ordered.alias("day")),
+    )
+    days = (
+        near.join(vacation, PLACE, "left_semi")
+        .select("cust_id", F.explode(events).alias("e"))
+        .select("cust_id", "e.event", "e.day")
+        .filter(F.col("day").between(first, last))
+        .distinct()
+    )
     flags = [
-        F.max(F.when(_in_days(day, anchor, 1, days), 1).otherwise(0)).alias(f"{name}_flag_{days}")
-        for name, day in (("executed", executed), ("ordered", ordered))
-        for days in horizons
+        F.max(
+            F.when((F.col("event") == event) & _in_days(F.col("day"), F.col("create_date"), 1, span), 1).otherwise(0)
+        ).alias(f"{event}_flag_{span}")
+        for event in ("executed", "ordered")
+        for span in horizons
     ]
-    return near.join(vacation, PLACE, "left_semi").join(cohort, "cust_id").groupBy("cust_id").agg(*flags)
+    return days.join(cohort, "cust_id").groupBy("cust_id").agg(*flags)
 
 
 def future_window_flags(
