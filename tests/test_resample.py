@@ -19,7 +19,7 @@ def brute_force(points: dict[int, list[float]], k: int) -> dict[int, list[int]]:
     return found
 
 
-@pytest.mark.parametrize(("chunk", "pivots"), [(2000, None), (25, 1), (10, 6), (40, 16)])
+@pytest.mark.parametrize(("chunk", "pivots"), [(20000, None), (25, 1), (10, 6), (70, 3)])
 def test_neighbors_are_exact(spark, chunk, pivots):
     generator = np.random.default_rng(7)
     clusters = generator.normal(0, 20, (5, 3))

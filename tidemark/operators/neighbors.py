@@ -16,15 +16,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_ROWS = 2000
+# Larger chunks copy each point less often; a task holds two of them and one strip of distances.
+CHUNK_ROWS = 20000
 MAX_PIVOTS = 256
-# Rows whose distances are summed at a time, so that the running sums stay in cache.
+# Rows whose distances are held at a time: few enough for the sums to stay in cache.
 STRIP_ROWS = 64
 # Relative allowance for rounding in the pruning bounds.
 SLACK = 1e-9
 
 
-def distance_function(strip_rows: int = STRIP_ROWS) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+def distance_function() -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
     """Euclidean distances between two sets of rows.
 
     Sums run column by column, so they are equal for any cut into blocks. Being an inner function it
@@ -33,11 +34,9 @@ def distance_function(strip_rows: int = STRIP_ROWS) -> Callable[[np.ndarray, np.
 
     def distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
         total = np.zeros((len(left), len(right)))
-        for start in range(0, len(left), strip_rows):
-            rows, strip = left[start : start + strip_rows], total[start : start + strip_rows]
-            for column in range(left.shape[1]):
-                difference = rows[:, column, None] - right[None, :, column]
-                strip += difference * difference
+        for column in range(left.shape[1]):
+            difference = left[:, column, None] - right[None, :, column]
+            total += difference * difference
         return np.sqrt(total)
 
     return distances
@@ -105,32 +104,40 @@ def _block_join(placed: DataFrame, bounds: list[tuple[float, int]], k: int, chun
         F.pmod(own_hash, F.element_at(chunks_of, (F.col("cell") + 1).cast("int"))).cast("int").alias("chunk"),
         F.explode(up_to(F.lit(slices))).alias("slice"),
     )
-    # Own names for the second side: with shared ones, an unused output lets pruning drop its columns.
     in_reach = F.filter(
         F.transform("apart", lambda apart, i: F.when(apart <= F.element_at(limit_of, i + 1), i)),
         lambda cell: cell.isNotNull(),
     )
+    # Own names for the second side: with shared ones, an unused output lets pruning drop its columns.
     others = (
         placed.select("id", "x", F.pmod(own_hash, F.lit(slices)).cast("int").alias("slice"), F.explode(in_reach).alias("to"))
         .select(F.col("id").alias("other"), F.col("x").alias("y"), "slice", F.col("to").cast("bigint").alias("cell"))
         .withColumn("chunk", F.explode(up_to(F.element_at(chunks_of, (F.col("cell") + 1).cast("int")))))
     )
 
-    distances = distance_function()
+    distances, strip_rows = distance_function(), STRIP_ROWS
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"id": [], "other": [], "distance": []})
         right = right.sort_values("other")
         ids, other = left["id"].to_numpy(), right["other"].to_numpy()
-        apart = distances(np.stack(left["x"].to_numpy()), np.stack(right["y"].to_numpy()))
-        apart[ids[:, None] == other[None, :]] = np.inf
-        order = np.argsort(apart, axis=1, kind="stable")[:, :k]
-        nearest = np.take_along_axis(apart, order, axis=1)
-        found = pd.DataFrame(
-            {"id": np.repeat(ids, order.shape[1]), "other": other[order].ravel(), "distance": nearest.ravel()}
-        )
-        return found[np.isfinite(found["distance"])]
+        x, y = np.stack(left["x"].to_numpy()), np.stack(right["y"].to_numpy())
+        wanted = min(k, len(other))
+        found = []
+        for start in range(0, len(ids), strip_rows):
+            own = ids[start : start + strip_rows]
+            apart = distances(x[start : start + strip_rows], y)
+            apart[own[:, None] == other[None, :]] = np.inf
+            # All rows up to the k-th distance, then by (distance, id) so that ties are cut alike everywhere.
+            row, column = np.nonzero(apart <= np.partition(apart, wanted - 1, axis=1)[:, wanted - 1 : wanted])
+            near = apart[row, column]
+            order = np.lexsort((column, near, row))
+            row, column, near = row[order], column[order], near[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            kept = (place < k) & np.isfinite(near)
+            found.append(pd.DataFrame({"id": own[row[kept]], "other": other[column[kept]], "distance": near[kept]}))
+        return pd.concat(found)
 
     block = ["cell", "chunk", "slice"]
     candidates = (
