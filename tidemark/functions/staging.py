@@ -49,8 +49,3 @@ def stage_together(keep: Stage, **tables: DataFrame) -> list[DataFrame]:
     with ThreadPoolExecutor(len(tables)) as pool:
         started = [pool.submit(inheritable_thread_target(df.sparkSession)(keep), df, name) for name, df in tables.items()]
         return [job.result() for job in started]
-
-
-def no_stage(df: DataFrame, name: str) -> DataFrame:
-    """Keep the plan lazy."""
-    return df
