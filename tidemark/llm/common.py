@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Rows that a task handles at a time: texts are large, so a whole Arrow batch is cut again.
+# Rows that a task handles at a time: texts are large, so an Arrow batch is cut again.
 SLICE_ROWS = 512
 
 
@@ -18,7 +19,7 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 def remainder(key: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo; null for a null id."""
-    return F.crc32(F.col(key).cast("string").cast("binary")) % modulus
+    return (F.crc32(F.col(key).cast("string").cast("binary")) % modulus).cast("int")
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
@@ -27,13 +28,32 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(start, rows)
 
 
-def map_slices(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = SLICE_ROWS) -> DataFrame:
-    """`mapInArrow` with a function of one bounded slice of rows."""
+def with_arrays(
+    df: DataFrame,
+    text_column: str,
+    start: Callable[[], Callable[[list[str | None]], Sequence[pa.Array]]],
+    made: str,
+    keep: Sequence[str] | None = None,
+    rows: int = SLICE_ROWS,
+) -> DataFrame:
+    """`df` with the columns `made` (a schema string), computed in Arrow batches from the texts.
+
+    `start` runs once in each task and returns the function that maps a slice of texts to arrays, so a
+    task can keep a memory between slices. `keep` names the columns to carry along (default: all). A
+    carried column with the name of a made one is replaced.
+    """
+    fields = T.StructType.fromDDL(made)
+    carried = [c for c in (df.columns if keep is None else keep) if c not in fields.names]
+    inner = [f"_c{i}" for i in range(len(carried))]
+    shown = df.select(*[df[c].alias(i) for c, i in zip(carried, inner)], df[text_column].alias("_text"))
+    schema = T.StructType([T.StructField(i, df.schema[c].dataType) for c, i in zip(carried, inner)] + fields.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        function = start()
         for part in slices(batches, rows):
-            made = function(part)
-            if made is not None:
-                yield made
+            texts = part.column(part.schema.get_field_index("_text")).to_pylist()
+            kept = [part.column(i) for i in range(len(inner))]
+            yield pa.RecordBatch.from_arrays([*kept, *function(texts)], names=[*inner, *fields.names])
 
-    return df.mapInArrow(run, schema)
+    result = shown.mapInArrow(run, schema)
+    return result.select(*[F.col(i).alias(c) for c, i in zip(carried, inner)], *fields.names)

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import sharding
+from tidemark.llm import pieces, sharding
 from tidemark.llm.common import read
 
 SHARDS = 24
+PIECE_MODEL = "piece_bpe_32k.model"
 
 
 def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
@@ -26,6 +28,17 @@ def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    rows = pieces.encode_and_decode(spark, read(spark, folder, "documents"), public_tokenizers.path(PIECE_MODEL), keep=["doc_id"])
+    return rows.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
+    "op8_pieces": op8_pieces,
 }
