@@ -302,10 +302,11 @@ def encode_and_decode(
     on independently, in slices, so repeated and very long texts need no special care; columns named `ids`
     or `decoded` are replaced. A null text counts as empty: its only id is the end id, its decoded text empty.
     """
-    shared = spark.sparkContext.broadcast(load_vocabulary(model_path))
+    shared = spark.sparkContext.broadcast(vars(load_vocabulary(model_path)))
 
     def start() -> Callable:
-        encode, decode = Encoder(shared.value), Decoder(shared.value)
+        vocabulary = Vocabulary(**shared.value)
+        encode, decode = Encoder(vocabulary), Decoder(vocabulary)
 
         def work(texts: list[str | None]) -> list[pa.Array]:
             ids, bounds = encode(texts)
