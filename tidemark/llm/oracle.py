@@ -3,5 +3,36 @@
 from __future__ import annotations
 
 
+OP5 = r"""
+with doc as (
+  select row_number() over () as r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from documents
+), item as (
+  select item_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from benchmark
+), win as (
+  select distinct item_id, least(10, len(w)) as n, array_to_string(list_slice(w, j, j + least(10, len(w)) - 1), ' ') as gram
+  from (select item_id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) as j from item where len(w) > 0)
+), lengths as (select distinct n from win),
+gram as (
+  select r, p, n, array_to_string(list_slice(w, p, p + n - 1), ' ') as gram
+  from (select r, w, n, unnest(range(1, len(w) - n + 2)) as p from doc, lengths where len(w) >= n)
+), met as (select g.r, g.p, g.n, win.item_id from gram g join win using (n, gram)),
+hit as (select r, count(distinct q) as n_hit from (select r, unnest(range(p, p + n)) as q from (select distinct r, p, n from met)) group by r),
+listed as (
+  select r, count(*) as n_items, string_agg(id, ',' order by id) as ids
+  from (select distinct r, cast(item_id as varchar) as id from met) group by r
+)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit,
+       cast(coalesce(n_items, 0) as bigint) as n_items, sha256(coalesce(ids, '')) as items_sha256,
+       coalesce(n_hit, 0) > 0 as contaminated
+from doc left join hit using (r) left join listed using (r)
+"""
+
+
 def llm_sql() -> dict[str, str]:
-    return {}
+    return {"op5_decontamination": OP5}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import pieces, sharding
+from tidemark.llm import decontaminate, pieces, sharding
 from tidemark.llm.common import read
 
 SHARDS = 24
@@ -28,6 +28,20 @@ def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.find_contamination(spark, read(spark, folder, "documents"), read(spark, folder, "benchmark"), keep=["doc_id"])
+    listed = F.array_join(F.array_sort(F.col("item_ids").cast("array<string>")), ",")
+    hit = F.aggregate("hits", F.lit(0).cast("bigint"), lambda total, span: total + span["length"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        hit.alias("n_hit"),
+        F.size("item_ids").cast("bigint").alias("n_items"),
+        F.sha2(listed, 256).alias("items_sha256"),
+        (F.size("hits") > 0).alias("contaminated"),
+    )
+
+
 def op8_pieces(spark: SparkSession, folder: str) -> DataFrame:
     rows = pieces.encode_and_decode(spark, read(spark, folder, "documents"), public_tokenizers.path(PIECE_MODEL), keep=["doc_id"])
     return rows.select(
@@ -40,5 +54,6 @@ def op8_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
+    "op5_decontamination": op5_decontamination,
     "op8_pieces": op8_pieces,
 }
