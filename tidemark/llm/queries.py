@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, pieces, sharding
+from tidemark.llm import decontaminate, pieces, sharding, simhash
+from tidemark.functions.staging import stage
 from tidemark.llm.common import read
 
 SHARDS = 24
@@ -28,6 +29,12 @@ def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    marked = stage(simhash.fingerprints(read(spark, folder, "documents"), keep=["doc_id"]), "marked")
+    groups = simhash.near_duplicate_groups(marked)
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.find_contamination(spark, read(spark, folder, "documents"), read(spark, folder, "benchmark"), keep=["doc_id"])
     listed = F.array_join(F.array_sort(F.col("item_ids").cast("array<string>")), ",")
@@ -54,6 +61,7 @@ def op8_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
+    "op4_simhash": op4_simhash,
     "op5_decontamination": op5_decontamination,
     "op8_pieces": op8_pieces,
 }
