@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, pieces, sharding, simhash
+from tidemark.llm import decontaminate, language, pieces, sharding, simhash
 from tidemark.functions.staging import stage
-from tidemark.llm.common import read
+from tidemark.llm.common import read, remainder
 
 SHARDS = 24
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -49,6 +49,13 @@ def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    profiles = language.learn_profiles(docs.filter(remainder("doc_id", 3) != 1))
+    rows = language.identify(spark, docs, profiles, keep=["doc_id"])
+    return rows.select("doc_id", F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op8_pieces(spark: SparkSession, folder: str) -> DataFrame:
     rows = pieces.encode_and_decode(spark, read(spark, folder, "documents"), public_tokenizers.path(PIECE_MODEL), keep=["doc_id"])
     return rows.select(
@@ -63,5 +70,6 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op4_simhash": op4_simhash,
     "op5_decontamination": op5_decontamination,
+    "op6_language": op6_language,
     "op8_pieces": op8_pieces,
 }
