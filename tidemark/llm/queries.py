@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, language, pieces, sharding, simhash
+from tidemark.llm import decontaminate, language, pieces, sharding, simhash, toxicity
 from tidemark.functions.staging import stage
 from tidemark.llm.common import read, remainder
 
@@ -16,6 +16,13 @@ SHARDS = 24
 PIECE_MODEL = "piece_bpe_32k.model"
 
 
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.learn(spark, docs.filter(remainder("doc_id", 4) != 2), read(spark, folder, "labels"))
+    rows = toxicity.score(spark, docs, model, keep=["doc_id"])
+    return rows.select("doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
     rows = sharding.balanced_shards(sharding.sized(read(spark, folder, "documents")), SHARDS)
     return rows.select(
@@ -67,6 +74,7 @@ def op8_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op3_sharding": op3_sharding,
     "op4_simhash": op4_simhash,
     "op5_decontamination": op5_decontamination,
