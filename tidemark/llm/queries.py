@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, language, pieces, sharding, simhash, toxicity
+from tidemark.llm import decontaminate, html_text, language, pieces, sharding, simhash, toxicity
 from tidemark.functions.staging import stage
 from tidemark.llm.common import read, remainder
 
@@ -73,6 +73,11 @@ def op8_pieces(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    rows = html_text.extract(read(spark, folder, "pages"), keep=["page_id", "url"])
+    return rows.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op3_sharding": op3_sharding,
@@ -80,4 +85,5 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
     "op6_language": op6_language,
     "op8_pieces": op8_pieces,
+    "op9_html_text": op9_html_text,
 }
