@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, html_text, language, pieces, sharding, simhash, toxicity
+from tidemark.llm import decontaminate, embeddings, html_text, language, pieces, sharding, simhash, toxicity
 from tidemark.functions.staging import stage
 from tidemark.llm.common import read, remainder
 
@@ -63,6 +63,10 @@ def op6_language(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op7_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    return embeddings.near_duplicate_vectors(spark, read(spark, folder, "embeddings").select("vec_id", "embedding"))
+
+
 def op8_pieces(spark: SparkSession, folder: str) -> DataFrame:
     rows = pieces.encode_and_decode(spark, read(spark, folder, "documents"), public_tokenizers.path(PIECE_MODEL), keep=["doc_id"])
     return rows.select(
@@ -84,6 +88,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_decontamination": op5_decontamination,
     "op6_language": op6_language,
+    "op7_embeddings": op7_embeddings,
     "op8_pieces": op8_pieces,
     "op9_html_text": op9_html_text,
 }
