@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tidemark.llm.licenses import TEMPLATES
+
 
 OP5 = r"""
 with doc as (
@@ -33,6 +35,81 @@ select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as big
 from doc left join hit using (r) left join listed using (r)
 """
 
+_ORDERS = "".join(
+    f"""
+), part{k} as (
+  select substr(gram, {4 - k}, {k + 1}) as part, sum(accepted) as accepted, sum(rejected) as rejected from counts group by 1
+), context{k} as (
+  select substr(part, 1, {k}) as context, sum(accepted) as na, sum(rejected) as nr,
+         sum(case when accepted > 0 then 1 else 0 end) as ta, sum(case when rejected > 0 then 1 else 0 end) as tr
+  from part{k} group by 1
+), model{k} as (
+  select gram, case when na > 0 then (accepted + ta * pa) / (na + ta) else pa end as pa,
+         case when nr > 0 then (rejected + tr * pr) / (nr + tr) else pr end as pr
+  from {f"model{k - 1}" if k else "(select gram, cast(1 as double) / 36 as pa, cast(1 as double) / 36 as pr from counts)"} m
+  join part{k} on part = substr(gram, {4 - k}, {k + 1}) join context{k} on context = substr(part, 1, {k})"""
+    for k in range(4)
+)
+OP10 = rf"""
+with split as (
+  select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages
+), parsed as (
+  select page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+         coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') as path
+  from split
+), rules (decision, rule_host, rule_path) as (
+  values ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')
+), decided as (
+  select host, path, arg_max(rule_host || rule_path, length(rule_host || rule_path)) as rule,
+         arg_max(decision, length(rule_host || rule_path)) as verdict
+  from (select distinct host, path from parsed) u
+  left join rules on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path)
+  group by host, path
+), spelled as (
+  select host, path, verdict, substr(md5(host || path), 1, 1) in ('0', '1', '2') as held,
+         '^^^' || regexp_replace(translate(host || path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'),
+                                 '[^a-z0./_%~-]', '?', 'g') || '$' as s
+  from decided
+), grams as (
+  select host, path, verdict, held, substr(s, i, 4) as gram from (select *, unnest(range(1, length(s) - 2)) as i from spelled)
+), counts as (
+  select gram, sum(case when verdict = 'allow' and not held then 1 else 0 end) as accepted,
+         sum(case when verdict = 'block' and not held then 1 else 0 end) as rejected
+  from grams group by 1{_ORDERS}
+), ratios as (select gram, cast(round(ln(pa / pr) * 1000000) as bigint) as ratio from model3),
+scores as (
+  select host, path, verdict, held, sum(ratio) / count(*) as score from grams join ratios using (gram) group by all
+), spread as (
+  select avg(score) filter (verdict = 'allow') as ma, avg(score) filter (verdict = 'block') as mb,
+         stddev_pop(score) filter (verdict = 'allow') as sa, stddev_pop(score) filter (verdict = 'block') as sb
+  from scores where held and verdict is not null
+), border as (
+  select coalesce(ma * w + mb * (1 - w), 0) as border from (select *, case when sa + sb > 0 then sb / (sa + sb) else 0.5 end as w from spread)
+)
+select page_id, p.host, p.path, rule, coalesce(d.verdict, case when score >= border then 'allow' else 'block' end) as verdict
+from parsed p join decided d using (host, path) join scores s using (host, path), border
+"""
+
+_WORDS = r"regexp_extract_all(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_PAIRS = """list_distinct(case when len(w) = 1 then w
+    else list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) end)"""
+_QUOTED = ", ".join("({})".format(", ".join("'" + v.replace("'", "''") + "'" for v in row)) for row in TEMPLATES)
+OP2 = rf"""
+with known as (
+  select license, {_PAIRS} as t from (select license, {_WORDS} as w from (values {_QUOTED}) v (license, x))
+), doc as (select row_number() over () as r, doc_id, text from documents),
+seg as (
+  select r, unnest(list_distinct(list_concat(list_concat(string_split(text, chr(10)), string_split_regex(text, '\n[ \t\r\n]*\n')), [text]))) as x
+  from doc where text is not null
+), parts as (select r, {_PAIRS} as g from (select r, {_WORDS} as w from seg) where len(w) > 0),
+scored as (
+  select r, license, round(2.0 * len(list_intersect(g, t)) / (len(g) + len(t)), 6) as dice
+  from parts join known on len(g) >= len(t) * 0.8 / 1.2 - 1 and len(t) >= len(g) * 0.8 / 1.2 - 1
+), met as (select r, license, dice from scored where dice >= 0.8)
+select doc_id, coalesce(string_agg(distinct license, ',' order by license), '') as licenses, count(license) as n_matches, max(dice) as best_dice
+from doc left join met using (r) group by r, doc_id
+"""
+
 
 def llm_sql() -> dict[str, str]:
-    return {"op5_decontamination": OP5}
+    return {"op2_licenses": OP2, "op5_decontamination": OP5, "op10_url_filter": OP10}

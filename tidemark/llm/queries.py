@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, embeddings, html_text, language, pieces, sharding, simhash, toxicity
+from tidemark.llm import decontaminate, embeddings, html_text, language, licenses, pieces, sharding, simhash, toxicity, url_filter
 from tidemark.functions.staging import stage
 from tidemark.llm.common import read, remainder
 
 SHARDS = 24
+URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 PIECE_MODEL = "piece_bpe_32k.model"
 
 
@@ -23,6 +24,10 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op2_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(spark, read(spark, folder, "documents"))
+
+
 def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
     rows = sharding.balanced_shards(sharding.sized(read(spark, folder, "documents")), SHARDS)
     return rows.select(
@@ -82,8 +87,14 @@ def op9_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
 
 
+def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    rows = url_filter.judge(read(spark, folder, "pages"), URL_RULES)
+    return rows.select("page_id", "host", "path", "rule", "verdict")
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_licenses": op2_licenses,
     "op3_sharding": op3_sharding,
     "op4_simhash": op4_simhash,
     "op5_decontamination": op5_decontamination,
@@ -91,4 +102,5 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_embeddings": op7_embeddings,
     "op8_pieces": op8_pieces,
     "op9_html_text": op9_html_text,
+    "op10_url_filter": op10_url_filter,
 }
