@@ -1,0 +1,23 @@
+import pytest
+
+FOLDER = "/root/testdata/sf0.001"
+# One of each odd kind: null, empty, blank, no letters, no words, very long, repeated rows, a repeated id, a null id.
+LONG = "alpha beta gamma delta epsilon zeta eta theta iota kappa " * 20000
+ODD = [
+    (1, None), (2, ""), (3, " \n\t "), (4, "12 34 --"), (5, "..."), (6, LONG), (7, "same words in both of these rows"),
+    (8, "same words in both of these rows"), (7, "same words in both of these rows"), (9, "é ß 中文 \U0001f600 \x00 end"), (None, "a row without an id"),
+    (10, "one"), (10, "another text of the same id"),
+]
+
+
+@pytest.fixture(scope="session")
+def odd(spark):
+    """Odd rows with columns whose names operators use inside or make."""
+    rows = [(i, t, "x", 0.5, [1], "y", "_z") for i, t in ODD]
+    names = "doc_id long, text string, fingerprint string, score double, ids array<int>, n_words string, _text string"
+    return spark.createDataFrame(rows, names)
+
+
+@pytest.fixture(scope="session")
+def nothing(odd):
+    return odd.filter("false")

@@ -206,6 +206,8 @@ def find_contamination(
     blocks = max(1, math.ceil(total / block_bytes))
     made = ["n_words", "hits", "item_ids", "matches"]
     carried = [c for c in (docs.columns if keep is None else keep) if c not in made]
+    # Several passes keep their own columns beside one column for all that is carried.
+    rows = docs.select(F.struct(*carried).alias("row"), docs[text_column].alias("text")) if blocks > 1 else docs
     for k in range(blocks):
         of_block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         shared = spark.sparkContext.broadcast(test_block([tuple(r) for r in of_block.collect()], window))
@@ -213,18 +215,17 @@ def find_contamination(
         def start(shared=shared) -> Callable:
             return lambda texts: match_texts(texts, shared.value)
 
+        if blocks == 1:
+            return with_arrays(docs, text_column, start, MADE, carried)
         if k == 0:
-            again = [text_column] if blocks > 1 and text_column not in carried else []
-            docs = with_arrays(docs, text_column, start, MADE, [*carried, *again])
+            rows = with_arrays(rows, "text", start, MADE, ["row", "text"])
         else:
-            earlier = docs
             for c in made[1:]:
-                earlier = earlier.withColumnRenamed(c, f"_{c}")
-            docs = with_arrays(earlier, text_column, start, MADE, [*carried, *again, *(f"_{c}" for c in made[1:])])
-            docs = docs.select(*_merged([*carried, *again]))
-        if blocks > 1:
-            docs = stage(docs, "decontaminated")
-    return docs.select(*carried, *made)
+                rows = rows.withColumnRenamed(c, f"_{c}")
+            rows = with_arrays(rows, "text", start, MADE, ["row", "text", *(f"_{c}" for c in made[1:])])
+            rows = rows.select(*_merged(["row", "text"]))
+        rows = stage(rows, "decontaminated")
+    return rows.select("row.*", *made)
 
 
 def without_contaminated(
