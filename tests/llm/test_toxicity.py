@@ -1,0 +1,84 @@
+import numpy as np
+import pytest
+
+from tidemark.llm import toxicity
+from tidemark.llm.common import read, remainder
+from tidemark.llm.toxicity import FEATURES, Measurer, choose_terms, features, learn, score
+
+FOLDER = "/root/testdata/sf0.1"
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    docs = read(spark, FOLDER, "documents")
+    return learn(spark, docs.filter(remainder("doc_id", 4) != 2), read(spark, FOLDER, "labels"))
+
+
+def test_held_out_rows(spark, model):
+    docs = read(spark, FOLDER, "documents").filter(remainder("doc_id", 4) == 2)
+    rows = score(spark, docs, model, keep=["doc_id"]).join(read(spark, FOLDER, "labels"), "doc_id").collect()
+    toxic = sorted(r["score"] for r in rows if r["toxic"] == 1)
+    clean = np.sort([r["score"] for r in rows if r["toxic"] == 0])
+    # The share of (toxic, clean) pairs in the right order.
+    assert np.mean([np.searchsorted(clean, s) / len(clean) for s in toxic]) >= 0.95
+    assert sum(r["predicted"] for r in rows if r["toxic"] == 1) >= 0.9 * len(toxic)
+    assert sum(r["predicted"] for r in rows if r["toxic"] == 0) <= 0.02 * len(clean)
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in rows)
+
+
+def test_odd_rows(spark, model, odd, nothing):
+    rows = score(spark, odd, model).collect()
+    assert len(rows) == odd.count() and all(0 <= r["score"] <= 1 and r["fingerprint"] == "x" for r in rows)
+    assert score(spark, nothing, model).collect() == []
+
+
+@pytest.mark.parametrize("labels", [[], [(1, None, 0)], [(7, 0, 1)], [(None, 1, 1), (3, 1, 5)]])
+def test_one_class_or_none(spark, odd, labels):
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    fitted = learn(spark, odd, table)
+    assert fitted.fitted is None
+    assert {r["score"] for r in score(spark, odd, fitted).collect()} == {1.0 if labels and labels[0][0] == 7 else 0.0}
+
+
+def test_few_rows_of_both_classes(spark, odd):
+    fitted = learn(spark, odd, spark.createDataFrame([(1, 1), (6, 0), (7, 1), (9, 0), (9, 1)], "doc_id long, toxic int"))
+    assert score(spark, odd, fitted).count() == odd.count()
+
+
+LEXICON = {"idiot": 5.0, "vequ*": 3.0, "moron": 4.0}
+
+
+def measured(text):
+    return dict(zip(FEATURES, Measurer(LEXICON)([text])[0].tolist()))
+
+
+@pytest.mark.parametrize("text", ["IDIOT!!", "what an idiot, truly", "1d10t", "i.d.i.o.t", "idiiiiot", "i d i o t", "(vequais)", "mor0n?"])
+def test_disguises_are_found(text):
+    assert measured(text)["lexicon_count"] > 0
+
+
+@pytest.mark.parametrize("text", ["", None, "idiom", "veq", "an ideal morning", "a b c d e"])
+def test_other_words_are_not(text):
+    assert measured(text)["lexicon_count"] == 0
+
+
+def test_measures():
+    m = measured("you idiot stop SHOUTING")
+    assert m["near_second_person"] == m["lexicon_density"] == m["second_person_density"] == 0.25
+    assert m["capital_words"] == 0.25 and m["length"] == pytest.approx(np.log(5))
+    assert measured("you see there goes some idiot")["near_second_person"] == 0
+    # A second person in another text does not count.
+    assert Measurer(LEXICON)(["we all are you", "idiot", "you"])[1][FEATURES.index("near_second_person")] == 0
+
+
+def test_slices_do_not_matter(spark, odd):
+    one = features(spark, odd, LEXICON, keep=["doc_id"]).collect()
+    many = features(spark, odd.repartition(5), LEXICON, keep=["doc_id"]).collect()
+    assert sorted(map(str, one)) == sorted(map(str, many))
+
+
+def test_near_copies_add_few_entries():
+    copies = [[f"w{i}" for i in range(100)] + ["idiot"]] * 50
+    others = [["idiot"], ["moron"], ["idiot", "moron"]] * 5
+    chosen = choose_terms(copies + others, {t: 3.0 for c in copies + others for t in c})
+    assert {"idiot", "moron"} <= set(chosen) and len(chosen) <= 2 + toxicity.ENTRIES_A_TEXT
