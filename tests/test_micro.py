@@ -1,5 +1,6 @@
 """Window edges, nulls, ties and dirty rows on hand-written warehouse tables."""
 
+from dataclasses import replace
 from datetime import date, timedelta
 
 import micro
@@ -8,6 +9,8 @@ from pyspark.sql import functions as F
 from tidemark.operators import behavior, browsing, cohort, communication, orders, profile
 from tidemark.plans.feature_table import feature_table
 from tidemark.schema import COLUMNS, FEATURE_SCHEMA
+from tidemark.sources.model import Sources
+from tidemark.sources.sink import write_table
 from tidemark.sources.warehouse import warehouse_sources
 
 A = micro.ANCHOR
@@ -138,9 +141,7 @@ def test_browsing_features(table):
 
 
 def test_one_class_per_route(src, members):
-    from dataclasses import replace
-
-    facts = browsing.browsing_facts(members, src, replace(CFG, route_city_join=True), rating_ties=False)
+    facts = browsing.browsing_facts(members, src, replace(CFG, one_class_per_route=True, rating_ties=False))
     assert facts.filter("cust_id = 1 and visitor_trace = 'a'").count() == 1
 
 
@@ -195,3 +196,58 @@ def test_table_layout(src, table):
     for row in table.values():
         shares = [row[c] for c in ("call_pct", "robot_pct", "officewx_pct", "chat_pct")]
         assert sum(shares) == pytest.approx(100 if row["comm_freq"] else 0, abs=0.001)
+
+
+def with_table(src, **changed):
+    tables = {name: (lambda name=name: getattr(src, name)) for name in Sources.NAMES}
+    return Sources(**tables | {name: (lambda df=df: df) for name, df in changed.items()})
+
+
+def test_every_phone_of_a_customer_counts(spark, src, members):
+    """A second number adds its calls, a number shared with another customer credits both."""
+    more = spark.createDataFrame([(1, "手机号", "p", "13999999999"), (3, "手机号", "p", "13900000001")], "user_id long, three_class_name string, feature_name string, feature_value string")
+    both = with_table(src, feature_eav=src.feature_eav.select(more.columns).unionByName(more))
+
+    def daily(source):
+        book = communication.cohort_phones(members, source, CFG)
+        classes = orders.product_classes(source.route_dim, CFG.words)
+        rows = communication.call_daily(source.calls, book, source.history_orders, classes, CFG).collect()
+        return {(r["cust_id"], r["comm_date"]): (r["comm_duration"], r["day_calls"]) for r in rows}
+
+    before, after = daily(src), daily(both)
+    seconds, calls = before[1, A]
+    assert after[1, A] == (seconds + 99, calls + 1)
+    assert after[3, A] == before[1, A] and (3, A) not in before
+
+
+def test_anchor_outside_the_activity_window(spark, src, members):
+    """Bounds of labels and history follow the anchor, wherever it lies."""
+    early = replace(CFG, activity_start=date(2023, 5, 1), activity_end=date(2023, 5, 2), anchor=A)
+    classes = orders.product_classes(src.route_dim, CFG.words)
+
+    def found(cfg):
+        labels = orders.effective_orders(src.label_orders, cfg.label_orders_since, cfg.distribution_flags)
+        history = orders.effective_orders(src.history_orders, None, cfg.distribution_flags)
+        tables = orders.future_window_flags(members, labels, classes, cfg), orders.trailing_order_features(members, history, classes, cfg)
+        return [sorted(map(str, t.collect())) for t in tables]
+
+    assert found(early) == found(CFG)
+
+
+def test_one_of_tied_ratings_in_facts_and_features(src, members):
+    single = replace(CFG, rating_ties=False)
+    ratings = [browsing.latest_product_rating(src.product_rating, c.rating_ties).groupBy("f_product_id").count() for c in (CFG, single)]
+    assert ratings[1].filter("count > 1").isEmpty()
+    for cfg, counts in zip((CFG, single), ratings):
+        kept = {r["f_product_id"]: r["count"] for r in counts.collect()}
+        weights = browsing._rating_weights(src.product_rating, cfg.rating_ties).collect()
+        assert {r["product_id"]: r["n_ratings"] for r in weights} == kept
+
+
+def test_write_table_replaces(spark, tmp_path, table):
+    path = str(tmp_path / "result")
+    write_table(spark.range(5), path)
+    write_table(spark.range(3), path)
+    assert spark.read.parquet(path).count() == 3
+    with pytest.raises(Exception, match="already exists"):
+        write_table(spark.range(3), path, overwrite=False)

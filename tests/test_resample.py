@@ -1,12 +1,13 @@
 """Neighbours, synthetic rows and undersampling against direct computation."""
 
 import hashlib
+import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tidemark.functions.staging import stage
-from tidemark.operators.neighbors import nearest_neighbors
+from tidemark.operators.neighbors import chunk_size, nearest_neighbors
 from tidemark.operators.prep import hash_split
 from tidemark.operators.resample import first_by_hash, smote, undersample
 
@@ -91,8 +92,24 @@ def test_smote_does_not_depend_on_partitioning(unbalanced):
     assert one == many
 
 
-def test_smote_leaves_a_reached_ratio(unbalanced):
-    assert smote(unbalanced, "label", "cust_id", ["a", "b", "c"], ratio=0.01).count() == 200
+def test_a_reached_ratio_is_an_error_unless_lenient(unbalanced):
+    with pytest.raises(ValueError, match="exceeds"):
+        smote(unbalanced, "label", "cust_id", ["a", "b", "c"], ratio=0.01)
+    assert smote(unbalanced, "label", "cust_id", ["a", "b", "c"], ratio=0.01, lenient=True).count() == 200
+
+
+def test_fewer_rows_than_neighbours_are_an_error_unless_lenient(unbalanced):
+    few = unbalanced.filter("label = 0 or cust_id < 3")
+    with pytest.raises(ValueError, match="neighbours"):
+        smote(few, "label", "cust_id", ["a", "b", "c"])
+    assert smote(few, "label", "cust_id", ["a", "b", "c"], lenient=True).filter("label = 1").count() == int(0.2 * 188)
+
+
+def test_all_cores_get_blocks(spark):
+    """The published minority of 2,319 rows is cut into at least as many pairs of chunks as there are cores."""
+    for cores in (4, 8, 64):
+        assert math.ceil(2319 / chunk_size(2319, cores)) ** 2 >= cores
+    assert chunk_size(10**9, 1000) == 20000 and chunk_size(1, 1000) == 1
 
 
 def test_published_class_counts():
@@ -106,7 +123,9 @@ def test_undersample(unbalanced):
     assert {r["label"]: r["count"] for r in kept.groupBy("label").count().collect()} == {1: 12, 0: 20}
     again = undersample(unbalanced.repartition(5), "label", "cust_id", ratio=0.6, seed=4)
     assert sorted(r[0] for r in kept.collect()) == sorted(r[0] for r in again.collect())
-    assert undersample(unbalanced, "label", "cust_id", ratio=0.01).count() == 200
+    with pytest.raises(ValueError, match="out of reach"):
+        undersample(unbalanced, "label", "cust_id", ratio=0.01)
+    assert undersample(unbalanced, "label", "cust_id", ratio=0.01, lenient=True).count() == 200
 
 
 def test_split_share(spark):

@@ -21,9 +21,7 @@ def same(left, right):
 
 @pytest.fixture(scope="module")
 def run(spark):
-    run = Run(spark, FOLDER, training_config())
-    run.__dict__["cohort"] = run.staged.rows
-    return run
+    return Run(spark, FOLDER, training_config())
 
 
 def test_interval(run):
@@ -39,8 +37,8 @@ def test_decision_time(run, lookback, cap):
     contacts = communication.communication_facts(run.cohort, run.src, cfg)
     fast = behavior.decision_time(
         run.cohort,
-        browsing.product_day_views(run.cohort, run.src, cfg, run.staged.size),
-        communication.communication_days(run.cohort, run.src, cfg, run.staged.size),
+        browsing.product_day_views(run.cohort, run.src, cfg),
+        communication.communication_days(run.cohort, run.src, cfg),
         cap,
     )
     same(fast, naive.decision_time(facts, contacts, cap))
@@ -61,13 +59,3 @@ def test_browsing_measures(run):
         assert joined.filter(~F.col(f"f.{name}").eqNullSafe(F.col(f"s.{name}"))).isEmpty(), name
     for name in ("vac_price", "satisfaction"):
         assert joined.filter(F.abs(F.col(f"f.{name}") - F.col(f"s.{name}")) > 0.0011).isEmpty(), name
-
-
-def test_early_filter_changes_nothing(run):
-    """A small cohort filters the raw rows first; a large one is only joined at the end."""
-    early = browsing.product_day_views(run.cohort, run.src, run.cfg, run.staged.size)
-    late = browsing.product_day_views(run.cohort, run.src, run.cfg, None)
-    same(early, late)
-    early = communication.communication_days(run.cohort, run.src, run.cfg, run.staged.size)
-    late = communication.communication_days(run.cohort, run.src, run.cfg, None)
-    same(early, late)

@@ -5,9 +5,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 from tidemark.config import training_config
-from tidemark.functions.joins import BROADCAST_ROWS, drop_strangers, left_join_sparse_key
+from tidemark.functions.joins import keep_members, left_join_sparse_key
 from tidemark.functions.staging import new_path, shared_folder, stage
-from tidemark.operators import browsing, communication, orders
+from tidemark.operators import browsing, communication, orders, profile
 from tidemark.plans.registry import Run
 from tidemark.sources.model import Sources
 
@@ -65,11 +65,16 @@ def test_windows_are_partitioned(spark):
     assert "HashAggregate(keys=[cust_id, day]" in plan
 
 
-def test_large_members_are_not_broadcast(spark):
+def test_members_filter_before_the_first_exchange(spark, no_broadcast):
+    run = Run(spark, FOLDER, training_config())
     rows, members = spark.range(10).withColumnRenamed("id", "cust_id"), spark.range(5).withColumnRenamed("id", "cust_id")
-    assert drop_strangers(rows, members, "cust_id", 5).count() == 5
-    assert drop_strangers(rows, members, "cust_id", BROADCAST_ROWS + 1) is rows
-    assert drop_strangers(rows, members, "cust_id", None) is rows
+    assert keep_members(rows, members, "cust_id", ["cust_id"]).count() == 5
+    plan = profile.customer_profile(run.cohort, run.src, run.cfg)._jdf.queryExecution().optimizedPlan().toString()
+    # The attribute, city and channel tables are cut to the cohort below any aggregation.
+    assert plan.count("Join LeftSemi") >= 3
+    book = communication.cohort_phones(run.cohort, run.src, run.cfg)
+    calls = communication.call_daily(run.src.calls, book, run.src.history_orders, run.classes, run.cfg)
+    assert calls._jdf.queryExecution().optimizedPlan().toString().count("Join LeftSemi") >= 3
 
 
 def test_hot_customer_and_product(spark):

@@ -15,7 +15,8 @@ def duck():
 
 def test_sql_belongs_to_queries():
     assert set(SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(SQL) == {"rf_fit_predict", "score_later_day", "feature_importance_rank"}
+    # Text operators without SQL are tested beside their code.
+    assert all(name == "pipeline" or name.startswith("op") for name in set(QUERIES) - set(SQL))
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

@@ -92,7 +92,9 @@ class FeatureConfig:
     label_orders_since: date | None = None
     history_orders_since: date | None = None
     call_orders_since: date | None = None
+    interval_orders_since: date | None = None
     id_range: tuple[int, int] = (1, 1000000001)
+    # Sales channels of orders that count, and labels of robot calls that show an intent.
     distribution_flags: tuple[int, ...] = (0, 3, 4, 5)
     intent_labels: tuple[str, ...] = ("a", "b", "q", "c", "p", "s")
     label_horizons: tuple[int, ...] = (7, 15)
@@ -100,7 +102,15 @@ class FeatureConfig:
     lookback_days: int = 15
     decision_cap: int = 16
     phone_digits: int = 11
-    route_city_join: bool = False
+    # One class for a route with several: the alphabetically last. By default each class joins.
+    one_class_per_route: bool = False
+    # False: of several ratings with the newest time only one counts.
+    rating_ties: bool = True
+
+    @property
+    def anchors(self) -> tuple[date, date]:
+        """The first and the last day an anchor can be."""
+        return (self.anchor, self.anchor) if self.anchor else (self.activity_start, self.activity_end)
 
 
 def training_config() -> FeatureConfig:

@@ -9,14 +9,13 @@ from operator import or_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 2_000_000
 
-
-def left_join_sparse_key(left: DataFrame, right: DataFrame, keys: str | Sequence[str], slots: int = 256) -> DataFrame:
-    """Left join in which rows with a null key are spread over `slots` partitions.
+def left_join_sparse_key(left: DataFrame, right: DataFrame, keys: str | Sequence[str], slots: int | None = None) -> DataFrame:
+    """Left join in which rows with a null key are spread over `slots` slots, by default 16 for each shuffle partition.
 
     They match nothing, yet a plain left join would hash them all to one task.
     """
+    slots = slots or 16 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [keys] if isinstance(keys, str) else list(keys)
     missing = reduce(or_, [F.col(key).isNull() for key in keys])
     rest = [c for c in left.columns if c not in keys]
@@ -27,17 +26,11 @@ def left_join_sparse_key(left: DataFrame, right: DataFrame, keys: str | Sequence
     return slotted.join(target, [*keys, "_slot"], "left").drop("_slot")
 
 
-def keep_members(rows: DataFrame, members: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is in `members`; the optimizer chooses the join."""
-    return rows.join(members.select(F.col(members.columns[0]).alias(key)), key, "left_semi")
-
-
-def drop_strangers(rows: DataFrame, members: DataFrame, key: str, size: int | None) -> DataFrame:
-    """The same as an early filter, for rows that are joined to `members` later anyway.
+def keep_members(rows: DataFrame, members: DataFrame, key: str, spread: Sequence[str] = ()) -> DataFrame:
+    """Rows whose key is in `members`; the optimizer chooses the join.
 
-    `size` is the counted number of members. Below the bound their ids are broadcast, and rows are
-    dropped before any work or shuffle; otherwise the rows stay for the later join.
+    `spread` names the columns by which the rows are dealt anew. A following aggregation on these keeps to them
+    and not to the join's own partitioning, so that a key with very many rows can be split in the join.
     """
-    if size is None or size > BROADCAST_ROWS:
-        return rows
-    return rows.join(F.broadcast(members.select(F.col(members.columns[0]).alias(key))), key, "left_semi")
+    kept = rows.join(members.select(F.col(members.columns[0]).alias(key)), key, "left_semi")
+    return kept.repartition(*[F.col(c) for c in spread]) if spread else kept

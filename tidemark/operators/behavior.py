@@ -32,6 +32,7 @@ def decision_time(cohort: DataFrame, browsing: DataFrame, communication: DataFra
     return joined.select("cust_id", days.alias("decision_time"))
 
 
+# The columns in the order of the feature table.
 BROWSING = (
     "browsing_days",
     "pv",
@@ -132,6 +133,7 @@ def _browsing_columns() -> list[Column]:
     return [value.alias(name) for name, value in zip(BROWSING, values, strict=True)]
 
 
+# The columns in the order of the feature table.
 COMMUNICATION = (
     "comm_days",
     "comm_freq",

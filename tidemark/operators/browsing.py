@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from tidemark.config import FeatureConfig, Vocabulary
 from tidemark.functions.expr import or_zero, recency_flag, search_intent
-from tidemark.functions.joins import drop_strangers, keep_members, left_join_sparse_key
+from tidemark.functions.joins import keep_members, left_join_sparse_key
+from tidemark.functions.staging import Stage, stage
 from tidemark.operators.orders import CLASS, class_weights, product_classes
 from tidemark.sources.model import Sources
 
@@ -75,23 +76,24 @@ def coupon_match(views: DataFrame, days: DataFrame) -> DataFrame:
     return joined.withColumn("collect_coupons_status", or_zero(F.col("collect_coupons_status")))
 
 
-def browsing_facts(cohort: DataFrame, src: Sources, cfg: FeatureConfig, rating_ties: bool = True) -> DataFrame:
+def browsing_facts(cohort: DataFrame, src: Sources, cfg: FeatureConfig, keep: Stage = stage) -> DataFrame:
     """Cohort x page views x price x class x coupon x rating; customers without views keep one row.
 
     Classes join by route only, so a route with two classes doubles its views, unless
-    `cfg.route_city_join` asks for one row per route.
+    `cfg.one_class_per_route` asks for one row per route; so do tied ratings, unless `cfg.rating_ties` is False.
     """
-    # Views are the large side: an inner join lets a heavy customer be split, the others are added after.
-    views = _distinct_views(_window_views(src, cfg), cfg.words).join(cohort, "cust_id")
+    # Views are the large side: an inner join lets a heavy customer be split, the others are added after. They are
+    # written once, so that each site is scanned once.
+    views = keep(_distinct_views(_window_views(src, cfg), cfg.words).join(cohort, "cust_id"), "views")
     flagged = coupon_match(views, coupon_days(src.coupons, cfg.behavior_start, cfg.behavior_end))
     prices = src.prd_route.select(F.col("route_id").alias("product_id"), "lowest_price").distinct()
-    ratings = latest_product_rating(src.product_rating, rating_ties).withColumnRenamed("f_product_id", "product_id")
+    ratings = latest_product_rating(src.product_rating, cfg.rating_ties).withColumnRenamed("f_product_id", "product_id")
     klass = _route_classes(src, cfg).withColumnRenamed("route_id", "product_id")
     # The sides join each other first, so the views move once. A side without the product adds nulls.
     products = prices.join(klass, "product_id", "full").join(ratings, "product_id", "full")
     described = left_join_sparse_key(flagged, products, "product_id")
     anchor, day = F.col("create_date"), F.col("operate_date")
-    viewers = _window_views(src, cfg).select("cust_id").distinct()
+    viewers = views.select("cust_id").distinct()
     rows = described.unionByName(cohort.join(viewers, "cust_id", "left_anti"), allowMissingColumns=True)
     return rows.select(
         "cust_id",
@@ -110,20 +112,18 @@ def browsing_facts(cohort: DataFrame, src: Sources, cfg: FeatureConfig, rating_t
 def _route_classes(src: Sources, cfg: FeatureConfig) -> DataFrame:
     """(route_id, class); one class per route when the config asks for it."""
     classes = product_classes(src.route_dim, cfg.words, by_city=False)
-    if cfg.route_city_join:
+    if cfg.one_class_per_route:
         return classes.groupBy("route_id").agg(F.max(CLASS).alias(CLASS))
     return classes
 
 
-def product_day_views(
-    cohort: DataFrame, src: Sources, cfg: FeatureConfig, size: int | None = None
-) -> DataFrame:
+def product_day_views(cohort: DataFrame, src: Sources, cfg: FeatureConfig) -> DataFrame:
     """Views per (customer, day, product) with the anchor and `browsing_flag`.
 
-    The join to the cohort comes after both reductions, unless the counted cohort is small enough for
-    an early filter.
+    Views of other customers are dropped first; the rest is dealt by its columns and not by customer.
     """
-    views = _distinct_views(drop_strangers(_window_views(src, cfg), cohort, "cust_id", size), cfg.words)
+    spread = ["cust_id", "operate_date", *VIEW]
+    views = _distinct_views(keep_members(_window_views(src, cfg), cohort, "cust_id", spread), cfg.words)
     daily = views.groupBy("cust_id", "operate_date", "product_id").agg(
         F.count(F.lit(1)).alias("rows"),
         F.count("visitor_trace").alias("traces"),
@@ -141,8 +141,12 @@ def _at_least_one(count: Column) -> Column:
     return F.greatest(F.coalesce(count, F.lit(0)), F.lit(1))
 
 
-def _rating_weights(rating: DataFrame) -> DataFrame:
-    """One row per product: counts and sums over the rows with the newest time, without a join."""
+def _rating_weights(rating: DataFrame, ties: bool = True) -> DataFrame:
+    """One row per product: counts and sums over the rows with the newest time (or one of them), without a join."""
+    if not ties:
+        rest = [c for c in rating.columns if c not in ("f_product_id", "f_update_time")]
+        dated = rating.filter(F.col("f_update_time").isNotNull()).groupBy("f_product_id")
+        rating = dated.agg(F.max(F.struct("f_update_time", *rest)).alias("r")).select("f_product_id", "r.*")
     per_time = [F.count(F.lit(1)).alias("n_ratings"), F.max("f_comp_grade_level").alias("grade")]
     for column in ("f_satisfaction", *AMOUNTS):
         per_time += [F.sum(column).alias(f"{column}_sum"), F.count(column).alias(f"{column}_n")]
@@ -169,7 +173,7 @@ def product_weights(src: Sources, cfg: FeatureConfig) -> DataFrame:
     classes = class_weights(_route_classes(src, cfg), cfg.words, ["route_id"]).withColumnRenamed(
         "route_id", "product_id"
     )
-    ratings = _rating_weights(src.product_rating)
+    ratings = _rating_weights(src.product_rating, cfg.rating_ties)
     # Route ids that are null in a dimension can match no view.
     sides = [side.filter(F.col("product_id").isNotNull()) for side in (prices, classes, ratings)]
     joined = sides[0].join(sides[1], "product_id", "full").join(sides[2], "product_id", "full")

@@ -10,19 +10,20 @@ from pyspark.sql import functions as F
 
 from tidemark.config import FeatureConfig
 from tidemark.functions.expr import contains_any, phone_tail, recency_flag, sum_if
-from tidemark.functions.joins import drop_strangers, left_join_sparse_key
+from tidemark.functions.joins import keep_members, left_join_sparse_key
+from tidemark.operators.cohort import phones
 from tidemark.operators.orders import PLACE, class_weights, product_classes
-from tidemark.operators.profile import personal_attributes
 from tidemark.sources.model import Sources
 
 MEASURES = ("comm_duration", "day_calls", "comm_num", "active_comm_num", "vac_mention_num", "single_mention_num")
 
 
-def order_mentions(orders: DataFrame, classes: DataFrame, cfg: FeatureConfig) -> DataFrame:
-    """One row per order id: the rows it joins to, and how many of them are vacation or single."""
+def order_mentions(orders: DataFrame, wanted: DataFrame, classes: DataFrame, cfg: FeatureConfig) -> DataFrame:
+    """One row per order id in `wanted`: the rows it joins to, and how many of them are vacation or single."""
     lines = orders.select("order_id", "create_time", *PLACE)
     if cfg.call_orders_since is not None:
         lines = lines.filter(F.col("create_time") >= F.lit(cfg.call_orders_since))
+    lines = keep_members(lines, wanted, "order_id")
     weighted = left_join_sparse_key(lines, class_weights(classes, cfg.words), PLACE)
     return weighted.groupBy("order_id").agg(
         F.sum(F.coalesce(F.col("n_classes"), F.lit(1))).alias("order_rows"),
@@ -34,33 +35,31 @@ def order_mentions(orders: DataFrame, classes: DataFrame, cfg: FeatureConfig) ->
 def call_daily(
     calls: DataFrame, phone_book: DataFrame, orders: DataFrame, classes: DataFrame, cfg: FeatureConfig
 ) -> DataFrame:
-    """Calls per customer and day. `phone_book` is (cust_id, tel_num) of the cohort.
+    """Calls per customer and day. `phone_book` is (cust_id, tel_num) of the cohort, with every phone of a customer.
 
-    Calls shrink to (number, day, order), then to (number, day), before they meet the phone book;
-    numbers nobody owns drop out there.
+    Calls of other numbers drop out first. The rest shrinks to (number, day, order), then to (number, day), before
+    it meets the customers; order lines of other calls are not read further than their id.
     """
     talk = F.col("status") == cfg.words.connected
     inbound = talk & (F.col("calldir") == cfg.words.inbound)
     window = F.col("call_date").between(cfg.behavior_start, cfg.behavior_end) & F.col("tel_order_type").isin(0, 1)
-    per_order = (
-        calls.filter(window & F.col("cust_tel_no").isNotNull())
-        .select(
-            phone_tail(F.col("cust_tel_no"), cfg.phone_digits).alias("tel_num"),
-            F.col("call_date").alias("comm_date"),
-            "order_id",
-            "status_time",
-            talk.alias("talk"),
-            inbound.alias("inbound"),
-        )
-        .groupBy("tel_num", "comm_date", "order_id")
-        .agg(
-            F.sum("status_time").alias("time"),
-            F.count(F.lit(1)).alias("calls"),
-            sum_if(F.col("talk")).alias("talks"),
-            sum_if(F.col("inbound")).alias("inbounds"),
-        )
+    numbered = calls.filter(window & F.col("cust_tel_no").isNotNull()).select(
+        phone_tail(F.col("cust_tel_no"), cfg.phone_digits).alias("tel_num"),
+        F.col("call_date").alias("comm_date"),
+        "order_id",
+        "status_time",
+        talk.alias("talk"),
+        inbound.alias("inbound"),
+    )
+    own = keep_members(numbered, phone_book.select("tel_num"), "tel_num", ["tel_num", "comm_date", "order_id"])
+    per_order = own.groupBy("tel_num", "comm_date", "order_id").agg(
+        F.sum("status_time").alias("time"),
+        F.count(F.lit(1)).alias("calls"),
+        sum_if(F.col("talk")).alias("talks"),
+        sum_if(F.col("inbound")).alias("inbounds"),
     )
-    joined = left_join_sparse_key(per_order, order_mentions(orders, classes, cfg), "order_id")
+    wanted = per_order.select("order_id").filter(F.col("order_id").isNotNull())
+    joined = left_join_sparse_key(per_order, order_mentions(orders, wanted, classes, cfg), "order_id")
     rows = F.coalesce(F.col("order_rows"), F.lit(1))
     per_number = joined.groupBy("tel_num", "comm_date").agg(
         F.sum(F.col("time") * rows).alias("comm_duration"),
@@ -128,26 +127,24 @@ def service_chat_daily(chats: DataFrame, cfg: FeatureConfig) -> DataFrame:
 
 
 def cohort_phones(cohort: DataFrame, src: Sources, cfg: FeatureConfig) -> DataFrame:
-    """(cust_id, tel_num) of the cohort customers with a phone."""
-    owned = personal_attributes(src.feature_eav, cfg.words).filter(F.col("tel_num").isNotNull())
-    return owned.select(F.col("user_id").alias("cust_id"), "tel_num").join(cohort, "cust_id", "left_semi")
+    """(cust_id, tel_num) of every phone of the cohort customers."""
+    owned = phones(src.feature_eav, cfg.words.phone_name).withColumnRenamed("user_id", "cust_id")
+    return keep_members(owned, cohort, "cust_id")
 
 
-def channel_days(cohort: DataFrame, src: Sources, cfg: FeatureConfig, size: int | None = None) -> list[DataFrame]:
-    """The four daily tables, in the order of `words.channels`.
-
-    Three of them may still hold other customers, which the later join to the cohort drops.
-    """
+def channel_days(cohort: DataFrame, src: Sources, cfg: FeatureConfig) -> list[DataFrame]:
+    """The four daily tables of the cohort, in the order of `words.channels`."""
     classes = product_classes(src.route_dim, cfg.words)
 
-    def near(rows: DataFrame) -> DataFrame:
-        return drop_strangers(rows, cohort, "cust_id", size)
+    def own(rows: DataFrame, day: str) -> DataFrame:
+        inside = rows.filter(F.col(day).between(cfg.behavior_start, cfg.behavior_end))
+        return keep_members(inside, cohort, "cust_id", ["cust_id", day])
 
     return [
         call_daily(src.calls, cohort_phones(cohort, src, cfg), src.history_orders, classes, cfg),
-        robot_call_daily(near(src.robot_calls), cfg),
-        wecom_chat_daily(near(src.wecom_chat), cfg),
-        service_chat_daily(near(src.service_chat), cfg),
+        robot_call_daily(own(src.robot_calls, "call_date"), cfg),
+        wecom_chat_daily(own(src.wecom_chat, "msg_date"), cfg),
+        service_chat_daily(own(src.service_chat, "chat_date"), cfg),
     ]
 
 
@@ -166,11 +163,9 @@ def stack_channels(days: Sequence[DataFrame], names: Sequence[str]) -> DataFrame
     return reduce(DataFrame.unionByName, tagged)
 
 
-def communication_days(
-    cohort: DataFrame, src: Sources, cfg: FeatureConfig, size: int | None = None
-) -> DataFrame:
+def communication_days(cohort: DataFrame, src: Sources, cfg: FeatureConfig) -> DataFrame:
     """Customer x day x channel of the cohort with `comm_flag`; customers without contact are absent."""
-    stacked = stack_channels(channel_days(cohort, src, cfg, size), cfg.words.channels)
+    stacked = stack_channels(channel_days(cohort, src, cfg), cfg.words.channels)
     flag = recency_flag(F.col("comm_date"), F.col("create_date"), cfg.lookback_days)
     return stacked.join(cohort, "cust_id").select(
         "cust_id", "create_date", "comm_date", flag.alias("comm_flag"), "channel", "channel_id", *MEASURES

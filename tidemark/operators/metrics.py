@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.expr import or_zero
 
-RANK_BUCKETS = 256
-
 
 def threshold_sweep(scored: DataFrame, score: str = "score", thresholds: Sequence[float] = (0.5, 0.4, 0.3)) -> DataFrame:
     """One row per input row and threshold with `predicted`: 1 above the threshold."""
@@ -84,12 +82,14 @@ def auc_hard(df: DataFrame, label: str, predicted: str = "predicted", by: Sequen
     return _cells(df, label, predicted, by).select(*by, (hit_rates / 2).alias("auc"))
 
 
-def auc_rank(df: DataFrame, label: str, score: str = "score", buckets: int = RANK_BUCKETS) -> DataFrame:
+def auc_rank(df: DataFrame, label: str, score: str = "score", buckets: int | None = None) -> DataFrame:
     """Area under the curve of a score: the chance that a positive outranks a negative, ties half.
 
     Rows collapse to one per score. Score quantiles cut these into buckets of similar size, so running
-    totals need one small window over the buckets and one window inside each of them.
+    totals need one small window over the buckets and one window inside each of them. There are as many buckets
+    as shuffle partitions, unless told otherwise.
     """
+    buckets = max(2, buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     counts = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("score")).agg(
         F.count(F.when(F.col(label) == 1, 1)).alias("pos"), F.count(F.when(F.col(label) == 0, 1)).alias("neg")
     )

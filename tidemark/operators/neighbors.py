@@ -13,11 +13,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.staging import Stage, stage
+
 # Larger chunks copy each point less often; a task holds two of them and one strip of distances.
-CHUNK_ROWS = 20000
+MOST_CHUNK_ROWS = 20000
+# Pairs of chunks for each core, so that tasks of unequal length even out.
+BLOCKS_PER_CORE = 4
 MAX_PIVOTS = 256
 # Rows whose distances are held at a time: few enough for the sums to stay in cache.
 STRIP_ROWS = 64
@@ -42,15 +46,23 @@ def distance_function() -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
     return distances
 
 
-def nearest_neighbors(points: DataFrame, k: int, chunk_rows: int = CHUNK_ROWS, pivots: int | None = None) -> DataFrame:
+def chunk_size(points: int, cores: int) -> int:
+    """Rows of a chunk: every pair of chunks is a task, and all cores get some."""
+    return max(1, min(MOST_CHUNK_ROWS, math.floor(points / math.sqrt(BLOCKS_PER_CORE * cores))))
+
+
+def nearest_neighbors(
+    points: DataFrame, k: int, chunk_rows: int | None = None, pivots: int | None = None, keep: Stage = stage
+) -> DataFrame:
     """(id, neighbors): up to k other ids by (distance, id).
 
-    `points` has a unique bigint `id` and `x`, an array of doubles, and is scanned several times: pass a
+    `points` has a unique bigint `id` and `x`, an array of doubles, and is scanned twice: pass a
     staged table.
     """
     size = points.count()
+    chunk_rows = chunk_rows or chunk_size(size, points.sparkSession.sparkContext.defaultParallelism)
     if pivots is None:
-        pivots = min(MAX_PIVOTS, math.ceil(size / chunk_rows))
+        pivots = min(MAX_PIVOTS, math.ceil(size / MOST_CHUNK_ROWS))
     seeds = points.orderBy(F.md5(F.col("id").cast("string")), "id").limit(max(1, pivots)).select("x").collect()
     distances = distance_function()
     centers = np.array([row["x"] for row in seeds], dtype=float).reshape(len(seeds), -1)
@@ -61,6 +73,7 @@ def nearest_neighbors(points: DataFrame, k: int, chunk_rows: int = CHUNK_ROWS, p
             yield batch.assign(cell=apart.argmin(axis=1), reach=apart.min(axis=1), apart=list(apart))
 
     placed = points.select("id", "x").mapInPandas(assign, "id long, x array<double>, cell long, reach double, apart array<double>")
+    placed = keep(placed, "placed")
     bounds = _cell_bounds(placed, centers, k)
     return _block_join(placed, bounds, k, chunk_rows, math.ceil(size / chunk_rows))
 
@@ -145,5 +158,8 @@ def _block_join(placed: DataFrame, bounds: list[tuple[float, int]], k: int, chun
         .cogroup(others.groupBy(*block))
         .applyInPandas(best, "id long, other long, distance double")
     )
-    ranked = F.slice(F.sort_array(F.collect_list(F.struct("distance", "other"))), 1, k)
-    return candidates.groupBy("id").agg(ranked.alias("best")).select("id", F.col("best.other").alias("neighbors"))
+    # A limit on the rank prunes each task's candidates before they move, and no more than k of an id are gathered.
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "other"))
+    nearest = candidates.withColumn("rank", rank).filter(F.col("rank") <= k)
+    ranked = F.sort_array(F.collect_list(F.struct("rank", "other")))
+    return nearest.groupBy("id").agg(ranked.alias("best")).select("id", F.col("best.other").alias("neighbors"))

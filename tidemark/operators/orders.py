@@ -18,6 +18,18 @@ from tidemark.functions.joins import left_join_sparse_key
 
 PLACE = ["route_id", "book_city"]
 CLASS = "producttype_class_name"
+# The history measures in the order of the feature table.
+HISTORY = (
+    "executed_orders_cnt",
+    "complaint_orders_cnt",
+    "cp_avg",
+    "cp_min",
+    "cp_max",
+    "satisfaction_avg",
+    "vac_executed_cnt",
+    "vac_cp_avg",
+    "vac_satisfaction_avg",
+)
 
 
 def effective_orders(orders: DataFrame, since: date | None, distribution_flags: Sequence[int]) -> DataFrame:
@@ -60,10 +72,10 @@ def future_purchases(
     very many lines brings at most two rows per calendar day to the join.
     """
     horizons = tuple(horizons or cfg.label_horizons)
-    first, last = cfg.activity_start + timedelta(days=1), cfg.activity_end + timedelta(days=max(horizons))
+    first, last = cfg.anchors[0] + timedelta(days=1), cfg.anchors[1] + timedelta(days=max(horizons))
     executed, ordered = F.col("executed_date"), F.col("create_time")
     vacation = classes.filter(F.col(CLASS) == cfg.words.vacation).select(*PLACE).distinct()
-    # Anchors lie inside the activity window, so constant bounds prune the lines first.
+    # Constant bounds around all possible anchors prune the lines first.
     near = orders.filter(executed.between(first, last) | ordered.between(first, last)).select(
         "cust_id", *PLACE, "executed_date", "create_time"
     )
@@ -102,9 +114,9 @@ def future_window_flags(
 def trailing_orders(cohort: DataFrame, orders: DataFrame, classes: DataFrame, cfg: FeatureConfig) -> DataFrame:
     """Nine measures over the days before the anchor, for customers with orders in reach."""
     back = cfg.history_days - 1
-    first = cfg.activity_start - timedelta(days=back)
+    first, last = cfg.anchors[0] - timedelta(days=back), cfg.anchors[1]
     days = ("executed_date", "complaint_time", "return_visit_date")
-    reach = [F.col(day).between(first, cfg.activity_end) for day in days]
+    reach = [F.col(day).between(first, last) for day in days]
     near = orders.filter(reach[0] | reach[1] | reach[2]).select(
         "cust_id", "order_id", *PLACE, "travel_sign_amount", "satisfaction", *days
     )
@@ -152,14 +164,11 @@ def trailing_orders(cohort: DataFrame, orders: DataFrame, classes: DataFrame, cf
     )
 
 
-HISTORY_ZEROS = ("executed_orders_cnt", "complaint_orders_cnt", "cp_avg", "cp_min", "cp_max", "vac_executed_cnt", "vac_cp_avg")
-HISTORY = HISTORY_ZEROS[:5] + ("satisfaction_avg",) + HISTORY_ZEROS[5:] + ("vac_satisfaction_avg",)
-
-
 def trailing_order_features(cohort: DataFrame, orders: DataFrame, classes: DataFrame, cfg: FeatureConfig) -> DataFrame:
     """Every cohort customer with the nine measures; counts and amounts default to 0, scores stay null."""
     found = trailing_orders(cohort, orders, classes, cfg)
-    columns = [or_zero(F.col(c)).alias(c) if c in HISTORY_ZEROS else F.col(c) for c in HISTORY]
+    scores = ("satisfaction_avg", "vac_satisfaction_avg")
+    columns = [F.col(c) if c in scores else or_zero(F.col(c)).alias(c) for c in HISTORY]
     return cohort.join(found, "cust_id", "left").select("cust_id", *columns)
 
 

@@ -17,8 +17,6 @@ from tidemark.config import Vocabulary
 from tidemark.functions.expr import hash_number, ratio, row_hash
 from tidemark.schema import CATEGORICAL, IMPUTED, KEYS, NUMERIC
 
-MAX_CATEGORIES = 1000
-
 
 def label_distribution(df: DataFrame, label: str) -> DataFrame:
     """Rows per class, and negatives per positive."""
@@ -110,16 +108,22 @@ class PrepModel:
         return SQLTransformer(statement=f"select {columns} from __THIS__")
 
 
-def _categories(df: DataFrame, names: Sequence[str]) -> dict[str, list[int]]:
-    """Sorted distinct values per column, read in one pass; far too many values are an error."""
+def _categories(df: DataFrame, names: Sequence[str], most: int | None = None) -> dict[str, list[int]]:
+    """Sorted distinct values per column, read in one pass. Each becomes a column, so they come to the driver.
+
+    With `most`, more values than that in one column are an error.
+    """
     if not names:
         return {}
     pairs = F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("bigint").alias("value")) for n in names])
     found = df.select(F.explode(pairs).alias("p")).select("p.name", "p.value").filter("value is not null").distinct()
-    rows = found.limit(MAX_CATEGORIES + 1).collect()
-    if len(rows) > MAX_CATEGORIES:
-        raise ValueError(f"more than {MAX_CATEGORIES} categories in {list(names)}")
-    return {name: sorted(row["value"] for row in rows if row["name"] == name) for name in names}
+    values: dict[str, list[int]] = {name: [] for name in names}
+    for name, value in found.collect():
+        values[name].append(value)
+    for name, own in values.items():
+        if most is not None and len(own) > most:
+            raise ValueError(f"{len(own)} categories in {name}, and {most} are allowed")
+    return {name: sorted(own) for name, own in values.items()}
 
 
 def fit_prep(
@@ -129,8 +133,9 @@ def fit_prep(
     categorical: Sequence[str] = CATEGORICAL,
     keys: Sequence[str] = KEYS,
     declared: Mapping[str, Sequence[int]] | None = None,
+    max_categories: int | None = None,
 ) -> PrepModel:
-    """Categories are the values seen in `train`, unless `declared` for a column.
+    """Categories are the values seen in `train`, unless `declared` for a column; `max_categories` may bound them.
 
     One aggregate over all numeric columns and one distinct over all categories.
 
@@ -154,7 +159,7 @@ def fit_prep(
         known = row[f"{name}|n"] / row["n"] if name in imputed and row["n"] else 1.0
         scales[name] = 1.0 if constant or mean is None else row[f"{name}|std"] * known**0.5
     declared = declared or {}
-    seen = _categories(train, [name for name in categorical if name not in declared])
+    seen = _categories(train, [name for name in categorical if name not in declared], max_categories)
     categories = {name: sorted(declared.get(name) or seen[name]) for name in categorical}
     return PrepModel(means, categories, centers, scales, tuple(keys))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import FeatureConfig, Vocabulary
 from tidemark.functions.expr import or_zero
+from tidemark.functions.joins import keep_members
 from tidemark.sources.model import Sources
 
 ATTRIBUTES = ("cust_level", "cust_type", "cust_group_type", "is_office_weixin")
@@ -15,7 +16,8 @@ ATTRIBUTES = ("cust_level", "cust_type", "cust_group_type", "is_office_weixin")
 def eav_pivot(eav: DataFrame, attributes: dict[str, tuple[str, str]]) -> DataFrame:
     """Attributes as columns, in one scan: {attribute: (value column, output column)}.
 
-    Each (user, attribute) is expected once; `repeated_attributes` lists the exceptions.
+    Of several values of one (user, attribute) the largest is shown, so that a user stays one row;
+    `repeated_attributes` lists these users. Calls are joined by every phone a user has, not by this column.
     """
     picked = [
         F.max(F.when(F.col("three_class_name") == name, F.col(value))).alias(out)
@@ -81,16 +83,19 @@ def reachable_channels(access: DataFrame) -> DataFrame:
 
 
 def customer_profile(cohort: DataFrame, src: Sources, cfg: FeatureConfig) -> DataFrame:
-    """The cohort with all profile columns, one row per customer."""
+    """The cohort with all profile columns, one row per customer. Other users are dropped before any aggregation."""
+
+    def own(rows: DataFrame) -> DataFrame:
+        return keep_members(rows, cohort, "user_id")
 
     def by_customer(rows: DataFrame) -> DataFrame:
         return rows.withColumnRenamed("user_id", "cust_id")
 
     joined = (
         tenure(cohort, src.cust_attribute)
-        .join(by_customer(personal_attributes(src.feature_eav, cfg.words)), "cust_id", "left")
-        .join(by_customer(geography(src.city_eav, src.city_key, cfg.words)), "cust_id", "left")
-        .join(by_customer(reachable_channels(src.access_channel)), "cust_id", "left")
+        .join(by_customer(personal_attributes(own(src.feature_eav), cfg.words)), "cust_id", "left")
+        .join(by_customer(geography(own(src.city_eav), src.city_key, cfg.words)), "cust_id", "left")
+        .join(by_customer(reachable_channels(own(src.access_channel))), "cust_id", "left")
     )
     return joined.select(
         "cust_id",

@@ -8,13 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.expr import hash_number, or_zero, row_hash
-from tidemark.functions.joins import BROADCAST_ROWS
 from tidemark.functions.staging import Stage, stage
 from tidemark.operators.neighbors import nearest_neighbors
 
 HASH_CELL_DIGITS = 4
-# Vectors are wide, so fewer of them than plain ids may be broadcast.
-BROADCAST_VECTORS = BROADCAST_ROWS // 40
 
 
 def class_sizes(df: DataFrame, label: str) -> tuple[int, int]:
@@ -42,10 +39,15 @@ def first_by_hash(df: DataFrame, id_column: str, count: int, seed: int) -> DataF
     return whole.select(*df.columns).unionByName(partial.select(*df.columns))
 
 
-def undersample(df: DataFrame, label: str, id_column: str, ratio: float = 0.6, seed: int = 42) -> DataFrame:
-    """Keep all of class 1 and as much of class 0 as makes class 1 / class 0 equal `ratio`."""
+def undersample(df: DataFrame, label: str, id_column: str, ratio: float = 0.6, seed: int = 42, lenient: bool = False) -> DataFrame:
+    """Keep all of class 1 and as much of class 0 as makes class 1 / class 0 equal `ratio`.
+
+    If class 0 is too small for the ratio this is an error, or with `lenient` the table stays as it is.
+    """
     majority, minority = class_sizes(df, label)
     kept = int(minority / ratio)
+    if kept > majority and not lenient:
+        raise ValueError(f"a ratio of {ratio} is out of reach with {minority} rows of class 1 and {majority} of class 0")
     if kept >= majority:
         return df
     negatives = first_by_hash(df.filter(F.col(label) == 0), id_column, kept, seed)
@@ -61,24 +63,30 @@ def smote(
     k: int = 5,
     seed: int = 42,
     keep: Stage = stage,
+    lenient: bool = False,
 ) -> DataFrame:
     """Add synthetic class-1 rows x + u * (neighbour - x) until class 1 is `ratio` of class 0.
 
     Every minority row serves equally often as a base, and the rest of the count goes to the rows of
     the smallest hash; neighbour and u come from a hash of (id, copy). Nothing depends on partitioning.
     Indicator columns become fractional, as in plain interpolation. Rows keep the id of their base and
-    carry `is_synthetic`. Nothing is added when the ratio is reached already.
+    carry `is_synthetic`. A ratio that is exceeded already, and fewer than k other rows of class 1, are errors;
+    with `lenient` nothing is added in the first case, and all other rows are neighbours in the second.
     """
     majority, minority = class_sizes(df, label)
     wanted = int(ratio * majority) - minority
     original = df.select(id_column, label, *features).withColumn("is_synthetic", F.lit(0))
+    if wanted < 0 and not lenient:
+        raise ValueError(f"class 1 already exceeds {ratio} of class 0")
     if wanted <= 0:
         return original
+    if k > minority - 1 and not lenient:
+        raise ValueError(f"{k} neighbours are asked for among {minority} rows of class 1")
     if minority < 2:
         raise ValueError("interpolation needs at least two rows of class 1")
     x = F.array(*[F.col(f).cast("double") for f in features])
     points = keep(df.filter(F.col(label) == 1).select(F.col(id_column).cast("bigint").alias("id"), x.alias("x")), "points")
-    neighbors = nearest_neighbors(points, min(k, minority - 1))
+    neighbors = nearest_neighbors(points, min(k, minority - 1), keep=keep)
 
     every, rest = divmod(wanted, minority)
     base = points.withColumn("copies", F.lit(every))
@@ -96,8 +104,6 @@ def smote(
         (hash_number(digest, 9) / F.lit(4294967296.0)).alias("u"),
     )
     targets = points.select(F.col("id").alias("other"), F.col("x").alias("y"))
-    if minority <= BROADCAST_VECTORS:
-        targets = F.broadcast(targets)
     mixed = drawn.join(targets, "other").select(
         "id", F.zip_with("x", "y", lambda a, b: a + F.col("u") * (b - a)).alias("z")
     )

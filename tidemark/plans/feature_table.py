@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,17 +13,8 @@ from tidemark.schema import COLUMNS, FEATURE_SCHEMA
 from tidemark.sources.model import Sources
 
 
-@dataclass(frozen=True)
-class Cohort:
-    """A staged cohort and its counted size."""
-
-    rows: DataFrame
-    size: int
-
-
-def staged_cohort(src: Sources, cfg: FeatureConfig, keep: Stage = stage) -> Cohort:
-    rows = keep(build_cohort(src, cfg), "cohort")
-    return Cohort(rows, rows.count())
+def staged_cohort(src: Sources, cfg: FeatureConfig, keep: Stage = stage) -> DataFrame:
+    return keep(build_cohort(src, cfg), "cohort")
 
 
 def label_table(cohort: DataFrame, src: Sources, cfg: FeatureConfig) -> DataFrame:
@@ -38,17 +27,17 @@ def history_table(cohort: DataFrame, src: Sources, cfg: FeatureConfig) -> DataFr
     return orders.trailing_order_features(cohort, kept, orders.product_classes(src.route_dim, cfg.words), cfg)
 
 
-def behavior_table(cohort: Cohort, src: Sources, cfg: FeatureConfig, keep: Stage = stage) -> DataFrame:
+def behavior_table(cohort: DataFrame, src: Sources, cfg: FeatureConfig, keep: Stage = stage) -> DataFrame:
     """Both fact tables are read by two steps each, so they are staged."""
     views, contacts = stage_together(
         keep,
-        product_days=browsing.product_day_views(cohort.rows, src, cfg, cohort.size),
-        contact_days=communication.communication_days(cohort.rows, src, cfg, cohort.size),
+        product_days=browsing.product_day_views(cohort, src, cfg),
+        contact_days=communication.communication_days(cohort, src, cfg),
     )
     coupons = browsing.coupon_days(src.coupons, cfg.behavior_start, cfg.behavior_end)
     return behavior.behavior_features(
-        cohort.rows,
-        behavior.decision_time(cohort.rows, views, contacts, cfg.decision_cap),
+        cohort,
+        behavior.decision_time(cohort, views, contacts, cfg.decision_cap),
         behavior.browsing_features(views, browsing.product_weights(src, cfg), coupons),
         behavior.communication_features(contacts),
     )
@@ -58,9 +47,9 @@ def feature_table(src: Sources, cfg: FeatureConfig, keep: Stage = stage) -> Data
     """One row per cohort customer, columns and types as in `FEATURE_SCHEMA`."""
     cohort = staged_cohort(src, cfg, keep)
     joined = (
-        label_table(cohort.rows, src, cfg)
-        .join(profile.customer_profile(cohort.rows, src, cfg).drop("create_date"), "cust_id", "left")
-        .join(history_table(cohort.rows, src, cfg), "cust_id", "left")
+        label_table(cohort, src, cfg)
+        .join(profile.customer_profile(cohort, src, cfg).drop("create_date"), "cust_id", "left")
+        .join(history_table(cohort, src, cfg), "cust_id", "left")
         .join(behavior_table(cohort, src, cfg, keep), "cust_id", "left")
     )
     return joined.select(

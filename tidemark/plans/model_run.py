@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 
 from tidemark.config import Vocabulary
 from tidemark.functions.staging import Stage, stage
-from tidemark.operators.model import fit_forest
+from tidemark.operators import metrics
+from tidemark.operators.model import fit_forest, score
 from tidemark.operators.prep import PrepModel, encode_ordinals, fit_prep, hash_split
 from tidemark.operators.resample import smote, undersample
 from tidemark.schema import KEYS
@@ -26,6 +28,8 @@ class ModelParams:
     trees: int = 100
     depth: int = 30
     seed: int = 42
+    # Small tables: accept ratios that are out of reach and fewer neighbours than asked for.
+    lenient: bool = False
 
 
 @dataclass(frozen=True)
@@ -44,10 +48,10 @@ def rebalanced(train: DataFrame, prep: PrepModel, params: ModelParams, keep: Sta
     # Scaled inputs with no missing value: distances need every coordinate.
     matrix = keep(prep.transform_matrix(train), "matrix")
     over = keep(
-        smote(matrix, params.label, "cust_id", prep.features, params.over_ratio, params.neighbors, params.seed, keep),
+        smote(matrix, params.label, "cust_id", prep.features, params.over_ratio, params.neighbors, params.seed, keep, params.lenient),
         "oversampled",
     )
-    return undersample(over, params.label, "cust_id", params.under_ratio, params.seed)
+    return undersample(over, params.label, "cust_id", params.under_ratio, params.seed, params.lenient)
 
 
 def train_model(features: DataFrame, words: Vocabulary, params: ModelParams, keep: Stage = stage) -> Trained:
@@ -61,3 +65,33 @@ def train_model(features: DataFrame, words: Vocabulary, params: ModelParams, kee
         balanced, prep.features, params.label, [prep.as_stage(kept)], params.trees, params.depth, params.seed
     )
     return Trained(prep, model, test)
+
+
+@dataclass(frozen=True)
+class Evaluation:
+    """Quality of a model on one cohort; the first three have a row or more for each threshold."""
+
+    confusion: DataFrame
+    report: DataFrame
+    auc_hard: DataFrame
+    auc_rank: DataFrame
+
+
+def evaluate(
+    model: PipelineModel,
+    features: DataFrame,
+    words: Vocabulary,
+    label: str,
+    thresholds: Sequence[float] = (0.5, 0.4, 0.3),
+    keep: Stage = stage,
+) -> Evaluation:
+    """Scores a later cohort's feature table once and measures the classes at every threshold, and the ranking."""
+    scored = keep(score(model, encode_ordinals(features, words), ("cust_id", label)).drop("predicted"), "scored")
+    swept = metrics.threshold_sweep(scored, "score", thresholds)
+    matrix = metrics.confusion_matrix(swept, label, by=["threshold"])
+    return Evaluation(
+        matrix,
+        metrics.classification_report(matrix, by=["threshold"]),
+        metrics.auc_hard(swept, label, by=["threshold"]),
+        metrics.auc_rank(scored, label),
+    )

@@ -62,7 +62,7 @@ _TRAINING = {
         select visitor_trace, search_key,
                cast(case when regexp_matches(search_key, 'ticket|hotel') then 0
                          when coalesce(lower(search_key), 'null') = 'null' then null else 1 end as bigint) as search_key_type
-        from s_traffic where event_type = 'click'""",
+        from s_traffic""",
     "traffic_union": f"select {_VIEW} from page_views",
     "latest_product_rating": f"select f_product_id, {_RATING} from newest_rating",
     "coupon_day_match": f"""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import FeatureConfig, scoring_config, training_config
 from tidemark.functions.expr import or_zero, search_intent
+from tidemark.functions.joins import keep_members
 from tidemark.functions.staging import new_path
 from tidemark.operators import behavior, browsing, cohort, communication, orders, profile
 from tidemark.plans import feature_table as features
@@ -41,10 +42,7 @@ class Run:
 
     @cached_property
     def cohort(self) -> DataFrame:
-        return cohort.cohort(self.src, self.cfg)
-
-    @cached_property
-    def staged(self) -> features.Cohort:
+        """Written once: its six channels are not scanned again by each step that uses it."""
         return features.staged_cohort(self.src, self.cfg)
 
     @property
@@ -102,7 +100,7 @@ def history_features(run: Run) -> DataFrame:
 
 
 def pairwise_order_interval(run: Run) -> DataFrame:
-    executed = orders.effective_orders(run.src.history_orders, None, run.cfg.distribution_flags)
+    executed = orders.effective_orders(run.src.history_orders, run.cfg.interval_orders_since, run.cfg.distribution_flags)
     mean = orders.pairwise_interval(executed, run.cohort)
     return mean.select(F.round("all_avg_time_interval", 6).alias("all_avg_time_interval"))
 
@@ -114,7 +112,8 @@ def tenure_days(run: Run) -> DataFrame:
 
 
 def reachable_channels(run: Run) -> DataFrame:
-    found = profile.reachable_channels(run.src.access_channel).withColumnRenamed("user_id", "cust_id")
+    own = keep_members(run.src.access_channel, run.cohort, "user_id")
+    found = profile.reachable_channels(own).withColumnRenamed("user_id", "cust_id")
     return run.cohort.join(found, "cust_id", "left").select(
         "cust_id", or_zero(F.col("access_channel_cnt")).alias("access_channel_cnt"), "access_channels"
     )
@@ -122,11 +121,12 @@ def reachable_channels(run: Run) -> DataFrame:
 
 def searches(run: Run) -> DataFrame:
     intent = search_intent(F.col("search_key"), run.cfg.words.single_search_words)
-    return run.whole.app_traffic.select("visitor_trace", "search_key", intent.alias("search_key_type"))
+    views = run.whole.app_traffic.unionByName(run.whole.web_traffic)
+    return views.select("visitor_trace", "search_key", intent.alias("search_key_type"))
 
 
 def latest_product_rating(run: Run) -> DataFrame:
-    return browsing.latest_product_rating(run.src.product_rating)
+    return browsing.latest_product_rating(run.src.product_rating, run.cfg.rating_ties)
 
 
 def coupon_day_match(run: Run) -> DataFrame:
@@ -156,7 +156,7 @@ def browsing_features(run: Run) -> DataFrame:
 
 
 def behavior_features(run: Run) -> DataFrame:
-    return features.behavior_table(run.staged, run.src, run.cfg)
+    return features.behavior_table(run.cohort, run.src, run.cfg)
 
 
 def feature_table(run: Run) -> DataFrame:

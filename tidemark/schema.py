@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 from tidemark.operators.behavior import BROWSING, COMMUNICATION
+from tidemark.operators.orders import HISTORY
 
+# The names and the order of the columns.
 LABELS = ("executed_flag_7", "executed_flag_15", "ordered_flag_7", "ordered_flag_15")
 PROFILE = (
     "cust_level",
@@ -19,17 +21,6 @@ PROFILE = (
     "age_group",
     "access_channel_cnt",
 )
-HISTORY = (
-    "executed_orders_cnt",
-    "complaint_orders_cnt",
-    "cp_avg",
-    "cp_min",
-    "cp_max",
-    "satisfaction_avg",
-    "vac_executed_cnt",
-    "vac_cp_avg",
-    "vac_satisfaction_avg",
-)
 COLUMNS = ("cust_id", "create_date", *LABELS, *PROFILE, *HISTORY, "decision_time", *BROWSING, *COMMUNICATION)
 
 _MONEY = T.DecimalType(18, 2)
