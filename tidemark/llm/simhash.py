@@ -256,6 +256,8 @@ def near_duplicate_groups(rows: DataFrame, radius: int = RADIUS, id_column: str
     )
     known = stars.join(least, "component").select(F.col("node").alias("fingerprint"), "least")
     of_code = codes.join(known, "fingerprint", "left").select("fingerprint", F.coalesce("least", "first").alias("component_id"))
+    # Written down, it is a side of its own in the last join, and a fingerprint of very many rows can be split there.
+    of_code = stage(of_code, "of-code")
     return rows.drop("component_id").join(of_code, "fingerprint", "left")
 
 
