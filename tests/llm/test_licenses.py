@@ -11,7 +11,16 @@ def grams(text):
 
 
 def plain(text):
-    parts = {*(text or "").split("\n"), *re.split(r"\n[ \t\r\n]*\n", text or ""), text or ""}
+    """All segments against all templates."""
+    paragraphs = [[]]
+    for line in (text or "").split("\n"):
+        if grams(line):
+            paragraphs[-1].append(line)
+        else:
+            paragraphs.append([])
+    paragraphs = [p for p in paragraphs if p]
+    parts = [line for p in paragraphs for line in p] + [" ".join(p) for p in paragraphs if len(p) > 1]
+    parts += [text] if len(paragraphs) > 1 else []
     found = []
     for part in parts:
         a = grams(part)
@@ -20,7 +29,7 @@ def plain(text):
             dice = round(2 * len(a & b) / (len(a) + len(b)), 6)
             if dice >= THRESHOLD:
                 found.append((name, dice))
-    return ",".join(sorted({n for n, _ in found})), len(found), max((d for _, d in found), default=None)
+    return sorted(found)
 
 
 MIT = next(w for n, w in TEMPLATES if n == "MIT" and len(w) > 200)
@@ -31,20 +40,30 @@ TEXTS = [
 ]
 
 
+def found(table, **options):
+    return [(r["doc_id"], sorted((m["license"], m["dice"]) for m in r["matches"])) for r in scan(table, **options).collect()]
+
+
 def test_against_all_templates(spark):
     rows = [(i, t, "x", [1]) for i, t in enumerate(TEXTS)] + [(3, MIT, "x", [1]), (None, MIT, "x", None)]
-    table = spark.createDataFrame(rows, "doc_id long, text string, license string, grams array<int>")
-    got = sorted(((r["doc_id"], r["licenses"], r["n_matches"], r["best_dice"]) for r in scan(spark, table).collect()), key=str)
-    assert got == sorted(((i, *plain(t)) for i, t, _, _ in rows), key=str)
+    table = spark.createDataFrame(rows, "doc_id long, text string, license string, matches array<int>")
+    assert sorted(found(table), key=str) == sorted(((i, plain(t)) for i, t, _, _ in rows), key=str)
 
 
 @pytest.mark.parametrize("threshold", [0.5, 1.0])
 def test_bounds_lose_nothing(spark, threshold, monkeypatch):
     monkeypatch.setattr("test_licenses.THRESHOLD", threshold)
     table = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
-    for r in scan(spark, table, threshold=threshold).collect():
-        assert (r["licenses"], r["n_matches"], r["best_dice"]) == plain(TEXTS[r["doc_id"]])
+    assert dict(found(table, threshold=threshold)) == {i: plain(t) for i, t in enumerate(TEXTS)}
+
+
+def test_places(spark):
+    text = "one two three four\nReleased under the MIT License.\n\n" + MIT
+    row = scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert [(m["license"], m["segment"], m["first_word"], m["words"]) for m in row["matches"]] == [
+        ("MIT", "line", 4, 5), ("MIT", "line", 9, len(re.findall(r"[a-z]+", MIT.lower()))), ("MIT", "text", 0, 9 + len(re.findall(r"[a-z]+", MIT.lower())))
+    ]
 
 
-def test_empty_table(spark, nothing):
-    assert scan(spark, nothing).collect() == []
+def test_empty_table(nothing):
+    assert scan(nothing).collect() == []

@@ -4,20 +4,29 @@ Texts are normalised to lower-case words. Segments are the lines of a text, its
 whole, so that a notice of one line and a licence of many paragraphs are both found. The Dice coefficient of two sets of a
 and b bigrams is at most 2 min(a, b) / (a + b): templates outside those size bounds are not compared.
 
-Only DataFrame functions are used. Templates are a fixed list in this file, and that list is what is broadcast;
-documents are shuffled only as one small row each after their matches are put together.
+Two cheap tests come first, and neither can lose a match: a segment needs some bigrams that occur in a template at
+all, and one with too many different bigrams for the largest template is left at the first that are too many. Documents are not shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from tidemark.llm.common import with_arrays
 
 THRESHOLD = 0.8
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+MADE = "matches array<struct<license: string, dice: double, segment: string, first_word: bigint, words: bigint>>"
+# A-Z become lower-case, digits, line ends and bytes above 127 stay, and all other ASCII bytes part words.
+_SPELLING = bytes(
+    b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 or b == 10 else 32 for b in range(256)
+)
+_LINE, _TEXT = b"\x01", b"\x02"
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 # Identifiers with the wording of their notices and licences.
 TEMPLATES = (
@@ -73,55 +82,116 @@ TEMPLATES = (
 )
 
 
-def bigrams(text: Column) -> Column:
-    """The different pairs of neighbouring words; a text of one word has that word, one of none has nothing."""
-    words = F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(WORD), 0)
-    pairs = F.zip_with(
-        F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))),
-        F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))),
-        lambda a, b: F.concat(a, F.lit(" "), b),
-    )
-    return F.array_distinct(F.when(F.size(words) == 1, words).otherwise(pairs))
+def _tokens(text: str | None) -> list[bytes]:
+    """Words, with a mark after every line."""
+    return text.encode("utf-8", "surrogatepass").translate(_SPELLING).replace(b"\n", b" \x01 ").split() if text else []
+
+
+def bigrams(words: Sequence[bytes]) -> frozenset:
+    """The different pairs of neighbouring words; a segment of one word has that word, one of none has nothing."""
+    return frozenset(words) if len(words) == 1 else frozenset(zip(words, words[1:]))
+
+
+class Scanner:
+    """Compares slices of texts with the templates."""
 
+    def __init__(self, templates: Sequence[tuple[str, str]], threshold: float):
+        self.threshold = threshold
+        self.templates = [(name, bigrams(_tokens(wording))) for name, wording in templates]
+        sizes = [len(grams) for _, grams in self.templates]
+        # From 2 |A and B| >= t (a + b) follow bounds on a segment's bigrams a and on those it shares with a template.
+        self.most = math.floor(max(sizes, default=0) * (2 - threshold) / threshold + 1e-9)
+        self.least = max(1, math.ceil(min(sizes, default=1) * threshold / (2 - threshold) - 1e-9))
+        codes = [self._code(g) for _, grams in self.templates for g in grams]
+        self.codes = np.unique(np.array(codes, dtype=np.uint64))
 
-def segments(text: Column) -> Column:
-    """Lines, paragraphs (parted by blank lines) and the whole text, each different one once."""
-    return F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, "\n[ \t\r\n]*\n"), F.array(text)))
+    @staticmethod
+    def _code(gram: tuple[bytes, bytes] | bytes) -> int:
+        """A number for a bigram (or for a single word): equal ones have equal numbers."""
+        if isinstance(gram, bytes):
+            return hash(gram) % 2**64
+        return (hash(gram[0]) * int(_MIX) + hash(gram[1])) % 2**64
+
+    def _candidates(self, pair_known: np.ndarray, word_known: np.ndarray, pair: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> Iterator[int]:
+        """Segments (ranges of words) that pass the cheap tests."""
+        before = np.r_[0, np.cumsum(pair_known)]
+        known = before[np.maximum(ends - 1, begins)] - before[begins]
+        size = ends - begins
+        single = (size == 1) & word_known[np.minimum(begins, len(word_known) - 1)]
+        for s in np.flatnonzero((known >= self.least) | single).tolist():
+            first, last = int(begins[s]), int(ends[s]) - 1
+            if last - first <= self.most or len(np.unique(pair[first : min(last, first + 4 * self.most)])) <= self.most:
+                yield s
+
+    def __call__(self, texts: list[str | None]) -> list[list[tuple[str, float, str, int, int]]]:
+        found: list[list[tuple[str, float, str, int, int]]] = [[] for _ in texts]
+        flat: list[bytes] = []
+        for text in texts:
+            flat += _tokens(text)
+            flat.append(_TEXT)
+        numbers = np.fromiter(map(hash, flat), dtype=np.int64, count=len(flat)).view(np.uint64)
+        ends_text = numbers == np.uint64(hash(_TEXT) % 2**64)
+        ends_line = ends_text | (numbers == np.uint64(hash(_LINE) % 2**64))
+        is_word = ~ends_line
+        words = [w for w, keep in zip(flat, is_word.tolist()) if keep]
+        if not words:
+            return found
+        # Segments as ranges of word numbers; `text_of` the text of each line.
+        line_ends = np.cumsum(is_word)[ends_line]
+        line_begins = np.r_[0, line_ends[:-1]]
+        text_of = (np.cumsum(ends_text) - ends_text)[ends_line]
+        last_line = ends_text[ends_line]
+        levels = {"line": (line_begins, line_ends, text_of)}
+        # A paragraph ends at a line without words and at the end of its text.
+        stop = (line_begins == line_ends) | last_line
+        stops = np.flatnonzero(stop)
+        levels["paragraph"] = (np.r_[0, line_ends[stops[:-1]]], line_ends[stops], text_of[stops])
+        lasts = np.flatnonzero(last_line)
+        levels["text"] = (np.r_[0, line_ends[lasts[:-1]]], line_ends[lasts], text_of[lasts])
+        # A paragraph of one line and a text of one paragraph are not segments of their own.
+        filled = np.r_[0, np.cumsum(line_begins < line_ends)]
+        lines_in = {"paragraph": filled[stops + 1] - filled[np.r_[0, stops[:-1] + 1]]}
+        begins, ends, _ = levels["paragraph"]
+        full = np.r_[0, np.cumsum(begins < ends)]
+        of_text = np.searchsorted(stops, lasts)
+        lines_in["text"] = full[of_text + 1] - full[np.r_[0, of_text[:-1] + 1]]
+
+        values = numbers[is_word]
+        pair = values[:-1] * _MIX + values[1:]
+        pair_known, word_known = np.isin(pair, self.codes), np.isin(values, self.codes)
+        for level, (begins, ends, owner) in levels.items():
+            use = ends > begins if level == "line" else lines_in[level] > 1
+            begins, ends, owner = begins[use], ends[use], owner[use]
+            for s in self._candidates(pair_known, word_known, pair, begins, ends):
+                grams = bigrams(words[begins[s] : ends[s]])
+                for name, template in self.templates:
+                    least, most = sorted((len(grams), len(template)))
+                    if 2 * least >= self.threshold * (least + most) - 1e-9:
+                        dice = round(2 * len(grams & template) / (least + most), 6)
+                        if dice >= self.threshold:
+                            found[owner[s]].append((name, dice, level, int(begins[s]), int(ends[s] - begins[s])))
+        first_words = np.r_[0, line_ends[lasts]]
+        return [[(n, d, level, at - int(first_words[i]), count) for n, d, level, at, count in rows] for i, rows in enumerate(found)]
 
 
 def scan(
-    spark: SparkSession,
     docs: DataFrame,
     templates: Sequence[tuple[str, str]] = TEMPLATES,
     threshold: float = THRESHOLD,
-    id_column: str = "doc_id",
     text_column: str = "text",
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
-    """(doc_id, licenses, n_matches, best_dice) for every row of `docs`.
+    """`docs` with `matches`: for each matching (segment, template) the licence, the coefficient and the words it covers.
 
-    `licenses` lists the identifiers that match, sorted; `n_matches` counts matching (segment, template) pairs of
-    different segments; `best_dice` is the largest coefficient of a match and null without one. A null or empty
-    text has no match. Repeated rows are repeated in the result.
+    Segments are lines, paragraphs of several lines (parted by lines without words) and texts of several paragraphs. A
+    null or empty text has no match. Repeated lines and rows count each time; a column named `matches` is replaced.
     """
-    known = spark.createDataFrame(list(templates), "license string, wording string")
-    known = known.select("license", bigrams(F.col("wording")).alias("template")).withColumn("b", F.size("template"))
-    bound = threshold / (2 - threshold)
-    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).withColumn("_row", F.monotonically_increasing_id())
-    parts = rows.select("_row", "doc_id", F.explode_outer(segments(F.col("text"))).alias("segment"))
-    parts = parts.select("_row", "doc_id", bigrams(F.col("segment")).alias("grams")).withColumn("a", F.size("grams"))
-    # For each template all sizes that the bound allows: a join by size compares nothing outside.
-    sizes = known.select("license", "template", F.explode(F.sequence(F.ceil(F.col("b") * bound - 1e-9), F.floor(F.col("b") / bound + 1e-9))).alias("size"))
-    paired = parts.join(F.broadcast(sizes), F.col("a") == F.col("size"), "left")
-    shared = F.size(F.array_intersect("grams", "template"))
-    dice = F.round(2.0 * shared / (F.col("a") + F.size("template")), 6)
-    scored = paired.select("_row", "doc_id", "license", dice.alias("dice"))
-    match = F.col("dice") >= threshold
-    return (
-        scored.groupBy("_row", "doc_id")
-        .agg(
-            F.array_join(F.array_sort(F.collect_set(F.when(match, F.col("license")))), ",").alias("licenses"),
-            F.count(F.when(match, F.lit(1))).alias("n_matches"),
-            F.max(F.when(match, F.col("dice"))).alias("best_dice"),
-        )
-        .drop("_row")
-    )
+    templates = list(templates)
+
+    def start() -> Callable:
+        scanner = Scanner(templates, threshold)
+        fields = ("license", "dice", "segment", "first_word", "words")
+        kind = pa.list_(pa.struct([pa.field(f, t) for f, t in zip(fields, (pa.string(), pa.float64(), pa.string(), pa.int64(), pa.int64()))]))
+        return lambda texts: [pa.array([[dict(zip(fields, m)) for m in rows] for rows in scanner(texts)], kind)]
+
+    return with_arrays(docs, text_column, start, MADE, keep)

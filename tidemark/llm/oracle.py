@@ -97,11 +97,22 @@ _QUOTED = ", ".join("({})".format(", ".join("'" + v.replace("'", "''") + "'" for
 OP2 = rf"""
 with known as (
   select license, {_PAIRS} as t from (select license, {_WORDS} as w from (values {_QUOTED}) v (license, x))
-), doc as (select row_number() over () as r, doc_id, text from documents),
-seg as (
-  select r, unnest(list_distinct(list_concat(list_concat(string_split(text, chr(10)), string_split_regex(text, '\n[ \t\r\n]*\n')), [text]))) as x
-  from doc where text is not null
-), parts as (select r, {_PAIRS} as g from (select r, {_WORDS} as w from seg) where len(w) > 0),
+), doc as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
+line as (
+  select r, q, {_WORDS} as w
+  from (select r, q, unnest(string_split(part, chr(10))) as x
+        from (select r, unnest(parts) as part, unnest(range(len(parts))) as q
+              from (select r, string_split_regex(text, '\\n[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]*\\n') as parts from doc)))
+), paragraph as (
+  select r, q, count(*) as n, {_WORDS} as w
+  from (select r, q, w as words, string_agg(array_to_string(w, ' '), ' ') over (partition by r, q) as x from line where len(w) > 0)
+  group by r, q, x
+), whole as (
+  select r, {_WORDS} as w from (select r, text as x from doc where r in (select r from paragraph group by r having count(*) > 1))
+), parts as (
+  select r, {_PAIRS} as g from (
+    select r, w from line where len(w) > 0 union all select r, w from paragraph where n > 1 union all select r, w from whole)
+),
 scored as (
   select r, license, round(2.0 * len(list_intersect(g, t)) / (len(g) + len(t)), 6) as dice
   from parts join known on len(g) >= len(t) * 0.8 / 1.2 - 1 and len(t) >= len(g) * 0.8 / 1.2 - 1
@@ -110,6 +121,5 @@ select doc_id, coalesce(string_agg(distinct license, ',' order by license), '')
 from doc left join met using (r) group by r, doc_id
 """
 
-
 def llm_sql() -> dict[str, str]:
     return {"op2_licenses": OP2, "op5_decontamination": OP5, "op10_url_filter": OP10}

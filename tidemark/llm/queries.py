@@ -25,7 +25,13 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_licenses(spark: SparkSession, folder: str) -> DataFrame:
-    return licenses.scan(spark, read(spark, folder, "documents"))
+    rows = licenses.scan(read(spark, folder, "documents"), keep=["doc_id"])
+    return rows.select(
+        "doc_id",
+        F.array_join(F.array_sort(F.array_distinct(F.col("matches.license"))), ",").alias("licenses"),
+        F.size("matches").cast("bigint").alias("n_matches"),
+        F.array_max("matches.dice").alias("best_dice"),
+    )
 
 
 def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
