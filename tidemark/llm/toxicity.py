@@ -1,8 +1,9 @@
 """Toxicity scores from gradient-boosted trees over dense features.
 
 The features are rates of a text: lexicon densities, lexicon words close to a second person, capitals, punctuation,
-and obfuscation. The lexicon is learned from labelled rows: words and word beginnings that are much more frequent in toxic texts, chosen one after the other by how many toxic texts they newly explain, so that a group of near
-copies adds few entries and not all of its words. Trees (Spark ML) are fitted on a part of the labelled rows and
+and obfuscation. The lexicon is learned from labelled rows: words and word beginnings that are much more frequent
+in toxic texts, chosen one after the other by how many toxic texts they newly explain, so that a group of near
+copies adds few entries and not all of its words. Trees (Spark ML) are fitted on a part of the labelled rows, and
 their output is calibrated on the rest by isotonic regression.
 
 The classifier is fitted on a sample of at most about `SAMPLE_ROWS` labelled rows; every row is scored on its
@@ -14,8 +15,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +65,7 @@ _PARTS = re.compile(r"[^\W_]+")
 _STRETCHED = re.compile(r"([^\W\d_])\1\1+")
 _MIXED = re.compile(r"[^\W\d_][\d@$!|*_.\-]+[^\W\d_]")
 _LOOKALIKE = str.maketrans(LOOKALIKES)
+_OUTSIDE = ".,;:!?\"'()[]{}…«»“”"
 
 
 def spellings(token: str) -> tuple[set[str], set[str]]:
@@ -74,9 +77,9 @@ def spellings(token: str) -> tuple[set[str], set[str]]:
     return plain, undone - plain - {""}
 
 
-def _terms(words: set[str]) -> set[str]:
-    """Words, and their beginnings marked with a star."""
-    return words | {w[:n] + "*" for w in words for n in PREFIXES if len(w) > n}
+def _terms(word: str) -> list[str]:
+    """A word, and its beginnings marked with a star."""
+    return [word, *[word[:n] + "*" for n in PREFIXES if len(word) > n]]
 
 
 def _counted(text: str | None) -> tuple[int, Counter]:
@@ -84,7 +87,7 @@ def _counted(text: str | None) -> tuple[int, Counter]:
     words = Counter(_PARTS.findall((text or "").lower()))
     terms: Counter = Counter()
     for word, n in words.items():
-        for term in _terms({word}):
+        for term in _terms(word):
             terms[term] += n
     return words.total(), terms
 
@@ -150,7 +153,8 @@ def choose_terms(texts: list[list[str]], weights: dict[str, float]) -> list[str]
 class Measurer:
     """Turns slices of texts into feature rows; what is known of a token is remembered."""
 
-    # Per token: letters, capitals, marks, exclamation marks, second person, lexicon weight, by beginning only, disguised, in capitals, obfuscated, stretched, single letter
+    # Per token: letters, capitals, marks, exclamation marks, second person, lexicon weight, found by a beginning,
+    # found behind a disguise, in capitals, obfuscated, stretched, a single letter.
     WIDTH = 12
 
     def __init__(self, lexicon: dict[str, float]):
@@ -162,25 +166,42 @@ class Measurer:
         self.index: dict[str, int] = {}
         self.table = np.zeros((0, self.WIDTH), dtype=np.float32)
 
-    def weight(self, words: set[str]) -> tuple[float, bool]:
+    def weight(self, words: Iterable[str]) -> tuple[float, bool]:
         """The largest weight of the words' terms, and whether it comes from a beginning."""
-        found = [(self.lexicon[t], t.endswith("*")) for t in _terms(words) if t in self.lexicon]
-        return max(found, key=lambda f: (f[0], not f[1])) if found else (0.0, False)
+        best, lexicon = (0.0, True), self.lexicon
+        for word in words:
+            for term in _terms(word):
+                if term in lexicon:
+                    best = max(best, (lexicon[term], not term.endswith("*")))
+        return best[0], not best[1]
 
     def describe(self, token: str) -> tuple[float, ...]:
-        plain, undone = spellings(token)
-        letters = sum(map(str.isalpha, token))
-        capitals = sum(map(str.isupper, token))
-        weight, beginning = self.weight(plain)
-        disguised = False
-        if not weight and undone:
-            weight, beginning = self.weight(undone)
-            disguised = weight > 0
-        marks = sum(not (c.isalnum() or c.isspace()) for c in token)
+        core = token.strip(_OUTSIDE)
+        if core.isalpha():
+            # A word with nothing inside that could be a disguise, but perhaps stretched.
+            low = core.lower()
+            stretched = _STRETCHED.search(low) is not None
+            weight, beginning = self.weight((low,))
+            disguised = False
+            if stretched and not weight:
+                weight, beginning = self.weight((_STRETCHED.sub(r"\1", low),))
+                disguised = weight > 0
+            letters, mixed, person = len(core), False, low in self.people
+            capitals = 0 if core == low else sum(map(str.isupper, core))
+        else:
+            plain, undone = spellings(token)
+            weight, beginning = self.weight(plain)
+            disguised = False
+            if not weight and undone:
+                weight, beginning = self.weight(undone)
+                disguised = weight > 0
+            letters, capitals = sum(map(str.isalpha, token)), sum(map(str.isupper, token))
+            mixed, stretched = _MIXED.search(token) is not None, _STRETCHED.search(token.lower()) is not None
+            person = not self.people.isdisjoint(plain)
+        marks = len(token) - letters if letters == len(core) else sum(not c.isalnum() for c in token)
+        single, shouted = letters == 1 and len(token) == 1, letters > 1 and capitals == letters
         return (
-            letters, capitals, marks, token.count("!"), bool(plain & self.people), weight, beginning, disguised,
-            letters > 1 and capitals == letters, bool(_MIXED.search(token)), bool(_STRETCHED.search(token.lower())),
-            letters == 1 and len(token) == 1,
+            letters, capitals, marks, token.count("!"), person, weight, beginning and weight > 0, disguised, shouted, mixed, stretched, single
         )
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
@@ -192,12 +213,13 @@ class Measurer:
             parts = text.split() if text else []
             tokens += parts
             counts[i] = len(parts)
-        which = np.fromiter(map(self.index.get, tokens, [-1] * len(tokens)), dtype=np.int64, count=len(tokens))
+        which = np.fromiter(map(self.index.get, tokens, repeat(-1)), dtype=np.int64, count=len(tokens))
         unseen = np.flatnonzero(which < 0).tolist()
         if unseen:
             fresh = list(dict.fromkeys(tokens[i] for i in unseen))
             self.index.update(zip(fresh, range(len(self.index), len(self.index) + len(fresh))))
-            self.table = np.concatenate([self.table, np.array([self.describe(t) for t in fresh], dtype=np.float32)])
+            facts = np.fromiter(chain.from_iterable(map(self.describe, fresh)), dtype=np.float32, count=len(fresh) * self.WIDTH)
+            self.table = np.concatenate([self.table, facts.reshape(-1, self.WIDTH)])
             which[unseen] = [self.index[tokens[i]] for i in unseen]
         facts = self.table[which]
         doc = np.repeat(np.arange(len(texts)), counts)
@@ -220,7 +242,7 @@ class Measurer:
         for begin, end in self._runs(single > 0, doc):
             owner = doc[begin]
             spaced[owner] += 1
-            found, _ = self.weight({"".join(tokens[begin:end]).lower()})
+            found, _ = self.weight(("".join(tokens[begin:end]).lower(),))
             if found:
                 hit_count[owner] += 1
                 sums[owner] += found
