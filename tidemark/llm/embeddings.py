@@ -186,7 +186,8 @@ def _links_of_width(spark: SparkSession, classes: DataFrame, size: int, threshol
                 parts = substrings(_matrix(batch.column(1)), *shared.value, bits)
                 offsets = np.arange(len(parts) + 1) * parts.shape[1]
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(parts.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), lists], names=["id", "vector", "copies", "codes"])
+                columns = [batch.column(0), batch.column(1), batch.column(2), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "vector", "copies", "codes"])
 
     coded = classes.select("id", "vector", "copies").mapInArrow(code, "id bigint, vector array<double>, copies bigint, codes array<bigint>")
     coded = stage(coded, "codes")
@@ -199,7 +200,8 @@ def _links_of_width(spark: SparkSession, classes: DataFrame, size: int, threshol
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = placed.select(
         "id", "table_number", "substring",
-        F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.col("block") > F.col("other")).cast("int").alias("side"),
+        F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
+        (F.col("block") > F.col("other")).cast("int").alias("side"),
     )
     cells = cells.join(coded, "id")
     return cells.groupBy("table_number", "substring", "low", "high").applyInArrow(_block_links(threshold), "id bigint, root bigint, links bigint")
