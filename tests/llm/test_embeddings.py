@@ -102,3 +102,44 @@ def test_nothing_to_link(spark):
     assert near_duplicate_vectors(spark, empty).collect() == []
     assert found(spark, [(1, None), (2, [])]) == [(1, 0, 1), (2, 0, 2)]
     assert sorted(found(spark, [(1, [1.0, 2.0]), (2, [2.0, 4.0])])) == [(1, 1, 1), (2, 1, 1)]
+
+
+def cone(rng, size, width, cosine):
+    """Vectors that share a direction: two of them have this cosine in the mean."""
+    vectors = math.sqrt((1 - cosine) / width) * rng.standard_normal((size, width))
+    vectors[:, 0] += math.sqrt(cosine)
+    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+
+
+def moved(rng, vectors, cosine):
+    moves = rng.standard_normal(vectors.shape)
+    moves -= (moves * vectors).sum(axis=1, keepdims=True) * vectors
+    return cosine * vectors + math.sqrt(1 - cosine**2) * moves / np.linalg.norm(moves, axis=1, keepdims=True)
+
+
+def test_recall_of_vectors_with_a_common_direction(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "BUCKET_ROWS", 4)
+    rng = np.random.default_rng(9)
+    a = cone(rng, 1000, 64, 0.8)
+    b = moved(rng, a, 0.952)
+    rows = list(enumerate(np.vstack([a, b]).tolist()))
+    want = int((a @ a.T >= 0.95).sum() + (b @ b.T >= 0.95).sum() + 2 * (a @ b.T >= 0.95).sum()) - 2000
+    assert want >= 2000 and sum(n for _, n, _ in found(spark, rows)) >= 0.9 * want
+
+
+@pytest.mark.parametrize("vectors", [50_000, 1_500_000, 15_000_000])
+@pytest.mark.parametrize("cosine", [0, 0.5, 0.8])
+def test_recall_at_several_sizes(vectors, cosine):
+    rng = np.random.default_rng(10)
+    mean, projection, bits = embeddings.fit_codes(cone(rng, 5000, 64, cosine), vectors)
+    a = cone(rng, 3000, 64, cosine)
+    codes = [embeddings.substrings(x, mean, projection, bits) for x in (a, moved(rng, a, 0.95))]
+    assert bits and (codes[0] == codes[1]).any(axis=1).mean() >= 0.94
+
+
+def test_one_bucket_if_no_table_would_do():
+    rng = np.random.default_rng(11)
+    mean, projection, bits = embeddings.fit_codes(cone(rng, 500, 64, 0.9999), 10**9)
+    a = cone(rng, 500, 64, 0.9999)
+    codes = [embeddings.substrings(x, mean, projection, bits) for x in (a, moved(rng, a, 0.95))]
+    assert (codes[0] == codes[1]).any(axis=1).mean() >= 0.94

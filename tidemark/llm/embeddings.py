@@ -3,8 +3,10 @@
 Iterative quantisation (Gong and Lazebnik, CVPR 2011) learns a rotation of the principal axes under
 which signs are balanced binary codes. The code is cut into substrings, one hash table for each: vectors that agree
 in a whole substring meet in a bucket of its table, and are compared there by their original components in double
-precision. Substring length and number of tables follow from the number of vectors and the wanted recall at
-the threshold angle; more tables than one rotation has bits for take further rotations.
+precision. Substring length follows from the number of vectors. Tables are added until the wanted share of planted pairs,
+sample vectors and their copies moved to exactly the threshold, meet under the fitted mean and rotations: where
+vectors share a direction, the angle about the mean is larger than that about the origin. More tables than one
+rotation has bits for take further rotations.
 
 A bucket may hold any share of the vectors. It is cut into blocks, and pairs of blocks are compared by different
 tasks. No pair leaves a task: a vector's links are counted where they are found, in the first table in which the pair
@@ -34,22 +36,24 @@ RECALL = 0.97
 # Vectors of a bucket that are compared in one task and, on average, vectors of a bucket.
 BLOCK_ROWS, BUCKET_ROWS = 2048, 256
 LEAST_BITS, MOST_BITS = 6, 30
+# Planted pairs of each kind, and tables above which shorter substrings are taken instead.
+PLANTED_PAIRS, MOST_TABLES = 4000, 256
 # Rows whose cosines with a block are held at a time.
 STRIP_ROWS = 256
 
 
 def table_shape(vectors: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int]:
-    """(bits of a substring, tables): buckets of about `BUCKET_ROWS` vectors, and enough tables for the recall.
+    """(bits of a substring, tables): buckets of about `BUCKET_ROWS` vectors, and enough tables for vectors without a mean.
 
-    Two vectors at an angle agree in a random sign bit with probability 1 - angle / pi.
+    Two vectors at an angle agree in a random sign bit with probability 1 - angle / pi. `fit_codes` takes the bits from here.
     """
     bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, vectors) / BUCKET_ROWS))))
     agree = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - agree))
 
 
-def fit_rotations(sample: np.ndarray, bits: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, projection with `bits` columns): rotated principal axes, as many rotations as the bits need."""
+def rotations(sample: np.ndarray, seed: int = 11) -> tuple[np.ndarray, Iterator[np.ndarray]]:
+    """(mean, endless rotated principal axes, as columns)."""
     width = sample.shape[1]
     unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
     mean = unit.mean(axis=0)
@@ -57,20 +61,68 @@ def fit_rotations(sample: np.ndarray, bits: int, seed: int = 11) -> tuple[np.nda
     _, axes = np.linalg.eigh(centred.T @ centred)
     axes = axes[:, ::-1]
     random = np.random.default_rng(seed)
-    columns = []
-    while sum(c.shape[1] for c in columns) < bits:
-        rotation, _ = np.linalg.qr(random.standard_normal((width, width)))
+
+    def fitted() -> Iterator[np.ndarray]:
         projected = centred @ axes
-        for _ in range(ITERATIONS if len(sample) > width else 0):
-            codes = np.where(projected @ rotation >= 0, 1.0, -1.0)
-            left, _, right = np.linalg.svd(codes.T @ projected)
-            rotation = (left @ right).T
-        columns.append((axes @ rotation)[:, random.permutation(width)])
-    return mean, np.hstack(columns)[:, :bits]
+        while True:
+            rotation, _ = np.linalg.qr(random.standard_normal((width, width)))
+            for _ in range(ITERATIONS if len(sample) > width else 0):
+                codes = np.where(projected @ rotation >= 0, 1.0, -1.0)
+                left, _, right = np.linalg.svd(codes.T @ projected)
+                rotation = (left @ right).T
+            yield (axes @ rotation)[:, random.permutation(width)]
+
+    return mean, fitted()
+
+
+def planted_pairs(sample: np.ndarray, threshold: float, seed: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(vectors, others, kind): pairs at exactly the threshold, moved in any direction (0) or as sample vectors differ (1)."""
+    random = np.random.default_rng(seed)
+    unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    chosen, a, b = (random.integers(0, len(unit), 2 * PLANTED_PAIRS) for _ in range(3))
+    vectors = unit[chosen]
+    kind = np.repeat([0, 1], PLANTED_PAIRS)
+    moves = np.where(kind[:, None] == 0, random.standard_normal(vectors.shape), unit[a] - unit[b])
+    moves -= (moves * vectors).sum(axis=1, keepdims=True) * vectors
+    size = np.linalg.norm(moves, axis=1, keepdims=True)
+    # Without a direction to move to (one dimension, equal vectors) there is no such pair.
+    movable = size[:, 0] > 1e-9
+    vectors, kind = vectors[movable], kind[movable]
+    return vectors, threshold * vectors + math.sqrt(max(0.0, 1 - threshold**2)) * (moves / np.maximum(size, 1e-300))[movable], kind
+
+
+def fit_codes(sample: np.ndarray, vectors: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[np.ndarray, np.ndarray, int]:
+    """(mean, projection, bits of a substring): tables until the share `recall` of either kind of planted pairs has met.
+
+    Where that would take more than `MOST_TABLES`, substrings get shorter; with none all vectors are in one bucket.
+    """
+    mean, fitted = rotations(sample)
+    left, right, kind = planted_pairs(sample, threshold)
+    projection = next(fitted)
+    agrees = ((left - mean) @ projection >= 0) == ((right - mean) @ projection >= 0)
+    bits, least = table_shape(vectors, threshold, recall)
+    while bits:
+        met = np.zeros(len(left), dtype=bool)
+        for table in range(MOST_TABLES):
+            while agrees.shape[1] < (table + 1) * bits:
+                further = next(fitted)
+                projection = np.hstack([projection, further])
+                agrees = np.hstack([agrees, ((left - mean) @ further >= 0) == ((right - mean) @ further >= 0)])
+            met |= agrees[:, table * bits : (table + 1) * bits].all(axis=1)
+            if table + 1 >= least and all(met[kind == k].mean() >= recall for k in np.unique(kind)):
+                return mean, projection[:, : (table + 1) * bits], bits
+            # A bit's agreement says early when the tables will be too many.
+            share = max(1e-12, min((agrees[kind == k].mean() for k in np.unique(kind)), default=1.0) ** bits)
+            if table == 0 and share < 1 and math.log(1 - recall) / math.log1p(-share) > MOST_TABLES:
+                break
+        bits -= 1
+    return mean, projection[:, :0], 0
 
 
 def substrings(vectors: np.ndarray, mean: np.ndarray, projection: np.ndarray, bits: int) -> np.ndarray:
-    """One number for each vector and table: the substring of its code."""
+    """One number for each vector and table: the substring of its code. Without bits all are in one bucket of one table."""
+    if not bits:
+        return np.zeros((len(vectors), 1), dtype=np.int64)
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     signs = (unit - mean) @ projection >= 0
     return signs.reshape(len(vectors), -1, bits) @ (1 << np.arange(bits, dtype=np.int64))
@@ -173,11 +225,10 @@ def near_duplicate_vectors(
 
 def _links_of_width(spark: SparkSession, classes: DataFrame, size: int, threshold: float, sample_rows: int, recall: float) -> DataFrame:
     """(id, root, links) of classes of one vector length, several rows for an id."""
-    bits, tables = table_shape(size, threshold, recall)
     share = min(1.0, sample_rows / size)
     chosen = classes.filter(F.pmod(F.xxhash64("vector"), F.lit(1_000_000)) < max(1, int(share * 1_000_000)))
     sample = np.array([r["vector"] for r in chosen.select("vector").collect()] or [classes.first()["vector"]])
-    mean, projection = fit_rotations(sample, bits * tables)
+    mean, projection, bits = fit_codes(sample, size, threshold, recall)
     shared = spark.sparkContext.broadcast((mean, projection))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
