@@ -49,6 +49,36 @@ def test_what_is_not_the_article(other, wrap):
     assert main_text(f"<html><body>{other}{body}{other}</body></html>") == f"{PROSE} {PROSE}"
 
 
+@pytest.mark.parametrize(
+    "open_tag", ["<div class='content with-sidebar'>", "<div class='layout no-sidebar'>", "<form id=aspnetForm>", "<div class=widget>", "<div id=comments-on>"]
+)
+@pytest.mark.parametrize("wrap", ["<article><p>{0}</p><p>{0}</p></article>", "<main><p>{0}</p><p>{0}</p></main>"])
+def test_a_name_does_not_ban_what_encloses_the_article(open_tag, wrap):
+    other = "<div class=sidebar>side</div><div class=cookie-notice>We use cookies.</div><section id=comments><article>first!</article></section>"
+    tag = open_tag[1:].split()[0]
+    other = other if wrap.startswith("<article") else other.replace("article", "p")
+    assert main_text(f"<body>{open_tag}{other}{wrap.format(PROSE)}{other}</{tag}>{other}</body>") == f"{PROSE} {PROSE}"
+
+
+@pytest.mark.parametrize("wrap", ["<body>{}</body>", "<article>{}</article>", "<main>{}</main>"])
+@pytest.mark.parametrize("open_tag", ["<div class='elementor-widget elementor-widget-text-editor'>", "<div class=layout-no-sidebar>", "<form>"])
+def test_a_part_of_a_name_does_not_ban_most_of_the_text(open_tag, wrap):
+    tag = open_tag[1:].split()[0].rstrip(">")
+    page = f"<div class=site-footer>foot</div>{open_tag}<p>{PROSE}</p><p>{PROSE}</p></{tag}><div class=text-widget>more</div>"
+    assert main_text(wrap.format(page)) == f"{PROSE} {PROSE}"
+
+
+@pytest.mark.parametrize("name", ["comments", "comments-area", "related", "related-posts"])
+def test_articles_of_others_stay_banned(name):
+    other = f"<section class={name}><article><p>first!</p></article></section>"
+    assert main_text(f"<main><p>{PROSE}</p>{other}</main>") == PROSE
+    assert main_text(f"{other}<div class=with-sidebar><main><p>{PROSE}</p></main></div>") == PROSE
+
+
+def test_a_lifted_name_does_not_cut_words():
+    assert main_text(f"<article><p>un<span class='text-widget'>bro{PROSE}</span>ken</article>") == f"unbro{PROSE}ken"
+
+
 def test_paths_of_running_text_score_higher():
     page = f"<div><p>{PROSE}</p><p>{PROSE}</p></div><ul><li><a href=a>short</a></li><li><a href=b>link</a></li></ul>"
     found = blocks(page)

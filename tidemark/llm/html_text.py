@@ -4,7 +4,9 @@ Every piece of text of a page has a path of tags from the root. Pieces with equa
 text length and punctuation, each per piece, say how much the path looks like running text. Both ratios are
 smoothed along the page, fused by multiplication with the share of text outside links, and paths
 above a threshold are content. What markup itself names as something else (menus, headers of the page, footers, side
-bars, notices, adverts, forms, scripts, reader comments) is never content. Where a page marks an article, the
+bars, notices, adverts, forms, scripts, reader comments) is never content, but a class or id name or a form gives way
+where it encloses the page's article, and a form or a name that is only a part of a compound also where it encloses most of the
+text of high-scoring paths: such an element is a wrapper. Where a page marks an article, the
 threshold is zero inside, so that a short heading there is text too, and outside it is the article's best score.
 
 Blocks are cut at block-level tags. Character references are decoded; white space inside a block becomes one
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -57,6 +60,8 @@ NAMED = frozenset(
 )
 HEADERS = frozenset("header masthead banner".split())
 COMMENTS = frozenset("comment comments reply replies".split())
+# How firmly markup names something else: not; by a part of a name; by a whole name; by its tag, role or hiding.
+NOT, PART, WHOLE, NEVER = range(4)
 
 _TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -78,53 +83,94 @@ class Block:
     path: str
     banned: bool
     article: int
+    # Elements around it that a name or a form may ban, and whether it goes on after the block before it.
+    named: tuple[int, ...] = ()
+    continues: bool = False
     pieces: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
 
 
-def _named_otherwise(tag: str, attributes: str, article: int) -> bool:
-    """Whether a tag or its class, id or role names something that is not the article.
+def _named_otherwise(tag: str, attributes: str, article: int) -> int:
+    """How firmly a tag or its class, id or role names something that is not the article.
 
     A header or a figure's caption inside an article is not the page's.
     """
-    if tag in BOILERPLATE and not (article == ARTICLE["article"] and tag in ("header", "figcaption")):
-        return True
+    if tag in BOILERPLATE and tag != "form" and not (article == ARTICLE["article"] and tag in ("header", "figcaption")):
+        return NEVER
+    found = PART if tag == "form" else NOT
     if not attributes or tag in ("body", "html", "main"):
-        return False
+        return found
     names = COMMENTS if tag == "article" else NAMED - HEADERS if article else NAMED
     for name, *values in _NAMES.findall(attributes):
-        name, value = name.lower(), "".join(values).lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if name == "role" and value in ROLES:
-            return True
-        if name in ("class", "id") and names.intersection(_WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", "".join(values)).lower())):
-            return True
-    return False
+        name, value = name.lower(), "".join(values)
+        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
+            return NEVER
+        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value.lower()):
+            return NEVER
+        if name == "role" and value.lower() in ROLES:
+            return NEVER
+        if name in ("class", "id"):
+            for token in value.split():
+                parts = set(_WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower()))
+                if names.intersection(parts):
+                    if tag == "article":
+                        return NEVER
+                    found = max(found, WHOLE if parts <= names or parts & COMMENTS else PART)
+    return found
+
+
+def _lift_bans(found: list[Block], firmness: list[int], landmarks: list[tuple[str, tuple[int, ...]]]) -> None:
+    """Bans the blocks inside named elements, but for elements that enclose the article or most of the text."""
+    lifted: set[int] = set()
+    usable = [b for b in found if not b.banned and b.text]
+
+    def text_in(within: list[Block]) -> Counter:
+        sizes: Counter = Counter()
+        for block in within:
+            for element in block.named:
+                sizes[element] += len(block.text)
+        return sizes
+
+    # Where names enclose every article, the one around most of the articles' text is lifted, from the outside in.
+    of_articles = text_in([b for b in usable if b.article])
+    while landmarks and not any(lifted.issuperset(named) for _, named in landmarks):
+        outermost = {next(n for n in named if n not in lifted) for _, named in landmarks}
+        lifted.add(min(outermost, key=lambda n: (-of_articles[n], n)))
+    if PART in firmness and usable:
+        scores = path_scores(usable)
+        # Inside the landmarks, if there are any that no name encloses.
+        level = max((ARTICLE[tag] for tag, named in landmarks if lifted.issuperset(named)), default=0)
+        strong = [b for b, high in zip(usable, scores >= THRESHOLD * scores.mean()) if high and b.article >= level]
+        total = sum(len(b.text) for b in strong)
+        lifted.update(n for n, size in text_in(strong).items() if firmness[n] == PART and 2 * size > total)
+    for block in found:
+        block.banned = block.banned or not lifted.issuperset(block.named)
 
 
 def blocks(page: str) -> list[Block]:
     """The blocks of text of a page in their order."""
     found: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # tag, banned, inside an article
+    stack: list[tuple[str, bool, int, tuple[int, ...]]] = []  # tag, banned, inside an article, named elements around
+    firmness: list[int] = []
+    landmarks: list[tuple[str, tuple[int, ...]]] = []
     open_block: Block | None = None
     position = 0
 
-    def top() -> tuple[str, bool, int]:
-        return stack[-1] if stack else ("", False, 0)
+    def top() -> tuple[str, bool, int, tuple[int, ...]]:
+        return stack[-1] if stack else ("", False, 0, ())
 
     def add(text: str) -> None:
         nonlocal open_block
         if not text:
             return
-        _, banned, article = top()
-        if open_block is None or open_block.banned != banned:
+        _, banned, article, named = top()
+        if open_block is None or (open_block.banned, open_block.named) != (banned, named):
             if not text.strip():
+                if open_block is not None:
+                    open_block.pieces.append(" ")
                 return
-            open_block = Block("/".join(t for t, *_ in stack if t not in INLINE), banned, article)
+            open_block = Block("/".join(t for t, *_ in stack if t not in INLINE), banned, article, named, open_block is not None)
             found.append(open_block)
         decoded = html.unescape(text) if "&" in text else text
         open_block.pieces.append(decoded)
@@ -167,13 +213,30 @@ def blocks(page: str) -> list[Block]:
                 if attributes.rstrip().endswith("/") and tag in ("svg", "math"):
                     continue
                 position = end.start() if end else len(page)
-                stack.append((tag, True, top()[2]))
+                stack.append((tag, True, top()[2], top()[3]))
                 continue
-            _, banned, article = top()
-            stack.append((tag, banned or _named_otherwise(tag, attributes, article), max(article, ARTICLE.get(tag, 0))))
+            _, banned, article, named = top()
+            firm = NEVER if banned else _named_otherwise(tag, attributes, article)
+            if firm in (PART, WHOLE):
+                named = (*named, len(firmness))
+                firmness.append(firm)
+            if tag in ARTICLE and firm != NEVER:
+                landmarks.append((tag, named))
+            stack.append((tag, firm == NEVER, max(article, ARTICLE.get(tag, 0)), named))
     for block in found:
         block.text = " ".join("".join(block.pieces).split())
-    return [b for b in found if b.text]
+    if firmness:
+        _lift_bans(found, firmness, landmarks)
+    # Text goes on across the border of an inline element whose name bans nothing.
+    whole: list[Block] = []
+    for block in found:
+        if block.continues and whole and whole[-1].banned == block.banned:
+            whole[-1].pieces += block.pieces
+            whole[-1].linked += block.linked
+            whole[-1].text = " ".join("".join(whole[-1].pieces).split())
+        else:
+            whole.append(block)
+    return [b for b in whole if b.text]
 
 
 def path_scores(page_blocks: list[Block]) -> np.ndarray:
