@@ -67,3 +67,35 @@ def test_places(spark):
 
 def test_empty_table(nothing):
     assert scan(nothing).collect() == []
+
+
+ISC = (
+    'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above '
+    'copyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH '
+    "REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, "
+    "DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, "
+    "NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+)
+CODE = "\n\n".join(f"def function_{i}(value_{i}):\n    return value_{i} + {i}" for i in range(40))
+PARAGRAPHS = MIT.replace("conditions: The", "conditions:\n\nThe").replace("Software. THE", "Software.\n\nTHE")
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        (f"Copyright 2020 A. Author\n\n{PARAGRAPHS}\n\n{CODE}", [("MIT", 1.0)]),
+        (f"{CODE}\n\n{ISC}\n\n{CODE}", [("ISC", 1.0)]),
+        ("It has been there for long. It is released under the MIT License. It goes on and on.", [("MIT", 1.0)]),
+        ("It was released under the MIT License and then under CC BY 4.0 by them, and all rights reserved.", [("CC-BY-4.0", 0.888889), ("MIT", 1.0), ("all-rights-reserved", 1.0)]),
+        (f"a line before {'x ' * 500} all rights reserved {'y ' * 500} all rights reserved", [("all-rights-reserved", 1.0)] * 2),
+        ("the end: all rights", []),
+    ],
+)
+def test_windows(spark, text, want):
+    table = spark.createDataFrame([(1, text), (2, "reserved. Some text")], "doc_id long, text string")
+    assert dict(found(table)) == {1: want, 2: []}
+    row = scan(table).filter("doc_id = 1").first()
+    spelled = re.findall(r"[a-z0-9]+", text.lower())
+    wordings = [" ".join(re.findall(r"[a-z0-9]+", w.lower())) for _, w in TEMPLATES]
+    assert all(m["segment"] == "window" for m in row["matches"])
+    assert all(" ".join(spelled[m["first_word"] : m["first_word"] + m["words"]]) in wordings for m in row["matches"] if m["dice"] == 1)

@@ -1,7 +1,9 @@
 """Licence scans: segments of text against licence templates by the Dice coefficient of their word bigrams.
 
 Texts are normalised to lower-case words. Segments are the lines of a text, its paragraphs and the text as a
-whole, so that a notice of one line and a licence of many paragraphs are both found. The Dice coefficient of two sets of a
+whole, so that a notice of one line and a licence of many paragraphs are both found. Where no segment matches a licence,
+windows of words are compared that begin and end with a bigram of the template: a notice inside a longer line, and
+a licence of some of a text's paragraphs. The Dice coefficient of two sets of a
 and b bigrams is at most 2 min(a, b) / (a + b): templates outside those size bounds are not compared.
 
 Two cheap tests come first, and neither can lose a match: a segment needs some bigrams that occur in a template at
@@ -10,6 +12,7 @@ all, and one with too many different bigrams for the largest template is left at
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Callable, Iterator, Sequence
 
@@ -102,8 +105,9 @@ class Scanner:
         # From 2 |A and B| >= t (a + b) follow bounds on a segment's bigrams a and on those it shares with a template.
         self.most = math.floor(max(sizes, default=0) * (2 - threshold) / threshold + 1e-9)
         self.least = max(1, math.ceil(min(sizes, default=1) * threshold / (2 - threshold) - 1e-9))
-        codes = [self._code(g) for _, grams in self.templates for g in grams]
-        self.codes = np.unique(np.array(codes, dtype=np.uint64))
+        codes = [[self._code(g) for g in grams] for _, grams in self.templates]
+        self.codes = np.unique(np.array([c for of in codes for c in of], dtype=np.uint64))
+        self.codes_of = [np.array(of, dtype=np.uint64) for of in codes]
 
     @staticmethod
     def _code(gram: tuple[bytes, bytes] | bytes) -> int:
@@ -123,6 +127,41 @@ class Scanner:
             if last - first <= self.most or len(np.unique(pair[first : min(last, first + 4 * self.most)])) <= self.most:
                 yield s
 
+    def _windows(self, words: list[bytes], places: np.ndarray, text_of: np.ndarray, template: frozenset) -> Iterator[tuple[float, int, int]]:
+        """(dice, first word, words) of the best window from each place, if it matches; `places` are sorted and hold all bigrams of the template."""
+        least = max(1, math.ceil(len(template) * self.threshold / (2 - self.threshold) - 1e-9))
+        most = math.floor(len(template) * (2 - self.threshold) / self.threshold + 1e-9)
+        last = places[least - 1 :]
+        first = places[: len(last)]
+        for i in np.flatnonzero((last - first < most) & (text_of[first] == text_of[last])).tolist():
+            begin, best = int(first[i]), (0.0, 0, 0)
+            seen, shared = set(), 0
+            for at in range(begin, min(begin + most, len(words) - 1)):
+                if text_of[at + 1] != text_of[begin]:
+                    break
+                gram = (words[at], words[at + 1])
+                new = gram not in seen
+                seen.add(gram)
+                if gram in template:
+                    shared += new
+                    dice = round(2 * shared / (len(seen) + len(template)), 6)
+                    if dice >= best[0]:
+                        best = (dice, begin, at + 2 - begin)
+            if best[0] >= self.threshold:
+                yield best
+
+    @staticmethod
+    def _apart(windows: list[tuple[float, int, int]]) -> Iterator[tuple[float, int, int]]:
+        """The best windows first: one that overlaps a better one is left."""
+        begins: list[int] = []
+        ends: list[int] = []
+        for dice, begin, count in sorted(set(windows), key=lambda w: (-w[0], w[1], -w[2])):
+            k = bisect.bisect_left(begins, begin)
+            if (k == 0 or ends[k - 1] <= begin) and (k == len(begins) or begins[k] >= begin + count):
+                begins.insert(k, begin)
+                ends.insert(k, begin + count)
+                yield dice, begin, count
+
     def __call__(self, texts: list[str | None]) -> list[list[tuple[str, float, str, int, int]]]:
         found: list[list[tuple[str, float, str, int, int]]] = [[] for _ in texts]
         flat: list[bytes] = []
@@ -159,6 +198,7 @@ class Scanner:
         values = numbers[is_word]
         pair = values[:-1] * _MIX + values[1:]
         pair_known, word_known = np.isin(pair, self.codes), np.isin(values, self.codes)
+        whole: dict[int, list[tuple[frozenset, float, int, int]]] = {}
         for level, (begins, ends, owner) in levels.items():
             use = ends > begins if level == "line" else lines_in[level] > 1
             begins, ends, owner = begins[use], ends[use], owner[use]
@@ -170,7 +210,32 @@ class Scanner:
                         dice = round(2 * len(grams & template) / (least + most), 6)
                         if dice >= self.threshold:
                             found[owner[s]].append((name, dice, level, int(begins[s]), int(ends[s] - begins[s])))
+                            whole.setdefault(int(owner[s]), []).append((template, dice, int(begins[s]), int(ends[s] - begins[s])))
         first_words = np.r_[0, line_ends[lasts]]
+        owner_of = np.repeat(np.arange(len(texts)), np.diff(first_words))
+        covered: dict[str, np.ndarray] = {}
+        for rows in found:
+            for name, _, _, begin, count in rows:
+                covered.setdefault(name, np.zeros(len(words), dtype=bool))[begin : begin + count] = True
+        windows: dict[str, list[tuple[float, int, int]]] = {}
+        places = np.flatnonzero(pair_known)
+        for (name, template), codes in zip(self.templates, self.codes_of):
+            own = places[np.isin(pair[places], codes)]
+            own = own[owner_of[own] == owner_of[own + 1]]
+            if name in covered:
+                own = own[~covered[name][own] & ~covered[name][own + 1]]
+            # A window around a matched segment is that segment's match.
+            for w in self._windows(words, own, owner_of, template):
+                if name not in covered or not covered[name][w[1] : w[1] + w[2]].any():
+                    windows.setdefault(name, []).append(w)
+        for name, of_name in windows.items():
+            for dice, begin, count in self._apart(of_name):
+                # Words that a better segment around them has from its own template are no notice of another licence.
+                grams = bigrams(words[begin : begin + count])
+                around = [t for t, d, b, c in whole.get(int(owner_of[begin]), ()) if d >= dice and b <= begin and begin + count <= b + c]
+                if any(grams <= template for template in around):
+                    continue
+                found[owner_of[begin]].append((name, dice, "window", begin, count))
         return [[(n, d, level, at - int(first_words[i]), count) for n, d, level, at, count in rows] for i, rows in enumerate(found)]
 
 
@@ -183,7 +248,9 @@ def scan(
 ) -> DataFrame:
     """`docs` with `matches`: for each matching (segment, template) the licence, the coefficient and the words it covers.
 
-    Segments are lines, paragraphs of several lines (parted by lines without words) and texts of several paragraphs. A
+    Segments are lines, paragraphs of several lines (parted by lines without words) and texts of several paragraphs, and
+    windows of words in what no other segment matches of a licence, the best of those that overlap, at most of the most bigrams
+    that a match can have; templates of one word have no windows. A
     null or empty text has no match. Repeated lines and rows count each time; a column named `matches` is replaced.
     """
     templates = list(templates)
