@@ -96,3 +96,12 @@ def test_empty_tables(spark, tables, nothing):
     assert find_contamination(spark, nothing, items).collect() == []
     none = find_contamination(spark, docs, items.filter("false")).collect()
     assert len(none) == len(TEXTS) and all(r["hits"] == [] and r["matches"] == [] for r in none)
+
+
+@pytest.mark.parametrize("block_bytes", [8_000_000, 80])
+def test_an_item_with_two_texts_is_listed_once(spark, block_bytes):
+    first, second = "one two three four five six seven eight nine ten", "red orange yellow green blue indigo violet black white grey"
+    docs = spark.createDataFrame([(1, f"{first} and {second}"), (2, second)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, first), (7, second), (8, second)], "item_id long, text string")
+    rows = find_contamination(spark, docs, items, block_bytes=block_bytes).collect()
+    assert {r["doc_id"]: sorted(r["item_ids"]) for r in rows} == {1: [7, 8], 2: [7, 8]}

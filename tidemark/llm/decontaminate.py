@@ -146,11 +146,14 @@ def match_texts(texts: list[str | None], block: dict) -> list[pa.Array]:
     begins, ends = np.flatnonzero(covered[1:] & ~covered[:-1]), np.flatnonzero(covered[:-1] & ~covered[1:])
     span_doc = np.searchsorted(starts, begins, "right") - 1
 
-    # Distinct (text, class), then the ids of each class.
+    # Distinct (text, class), then the different ids of a text's classes.
     pairs = np.unique(doc * max(1, len(block["ids"])) + kind)
     pair_doc, pair_class = np.divmod(pairs, max(1, len(block["ids"])))
     ids = [block["ids"][c] for c in pair_class.tolist()]
     id_doc = np.repeat(pair_doc, [len(i) for i in ids]) if ids else np.zeros(0, dtype=np.int64)
+    # An item may have several texts, and so several classes: a text lists its id once.
+    listed = dict.fromkeys(zip(id_doc.tolist(), (i for group in ids for i in group)))
+    id_doc = np.fromiter((d for d, _ in listed), dtype=np.int64, count=len(listed))
 
     order = np.lexsort((length, kind, place))  # by place, and so by text
     kind, item_start, place, length, doc = (x[order] for x in (kind, item_start, place, length, doc))
@@ -162,7 +165,7 @@ def match_texts(texts: list[str | None], block: dict) -> list[pa.Array]:
     return [
         pa.array(np.diff(starts) - 1, pa.int64()),
         _lists(_structs(start=begins - starts[span_doc], length=ends - begins), span_doc, len(texts)),
-        _lists(pa.array([i for group in ids for i in group], pa.int64()), id_doc, len(texts)),
+        _lists(pa.array([i for _, i in listed], pa.int64()), id_doc, len(texts)),
         _lists(places, doc, len(texts)),
     ]
 
