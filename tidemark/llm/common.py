@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Rows that a task handles at a time: texts are large, so an Arrow batch is cut again.
+# Rows and UTF-8 bytes of text that a task handles at a time: texts are large, so an Arrow batch is cut again.
 SLICE_ROWS = 512
+SLICE_BYTES = 4_000_000
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -22,10 +25,19 @@ def remainder(key: str, modulus: int) -> Column:
     return (F.crc32(F.col(key).cast("string").cast("binary")) % modulus).cast("int")
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+def slices(
+    batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, column: str | int = "_text", most_bytes: int = SLICE_BYTES
+) -> Iterator[pa.RecordBatch]:
+    """Slices of up to `rows` rows whose texts have up to `most_bytes` bytes; a longer text is a slice of its own."""
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0)
+        ends = np.concatenate([[0], np.cumsum(lengths.to_numpy(zero_copy_only=False), dtype=np.int64)])
+        start = 0
+        while start < batch.num_rows:
+            end = int(np.searchsorted(ends, ends[start] + most_bytes, side="right")) - 1
+            end = min(max(end, start + 1), start + rows, batch.num_rows)
+            yield batch.slice(start, end - start)
+            start = end
 
 
 def with_arrays(

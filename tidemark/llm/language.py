@@ -93,7 +93,7 @@ def learn_profiles(docs: DataFrame, label_column: str = "lang", text_column: str
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bundler, sums = Bundler(), {}
-        for part in slices(batches):
+        for part in slices(batches, column=1):
             labels, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
             names = sorted(set(labels))
             owner = np.array([names.index(x) for x in labels], dtype=np.int64)

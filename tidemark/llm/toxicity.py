@@ -98,7 +98,7 @@ def learn_lexicon(rows: DataFrame) -> dict[str, float]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Occurrences in clean and in toxic texts, and the number of toxic texts. The empty term stands for all words.
         seen, texts = (Counter(), Counter()), Counter()
-        for part in slices(batches):
+        for part in slices(batches, column=0):
             for text, toxic in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 words, terms = _counted(text)
                 seen[toxic].update(terms)
@@ -120,7 +120,7 @@ def learn_lexicon(rows: DataFrame) -> dict[str, float]:
     shared = rows.sparkSession.sparkContext.broadcast(frozenset(weights))
 
     def reduce_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, column=0):
             found = [sorted(shared.value & _counted(t)[1].keys()) for t in part.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string()))], names=["terms"])
 
