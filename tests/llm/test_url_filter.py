@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm.queries import URL_RULES
-from tidemark.llm.url_filter import ALPHABET, host_and_path, judge, ratio_model
+from tidemark.llm import url_filter
+from tidemark.llm.url_filter import BEGIN, END, grams, host_and_path, judge, ratio_model
 
 
 @pytest.mark.parametrize(
@@ -45,7 +46,7 @@ def test_model_against_plain_recursion(spark):
     table = spark.createDataFrame([(g, seen["accepted"][g], seen["rejected"][g]) for g in grams], "gram string, accepted long, rejected long")
 
     def probability(counts, gram):
-        value = 1 / len(ALPHABET)
+        value = 1 / len({g[3] for g in grams})
         for order in range(4):
             part = gram[3 - order :]
             parts = Counter()
@@ -79,3 +80,35 @@ def test_without_labels_and_without_rows(spark):
     assert judge(table, URL_RULES).count() == 3
     assert judge(table.filter("false"), URL_RULES).collect() == []
     assert judge(table.withColumn("url", F.repeat(F.lit("http://x.org/y"), 20000)), URL_RULES).count() == 3
+    assert {r["verdict"] for r in judge(table.withColumn("url", F.lit(None).cast("string")), URL_RULES).collect()} == {"allow"}
+
+
+def test_a_url_of_a_megabyte(spark):
+    table = spark.createDataFrame([(1, "http://a.b/c"), (2, "http://x.org/fr/1")], "page_id long, url string")
+    long = table.withColumn("url", F.concat("url", F.repeat(F.lit("/äy9"), 250_000)))
+    assert {r["page_id"]: len(r["path"]) for r in judge(table.unionByName(long), URL_RULES).collect() if len(r["path"]) > 10} == {1: 1_000_002, 2: 1_000_005}
+
+
+def test_grams_keep_every_character(spark):
+    row = spark.createDataFrame([("é.x", "/A\U0001f600?9")], "h string, p string").select(grams(F.col("h"), F.col("p"))).first()[0]
+    spelled = BEGIN * 3 + "é.x/A\U0001f600?9" + END
+    assert row == [spelled[i : i + 4] for i in range(len(spelled) - 3)]
+
+
+def test_scripts_and_digits_are_told_apart(spark):
+    """URLs that differ only in their script or in digits have verdicts of their own."""
+    good = [f"http://site{i}.org/fr/сад-{i % 7}" for i in range(60)] + [f"http://s{i}.org/fr/2" for i in range(40)]
+    bad = [f"http://site{i}.net/赌场-{i % 7}" for i in range(60)] + [f"http://s{i}.net/7" for i in range(40)]
+    new = [("http://x.com/сад", "allow"), ("http://x.com/赌场", "block"), ("http://s.com/2", "allow"), ("http://s.com/7", "block")]
+    table = spark.createDataFrame([(i, u) for i, u in enumerate(good + bad + [u for u, _ in new])], "page_id long, url string")
+    scores = {r["page_id"]: (r["verdict"], r["score"]) for r in judge(table, URL_RULES).collect() if r["page_id"] >= 200}
+    assert [scores[200 + i][0] for i in range(2)] == ["allow", "block"]
+    assert scores[202][1] > scores[203][1]
+
+
+def test_rare_grams_score_like_heavy_ones(spark, monkeypatch):
+    rows = [(i, f"http://h{i % 5}.{'org/fr' if i % 2 else 'net'}/{i * 37 % 11}") for i in range(80)] + [(100 + i, f"http://q{i}.com/{i}") for i in range(20)]
+    table = spark.createDataFrame(rows, "page_id long, url string")
+    want = sorted(map(tuple, judge(table, URL_RULES).collect()), key=str)
+    monkeypatch.setattr(url_filter, "HEAVY", 20)
+    assert sorted(map(tuple, judge(table, URL_RULES).collect()), key=str) == want

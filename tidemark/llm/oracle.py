@@ -46,7 +46,7 @@ _ORDERS = "".join(
 ), model{k} as (
   select gram, case when na > 0 then (accepted + ta * pa) / (na + ta) else pa end as pa,
          case when nr > 0 then (rejected + tr * pr) / (nr + tr) else pr end as pr
-  from {f"model{k - 1}" if k else "(select gram, cast(1 as double) / 36 as pa, cast(1 as double) / 36 as pr from counts)"} m
+  from {f"model{k - 1}" if k else "(select gram, 1.0::double / v as pa, 1.0::double / v as pr from counts, different)"} m
   join part{k} on part = substr(gram, {4 - k}, {k + 1}) join context{k} on context = substr(part, 1, {k})"""
     for k in range(4)
 )
@@ -67,15 +67,15 @@ with split as (
   group by host, path
 ), spelled as (
   select host, path, verdict, substr(md5(host || path), 1, 1) in ('0', '1', '2') as held,
-         '^^^' || regexp_replace(translate(host || path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'),
-                                 '[^a-z0./_%~-]', '?', 'g') || '$' as s
+         repeat(chr(2), 3) || host || path || chr(3) as s
   from decided
 ), grams as (
   select host, path, verdict, held, substr(s, i, 4) as gram from (select *, unnest(range(1, length(s) - 2)) as i from spelled)
 ), counts as (
   select gram, sum(case when verdict = 'allow' and not held then 1 else 0 end) as accepted,
          sum(case when verdict = 'block' and not held then 1 else 0 end) as rejected
-  from grams group by 1{_ORDERS}
+  from grams group by 1
+), different as (select count(distinct substr(gram, 4, 1)) as v from counts{_ORDERS}
 ), ratios as (select gram, cast(round(ln(pa / pr) * 1000000) as bigint) as ratio from model3),
 scores as (
   select host, path, verdict, held, sum(ratio) / count(*) as score from grams join ratios using (gram) group by all

@@ -5,9 +5,10 @@ of accepted and one of rejected URLs: contexts of three characters down to none,
 Witten and Bell. The score is the log-likelihood difference for each character, and the border between the
 verdicts is calibrated on labelled URLs that the models have not seen. Labels are the rules' own verdicts.
 
-URLs are spelled in an alphabet of 36 characters, so a model has at most 36**4 rows whatever the input: that is
-the bound of what is broadcast. Counting is one aggregation with map-side sums over different URLs; scoring a
-URL reads the model in its task, and its sum is formed there before anything is shuffled.
+Characters are the URL's own, in any script, so the table of grams grows with the input. Each order of a model is
+joined with the order below on the context they share, at most as many rows for each key as there are characters.
+To score, the grams that hold a `HEAVY`-th of all occurrences or more, so at most `HEAVY` of them, are broadcast
+and summed where the URL is; only the rest, none of them frequent, meets the model in a shuffle.
 """
 
 from __future__ import annotations
@@ -22,9 +23,11 @@ from tidemark.functions.staging import stage
 # (verdict, host, path): fits the host and its subdomains if the path begins with the rule's.
 Rule = tuple[str, str, str]
 
-# Digits are one character, and all characters that are not listed are "?"; "^" is before a URL, "$" behind it.
-ALPHABET = "abcdefghijklmnopqrstuvwxyz0./-_%~?^$"
+# Marks before and behind a URL, characters that URLs do not have.
+BEGIN, END = "\x02", "\x03"
 CONTEXT = 3
+# Grams with at least this share of all occurrences are broadcast: there are no more than this many.
+HEAVY = 10_000
 # Different URLs whose md5 begins with one of these are for the calibration and not for the models.
 CALIBRATION_DIGITS = ("0", "1", "2")
 # Log ratios are whole millionths, so that their sums do not depend on the order.
@@ -52,43 +55,53 @@ def longest_rule(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Col
 
 def grams(host: Column, path: Column) -> Column:
     """All characters of a URL with the context before them: strings of CONTEXT + 1 characters."""
-    low = F.translate(F.concat(host, path), _UPPER + "123456789", _LOWER + "000000000")
-    spelled = F.concat(F.lit("^" * CONTEXT), F.regexp_replace(low, "[^a-z0./_%~-]", "?"), F.lit("$"))
-    places = F.sequence(F.lit(1), F.char_length(spelled) - CONTEXT)
-    return F.transform(places, lambda i: F.substring(spelled, i, F.lit(CONTEXT + 1)))
+    characters = F.split(F.concat(F.lit(BEGIN * CONTEXT), host, path, F.lit(END)), "")
+    # An array of one binds the characters once for all grams.
+    each = F.transform(
+        F.array(characters),
+        lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - CONTEXT), lambda i: F.array_join(F.slice(c, i, CONTEXT + 1), "")),
+    )
+    return F.element_at(each, 1)
 
 
 def ratio_model(counts: DataFrame) -> DataFrame:
     """(gram, ratio): the log ratio of a character's probabilities after its context, in millionths.
 
     `counts` has for each gram that occurs anywhere its occurrences in `accepted` and `rejected` URLs, which may be 0.
+    Without any context all characters that are last in a gram are equally likely.
     """
-    model = counts.select("gram", *[F.lit(1 / len(ALPHABET)).alias(f"p_{c}") for c in ("accepted", "rejected")])
+    classes = ("accepted", "rejected")
+    different = counts.agg(F.count_distinct(F.substring("gram", CONTEXT + 1, 1))).first()[0]
+    below = None
     for order in range(CONTEXT + 1):
-        # The last order + 1 characters: at most 36**3 rows below the highest order, and as many contexts at it.
-        part = F.substring("gram", CONTEXT + 1 - order, order + 1).alias("part")
-        of_part = counts.groupBy(part).agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected"))
-        context = F.substring("part", 1, order).alias("context")
+        # The last order + 1 characters of the grams, and the sums over all that may follow the same context.
+        of_part = counts.groupBy(F.substring("gram", CONTEXT + 1 - order, order + 1).alias("part"))
+        of_part = of_part.agg(*[F.sum(c).alias(c) for c in classes]).withColumn("context", F.substring("part", 1, order))
         sums = []
-        for c in ("accepted", "rejected"):
+        for c in classes:
             sums += [F.sum(c).alias(f"n_{c}"), F.sum((F.col(c) > 0).cast("bigint")).alias(f"t_{c}")]
-        of_context = of_part.groupBy(context).agg(*sums)
-        facts = of_part.withColumn("context", context).join(F.broadcast(of_context), "context").drop("context")
-        facts = F.broadcast(facts) if order < CONTEXT else facts
-        model = model.withColumn("part", part).join(facts, "part")
-        for c in ("accepted", "rejected"):
+        model = of_part.join(of_part.groupBy("context").agg(*sums), "context")
+        if below is None:
+            model = model.withColumns({f"p_{c}": F.lit(1 / max(different, 1)) for c in classes})
+        else:
+            model = model.withColumn("shorter", F.substring("part", 2, order)).join(below, "shorter")
+        for c in classes:
             n, t = F.col(f"n_{c}"), F.col(f"t_{c}")
             mixed = (F.col(c) + t * F.col(f"p_{c}")) / (n + t)
             model = model.withColumn(f"p_{c}", F.when(n > 0, mixed).otherwise(F.col(f"p_{c}")))
-        model = model.select("gram", "p_accepted", "p_rejected")
-    return model.select("gram", F.round(F.log(F.col("p_accepted") / F.col("p_rejected")) * SCALE).cast("bigint").alias("ratio"))
+        below = model.select(F.col("part").alias("shorter"), *[f"p_{c}" for c in classes])
+    ratio = F.round(F.log(F.col("p_accepted") / F.col("p_rejected")) * SCALE).cast("bigint")
+    return below.select(F.col("shorter").alias("gram"), ratio.alias("ratio"))
 
 
-def _scores(rows: DataFrame, model: DataFrame) -> DataFrame:
-    """`rows` (with host and path) and `score`, the mean log ratio of their characters. All grams are in the model."""
-    keys = rows.columns
-    single = rows.withColumn("_row", F.monotonically_increasing_id()).withColumn("gram", F.explode(grams(F.col("host"), F.col("path"))))
-    return single.join(F.broadcast(model), "gram").groupBy("_row", *keys).agg((F.sum("ratio") / F.count(F.lit(1))).alias("score")).drop("_row")
+def _scores(urls: DataFrame, model: DataFrame, heavy: DataFrame) -> DataFrame:
+    """(row, score): the mean log ratio of the characters of `urls` (row, host, path). All grams are in the model."""
+    single = urls.select("row", F.explode(grams(F.col("host"), F.col("path"))).alias("gram"))
+    often = F.broadcast(heavy.select("gram", "ratio"))
+    frequent = single.join(often, "gram").groupBy("row").agg(F.sum("ratio").alias("ratio"), F.count(F.lit(1)).alias("grams"))
+    rare = single.join(F.broadcast(heavy.select("gram")), "gram", "left_anti").join(model.select("gram", "ratio"), "gram")
+    both = frequent.unionByName(rare.select("row", "ratio", F.lit(1).cast("bigint").alias("grams")))
+    return both.groupBy("row").agg((F.sum("ratio") / F.sum("grams")).alias("score"))
 
 
 def judge(pages: DataFrame, rules: Sequence[Rule], id_column: str = "page_id", url_column: str = "url") -> DataFrame:
@@ -97,21 +110,30 @@ def judge(pages: DataFrame, rules: Sequence[Rule], id_column: str = "page_id", u
     A URL is accepted from the border on. The border lies between the mean scores of accepted and rejected
     calibration URLs, nearer to the class that varies less; 0 if a class has none. Without any labelled URL
     all scores are 0 and all URLs are accepted. Null and malformed URLs have an empty host and path and are judged as such.
-    Models count different (host, path) once, so repeated rows do not outweigh others; every row is judged.
+    Models count different (host, path) once, so repeated rows do not outweigh others; every row is judged. URLs of
+    any length are read whole, in time linear in it. An empty table gives no rows.
     """
     host, path = host_and_path(F.col(url_column))
+    spark = pages.sparkSession
     rows = pages.select(F.col(id_column).alias("page_id"), host.alias("host"), path.alias("path"))
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
-    rows = rows.select("*", rule.alias("rule"), verdict.alias("verdict"))
+    rows = stage(rows.select("*", rule.alias("rule"), verdict.alias("verdict"), F.monotonically_increasing_id().alias("row")), "urls")
 
-    different = rows.select("host", "path", "verdict").distinct()
+    # Few and small as they may be, these rows become many: they are spread over all tasks.
+    spread_out = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    different = rows.groupBy("host", "path", "verdict").agg(F.count(F.lit(1)).alias("pages")).repartition(spread_out)
     held = F.substring(F.md5(F.concat("host", "path").cast("binary")), 1, 1).isin(*CALIBRATION_DIGITS)
-    learned = different.select("verdict", held.alias("held"), F.explode(grams(F.col("host"), F.col("path"))).alias("gram"))
+    different = stage(different.select("*", held.alias("held"), F.monotonically_increasing_id().alias("row")), "different")
+    learned = different.select("verdict", "held", "pages", F.explode(grams(F.col("host"), F.col("path"))).alias("gram"))
     of_class = {c: ((F.col("verdict") == v) & ~F.col("held")).cast("bigint") for c, v in (("accepted", "allow"), ("rejected", "block"))}
-    counts = learned.groupBy("gram").agg(*[F.sum(F.coalesce(x, F.lit(0))).alias(c) for c, x in of_class.items()])
-    model = stage(ratio_model(counts), "ratios")
-
-    labelled = _scores(different.filter(held & F.col("verdict").isNotNull()), model)
+    counts = learned.groupBy("gram").agg(*[F.sum(F.coalesce(x, F.lit(0))).alias(c) for c, x in of_class.items()], F.sum("pages").alias("seen"))
+    counts = stage(counts, "grams")
+    model = stage(ratio_model(counts).join(counts.select("gram", "seen"), "gram"), "ratios")
+    least = (counts.agg(F.sum("seen")).first()[0] or 0) / HEAVY
+    heavy = model.filter(F.col("seen") >= least)
+
+    labelled = different.filter(F.col("held") & F.col("verdict").isNotNull())
+    labelled = labelled.select("row", "verdict").join(_scores(labelled, model, heavy), "row")
     of = {v: F.when(F.col("verdict") == v, F.col("score")) for v in ("allow", "block")}
     spread = labelled.agg(
         F.avg(of["allow"]).alias("ma"), F.avg(of["block"]).alias("mb"), F.stddev_pop(of["allow"]).alias("sa"), F.stddev_pop(of["block"]).alias("sb")
@@ -119,8 +141,9 @@ def judge(pages: DataFrame, rules: Sequence[Rule], id_column: str = "page_id", u
     weight = F.when(F.col("sa") + F.col("sb") > 0, F.col("sb") / (F.col("sa") + F.col("sb"))).otherwise(0.5)
     border = spread.select(F.coalesce(F.col("ma") * weight + F.col("mb") * (1 - weight), F.lit(0.0))).first()[0]
 
-    judged = _scores(rows.filter("verdict is null").drop("verdict", "rule"), model)
+    unruled = rows.filter("verdict is null")
+    judged = unruled.select("row", "page_id", "host", "path").join(_scores(unruled, model, heavy), "row")
     method = F.when(F.col("score") >= border, "allow").otherwise("block")
     judged = judged.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), method.alias("verdict"), "score")
-    ruled = rows.filter("verdict is not null").withColumn("score", F.lit(None).cast("double"))
+    ruled = rows.filter("verdict is not null").drop("row").withColumn("score", F.lit(None).cast("double"))
     return ruled.unionByName(judged)
