@@ -12,11 +12,12 @@ for each language code.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import slices, with_arrays
@@ -25,8 +26,13 @@ DIMENSIONS = 1024
 GRAM = 3
 SEED = 20
 UNKNOWN = "und"
-# Texts whose best cosine is below this resemble no profile more than random letters do.
-LEAST_SCORE = 0.05
+# A text's n letters and word gaps make cosine c with its language where 1 / c^2 is about 1 + spread / n: noise of a bundle
+# falls with its size. A text is known if 1 / c^2 <= 1 + level + spread / n. Both numbers are measured on labelled rows that the
+# profiles have not seen: `SPREAD_TIMES` the spread that `KNOWN_SHARE` of them keep to, and the level at which the
+# cosine is `LEVEL_TIMES` the one that this share reaches.
+KNOWN_SHARE, SPREAD_TIMES, LEVEL_TIMES = 0.99, 4.0, 0.5
+# Steps of the logarithm to base 2 in which rows are counted to measure that share.
+STEPS = 32
 # N-gram vectors made at a time.
 GRAMS_AT_A_TIME = 8192
 
@@ -37,6 +43,8 @@ class Bundler:
     def __init__(self, dimensions: int = DIMENSIONS, gram: int = GRAM, seed: int = SEED):
         self.dimensions, self.gram, self.seed = dimensions, gram, seed
         self.letters: dict[int, np.ndarray] = {}
+        # Letters and word gaps of each text of the last call.
+        self.spelled = np.zeros(0, dtype=np.int64)
         # Letters in lower case; everything else parts words and is written as a space.
         self.folded = np.array([ord(chr(c).lower()[0]) if chr(c).isalpha() else 32 for c in range(0x110000)], dtype=np.uint32)
 
@@ -58,6 +66,7 @@ class Bundler:
         keep = np.r_[True, (letters[1:] != 32) | (letters[:-1] != 32) | (text[1:] != text[:-1])] if len(letters) else np.zeros(0, dtype=bool)
         letters, text = letters[keep], text[keep]
         lettered = np.bincount(text[letters != 32], minlength=len(texts)) > 0
+        self.spelled = np.bincount(text, minlength=len(texts))
 
         known = np.flatnonzero(np.bincount(letters, minlength=1))
         number = np.zeros(int(known[-1]) + 1 if len(known) else 1, dtype=np.int64)
@@ -117,7 +126,8 @@ def learn_profiles(docs: DataFrame, label_column: str = "lang", text_column: str
 def identify(
     spark: SparkSession, docs: DataFrame, profiles: dict[str, np.ndarray], text_column: str = "text", keep: list[str] | None = None
 ) -> DataFrame:
-    """`docs` with `lang_pred string` and `score double`, the cosine with that language's profile, at least 0.
+    """`docs` with `lang_pred string`, `score double`, the cosine with that language's profile, at least 0, and
+    `spelled bigint`, the letters and word gaps it comes from.
 
     A text that is null or has no letter is `und` with score 0, as is every text if there is no profile. Equal
     cosines go to the first language in order of names. Whole texts count; columns with these names are replaced.
@@ -138,8 +148,45 @@ def identify(
             best = cosines.argmax(axis=1)
             score = np.clip(cosines[np.arange(len(texts)), best], 0, 1)
             labels = [names[b] if u else UNKNOWN for b, u in zip(best.tolist(), usable.tolist())]
-            return [pa.array(labels, pa.string()), pa.array(np.where(usable, score, 0.0))]
+            return [pa.array(labels, pa.string()), pa.array(np.where(usable, score, 0.0)), pa.array(bundler.spelled.astype(np.int64))]
 
         return work
 
-    return with_arrays(docs, text_column, start, "lang_pred string, score double", keep)
+    return with_arrays(docs, text_column, start, "lang_pred string, score double, spelled bigint", keep)
+
+
+@dataclass(frozen=True)
+class Border:
+    """What a text must reach to be known; the defaults are for a table without rows to measure."""
+
+    level: float = 24.0
+    spread: float = 5500.0
+
+    def known(self) -> Column:
+        """Whether a row of `identify` resembles a profile: not so random letters and languages without a profile."""
+        score = F.col("score")
+        enough = F.try_divide(F.lit(1.0), score * score) <= 1 + self.level + self.spread / F.greatest("spelled", F.lit(1))
+        return (F.col("lang_pred") != UNKNOWN) & (score > 0) & enough
+
+
+def learn_border(rows: DataFrame, label_column: str = "lang") -> Border:
+    """The border from rows of `identify` that the profiles have not learned from; those whose label was not found do not count."""
+    right = rows.filter((F.col(label_column) == F.col("lang_pred")) & F.col("score").between(1e-6, 1 - 1e-6))
+    noise = F.lit(1.0) / (F.col("score") * F.col("score")) - 1
+    measures = F.explode(F.array(F.struct(F.lit(0).alias("of"), noise.alias("value")), F.struct(F.lit(1).alias("of"), (noise * F.col("spelled")).alias("value"))))
+    steps = right.select(measures.alias("m")).select("m.of", F.round(F.log2("m.value") * STEPS).cast("int").alias("step"))
+    # At most a few thousand steps reach the driver.
+    counts: tuple[dict[int, int], dict[int, int]] = ({}, {})
+    for of, step, n in steps.groupBy("of", "step").agg(F.count(F.lit(1))).collect():
+        counts[of][step] = n
+    if not counts[0]:
+        return Border()
+
+    def share(of: int) -> float:
+        seen = 0
+        for step in sorted(counts[of]):
+            seen += counts[of][step]
+            if seen >= KNOWN_SHARE * sum(counts[of].values()):
+                return 2 ** (step / STEPS)
+
+    return Border((1 + share(0)) / LEVEL_TIMES**2 - 1, SPREAD_TIMES * share(1))
