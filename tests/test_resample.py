@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tidemark.functions.staging import stage
+from tidemark.operators.balltree import BallTree, pair_distances
 from tidemark.operators.neighbors import chunk_size, nearest_neighbors
 from tidemark.operators.prep import hash_split
 from tidemark.operators.resample import first_by_hash, smote, undersample
@@ -131,3 +132,49 @@ def test_undersample(unbalanced):
 def test_split_share(spark):
     share = hash_split(spark.range(20000), "id").agg(F.avg("is_test")).first()[0]
     assert 0.19 < share < 0.21
+
+
+def curled(rows, columns, seed):
+    """Rows of many columns that hang on a few, as customer features do; every tenth is a copy."""
+    generator = np.random.default_rng(seed)
+    x = np.tanh(generator.normal(size=(rows, 4)) @ generator.normal(size=(4, columns))) + 0.001 * generator.normal(size=(rows, columns))
+    x[::10] = x[0]
+    return x
+
+
+def test_ball_tree_finds_the_nearest_with_few_distances():
+    x = np.unique(curled(8000, 77, 3), axis=0)
+    ids = np.arange(len(x)) * 3
+    tree = BallTree(ids, x)
+    row, other, apart = tree.nearest(ids, x, 5, np.full(len(x), np.inf))
+    assert np.bincount(row, minlength=len(x)).tolist() == [5] * len(x)
+    assert tree.distances_made < len(x) ** 2 / 3
+    for i in range(0, len(x), 97):
+        far = pair_distances(np.broadcast_to(x[i], x.shape), x)
+        want = sorted((d, j) for d, j in zip(far, ids) if j != ids[i])[:5]
+        assert sorted(zip(apart[row == i], other[row == i])) == want
+
+
+@pytest.mark.parametrize("bound", [0.0, 1.0, 2.5])
+def test_ball_tree_keeps_to_the_bound(bound):
+    x = np.arange(500, dtype=float)[:, None]
+    row, other, apart = BallTree(np.arange(500), x).nearest(np.array([7, 900]), np.array([[7.0], [7.0]]), 10, np.array([bound, bound]))
+    inside = [j for j in range(500) if abs(j - 7) <= bound]
+    assert sorted(other[row == 1].tolist()) == inside and sorted(other[row == 0].tolist()) == [j for j in inside if j != 7]
+    assert [len(a) for a in BallTree(np.arange(0), np.zeros((0, 3))).nearest(np.arange(2), np.zeros((2, 3)), 2, np.ones(2))] == [0, 0, 0]
+
+
+def test_neighbors_of_many_columns_with_copies(spark):
+    x = curled(2000, 30, 8)
+    df = stage(spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "id long, x array<double>"), "points")
+    work = spark.sparkContext.accumulator(0)
+    found = {r["id"]: r["neighbors"] for r in nearest_neighbors(df, 4, chunk_rows=300, pivots=8, work=work).collect()}
+    assert len(found) == 2000 and work.value < 2000**2 / 2
+    for i in [0, 10, *range(1, 2000, 41)]:
+        far = pair_distances(np.broadcast_to(x[i], x.shape), x)
+        assert found[i] == [j for _, j in sorted((d, j) for j, d in enumerate(far) if j != i)[:4]]
+
+
+def test_neighbors_of_nothing(spark):
+    df = spark.createDataFrame([(1, [0.0])], "id long, x array<double>")
+    assert nearest_neighbors(df, 5).collect() == [] and nearest_neighbors(df.filter("false"), 5).collect() == []
