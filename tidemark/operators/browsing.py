@@ -12,7 +12,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.config import FeatureConfig, Vocabulary
+from tidemark.config import FeatureConfig
 from tidemark.functions.expr import or_zero, recency_flag, search_intent
 from tidemark.functions.joins import keep_members, left_join_sparse_key
 from tidemark.functions.staging import Stage, stage
@@ -30,18 +30,20 @@ def _window_views(src: Sources, cfg: FeatureConfig) -> DataFrame:
     return inside.select(F.col("vt_mapuid").alias("cust_id"), F.col("op_date").alias("operate_date"), *VIEW)
 
 
-def _distinct_views(views: DataFrame, words: Vocabulary) -> DataFrame:
-    intent = search_intent(F.col("search_key"), words.single_search_words)
-    return views.distinct().withColumn("search_key_type", intent)
-
-
-def traffic_union(cohort: DataFrame, src: Sources, cfg: FeatureConfig) -> DataFrame:
+def _distinct_views(cohort: DataFrame, src: Sources, cfg: FeatureConfig) -> DataFrame:
     """Distinct page views of both sites by cohort customers in the window, with `search_key_type`.
 
-    Rows become distinct first, spread by all their columns. The other order would let the distinct
-    reuse the join's partitioning by customer and keep a heavy customer in one task.
+    Views of other customers are dropped first; the rest is dealt by its columns and not by customer, so that a
+    heavy customer is not one task.
     """
-    return keep_members(_distinct_views(_window_views(src, cfg), cfg.words), cohort, "cust_id")
+    spread = ["cust_id", "operate_date", *VIEW]
+    views = keep_members(_window_views(src, cfg), cohort, "cust_id", spread).distinct()
+    return views.withColumn("search_key_type", search_intent(F.col("search_key"), cfg.words.single_search_words))
+
+
+def traffic_union(cohort: DataFrame, src: Sources, cfg: FeatureConfig) -> DataFrame:
+    """Distinct page views of the cohort, as a table of its own."""
+    return _distinct_views(cohort, src, cfg)
 
 
 def latest_product_rating(rating: DataFrame, ties: bool = True) -> DataFrame:
@@ -84,7 +86,7 @@ def browsing_facts(cohort: DataFrame, src: Sources, cfg: FeatureConfig, keep: St
     """
     # Views are the large side: an inner join lets a heavy customer be split, the others are added after. They are
     # written once, so that each site is scanned once.
-    views = keep(_distinct_views(_window_views(src, cfg), cfg.words).join(cohort, "cust_id"), "views")
+    views = keep(_distinct_views(cohort, src, cfg).join(cohort, "cust_id"), "views")
     flagged = coupon_match(views, coupon_days(src.coupons, cfg.behavior_start, cfg.behavior_end))
     prices = src.prd_route.select(F.col("route_id").alias("product_id"), "lowest_price").distinct()
     ratings = latest_product_rating(src.product_rating, cfg.rating_ties).withColumnRenamed("f_product_id", "product_id")
@@ -118,13 +120,8 @@ def _route_classes(src: Sources, cfg: FeatureConfig) -> DataFrame:
 
 
 def product_day_views(cohort: DataFrame, src: Sources, cfg: FeatureConfig) -> DataFrame:
-    """Views per (customer, day, product) with the anchor and `browsing_flag`.
-
-    Views of other customers are dropped first; the rest is dealt by its columns and not by customer.
-    """
-    spread = ["cust_id", "operate_date", *VIEW]
-    views = _distinct_views(keep_members(_window_views(src, cfg), cohort, "cust_id", spread), cfg.words)
-    daily = views.groupBy("cust_id", "operate_date", "product_id").agg(
+    """Views per (customer, day, product) with the anchor and `browsing_flag`."""
+    daily = _distinct_views(cohort, src, cfg).groupBy("cust_id", "operate_date", "product_id").agg(
         F.count(F.lit(1)).alias("rows"),
         F.count("visitor_trace").alias("traces"),
         F.count("book_id").alias("bookings"),

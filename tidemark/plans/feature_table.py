@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.config import FeatureConfig
@@ -11,6 +11,10 @@ from tidemark.operators import behavior, browsing, communication, orders, profil
 from tidemark.operators.cohort import cohort as build_cohort
 from tidemark.schema import COLUMNS, FEATURE_SCHEMA
 from tidemark.sources.model import Sources
+from tidemark.sources.sink import read_table, write_table
+
+# The partition of a written feature table: the last day of the run's activity window.
+RUN_DAY = "run_day"
 
 
 def staged_cohort(src: Sources, cfg: FeatureConfig, keep: Stage = stage) -> DataFrame:
@@ -58,3 +62,17 @@ def feature_table(src: Sources, cfg: FeatureConfig, keep: Stage = stage) -> Data
             for c in COLUMNS
         ]
     )
+
+
+def write_feature_table(src: Sources, cfg: FeatureConfig, table: str, keep: Stage = stage) -> None:
+    """Puts the run's rows in place as the day of `table` on which its activity ends; other days are not touched.
+
+    One row per customer is checked before. A day without customers is not written.
+    """
+    rows = feature_table(src, cfg, keep).withColumn(RUN_DAY, F.lit(cfg.activity_end))
+    write_table(rows, table, day=RUN_DAY, keys=["cust_id"])
+
+
+def read_feature_table(spark: SparkSession, table: str, cfg: FeatureConfig) -> DataFrame:
+    """The run's rows of a table of `write_feature_table`."""
+    return read_table(spark, table).filter(F.col(RUN_DAY) == F.lit(cfg.activity_end)).select(*COLUMNS)

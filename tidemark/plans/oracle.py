@@ -35,6 +35,7 @@ _FEATURES = f"select {', '.join(COLUMNS)} from features"
 _TRAINING = {
     "activity_union": "select cust_id, create_date from activity",
     "last_activity_cohort": "select cust_id, create_date from cohort",
+    "incremental_cohort": "select cust_id, create_date from cohort",
     "phone_attribution": """
         select tel_num, cust_tel_no, call_date, status_time, status, calldir, order_id,
                cast(tel_order_type as bigint) as tel_order_type, user_id from attributed_calls""",

@@ -13,10 +13,11 @@ from tidemark.config import FeatureConfig, scoring_config, training_config
 from tidemark.functions.expr import or_zero, search_intent
 from tidemark.functions.joins import keep_members
 from tidemark.functions.staging import new_path
-from tidemark.operators import behavior, browsing, cohort, communication, orders, profile
+from tidemark.operators import activity, behavior, browsing, cohort, communication, orders, profile
 from tidemark.plans import feature_table as features
 from tidemark.schema import FEATURE_SCHEMA
 from tidemark.sources.model import Sources
+from tidemark.sources.sink import read_table, write_table
 from tidemark.sources.standin import standin_sources
 from tidemark.sources.textfile import read_text, write_text
 
@@ -159,8 +160,20 @@ def behavior_features(run: Run) -> DataFrame:
     return features.behavior_table(run.cohort, run.src, run.cfg)
 
 
+def incremental_cohort(run: Run) -> DataFrame:
+    """All days but the last are in the store; the last one is merged, and the cohort read from the partials."""
+    store, last = new_path(run.spark, "activity"), run.cfg.activity_end
+    write_table(activity.activity_partial(run.src, run.cfg).filter(F.col(activity.DAY) < last), store, day=activity.DAY)
+    newest = standin_sources(run.spark, run.folder, replace(run.cfg, activity_start=last, behavior_start=last))
+    activity.store_days(store, [last], lambda day: newest, run.cfg)
+    return activity.cohort_from_store(read_table(run.spark, store), run.src, run.cfg)
+
+
 def feature_table(run: Run) -> DataFrame:
-    return features.feature_table(run.src, run.cfg)
+    """The table as it is put in place for its day."""
+    table = new_path(run.spark, "features")
+    features.write_feature_table(run.src, run.cfg, table)
+    return features.read_feature_table(run.spark, table, run.cfg)
 
 
 def feature_text_roundtrip(run: Run) -> DataFrame:
@@ -173,6 +186,7 @@ FEATURE_QUERIES: dict[str, Query] = {
     "activity_union": _training(activity_union),
     "last_activity_cohort": _training(lambda run: run.cohort),
     "phone_attribution": _training(phone_attribution),
+    "incremental_cohort": _training(incremental_cohort),
     "snapshot_day_cohort": _scoring(lambda run: run.cohort),
     "effective_orders": _training(effective_orders),
     "product_class_dim": _training(lambda run: run.classes),
