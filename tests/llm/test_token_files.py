@@ -89,6 +89,13 @@ def test_memory_starts_anew(tokenizer, monkeypatch):
         assert ids.tolist() == [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
 
 
+def test_added_tokens_in_any_case(tokenizer):
+    assert token_files.WordIds(tokenizer).spelling
+    for text in ("<|ENDOFTEXT|> Yes, <|endoftext|>no", "A<|startoftext|>B", "<| A|> ÉÀ", "|>A <B"):
+        ids, _ = token_files.WordIds(tokenizer).encode(pa.array([text]), 1)
+        assert ids.tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 2**32 - 1)), min_size=1, max_size=300), st.sampled_from([1, 7, 64]))
 def test_blocks_round_trip(ids, size):

@@ -22,7 +22,8 @@ from __future__ import annotations
 import os
 import struct
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,9 +44,12 @@ _HEAD, _TRAILER = "<IBBH", "<QQQQ8s"
 _HEAD_BYTES, _TRAILER_BYTES = struct.calcsize(_HEAD), struct.calcsize(_TRAILER)
 # Blocks packed or unpacked at a time.
 GROUP_BLOCKS = 512
+# Texts encoded at a time, as far as their bytes allow: the more, the fewer words are looked up again.
+SLICE_ROWS = 10_000
 # UTF-8 bytes of the different words a task remembers; the memory starts anew when it is full.
 MEMORY_BYTES = 32_000_000
 # Between a letter of these, whose lower case is one letter, and such a sign every pre-tokeniser of the kind ends a word.
+_PLAIN = r"^[A-Za-z\x{00C0}-\x{00D6}\x{00D8}-\x{00F6}\x{00F8}-\x{00FF}]+$"
 _LETTER_SIGN = r"([A-Za-z\x{00C0}-\x{00D6}\x{00D8}-\x{00F6}\x{00F8}-\x{00FF}])([.,!?;:]+)"
 
 
@@ -192,13 +196,27 @@ class WordIds:
     """Ids of texts by their different words: a tokeniser that drops white space has no token across it.
 
     Words are cut at blanks and line feeds, and between a letter and the signs after it, where these pre-tokenisers
-    end a word in any case. Each different word is encoded once by the tokeniser and remembered.
+    end a word in any case. Each different word is encoded once by the tokeniser and remembered. Words of plain
+    letters, most of all, go to the tokeniser's model at once: nothing is to be normalised or cut in them.
     """
 
     def __init__(self, tokenizer: Tokenizer):
         self.tokenizer = tokenizer
+        self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.spelling = self._spelling()
         self.forget()
 
+    def _spelling(self) -> dict[int, str]:
+        """What the model is given for a plain letter; empty if the tokeniser does more with letters than that."""
+        letters = [c for c in map(chr, [*range(65, 91), *range(97, 123), *range(0xC0, 0x100)]) if c.isalpha()]
+        made = {}
+        for letter in letters:
+            pieces = self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(letter))
+            made[ord(letter)] = "".join(piece for piece, _ in pieces)
+        words = [*letters, "".join(letters), "".join(reversed(letters)), *("".join(letters[i::7]) for i in range(7))]
+        same = all(self.tokenizer.encode(w, add_special_tokens=False).ids == [t.id for t in self.tokenizer.model.tokenize(w.translate(made))] for w in words)
+        return made if same else {}
+
     def forget(self) -> None:
         self.codes: dict[str, int] = {}
         self.bytes = 0
@@ -206,28 +224,54 @@ class WordIds:
         self.starts = np.zeros(0, dtype=np.int64)
         self.lengths = np.zeros(0, dtype=np.int64)
 
+    def _remember(self, words: pa.Array) -> None:
+        """Encodes new words; those of plain letters first."""
+        plain = pc.match_substring_regex(words, _PLAIN) if self.spelling else pa.array(np.zeros(len(words), dtype=bool))
+        ids: list[int] = []
+        counts: list[int] = []
+        spelling, tokenize = self.spelling, self.tokenizer.model.tokenize
+        first = words.filter(plain).to_numpy(zero_copy_only=False).tolist()
+        for word in first:
+            found = tokenize(word.translate(spelling))
+            ids += [t.id for t in found]
+            counts.append(len(found))
+        rest = words.filter(pc.invert(plain)).to_numpy(zero_copy_only=False).tolist()
+        for start in range(0, len(rest), 10_000):
+            for found in self.tokenizer.encode_batch_fast(rest[start : start + 10_000], add_special_tokens=False):
+                ids += found.ids
+                counts.append(len(found.ids))
+        self.codes.update(zip(chain(first, rest), range(len(self.codes), len(self.codes) + len(words))))
+        lengths = np.array(counts, dtype=np.int64)
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
+        self.flat = np.concatenate([self.flat, np.array(ids, dtype=np.int64)])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.bytes += words.nbytes
+
     def _codes_of(self, words: pa.Array) -> np.ndarray:
         if self.bytes > MEMORY_BYTES:
             self.forget()
-        listed = words.to_pylist()
-        new = [w for w in listed if w not in self.codes]
-        if new:
-            self.bytes += words.nbytes
-            self.codes.update(zip(new, range(len(self.codes), len(self.codes) + len(new))))
-            found = []
-            for start in range(0, len(new), 10_000):
-                batch = self.tokenizer.encode_batch_fast(new[start : start + 10_000], add_special_tokens=False)
-                found += [np.array(e.ids, dtype=np.int64) for e in batch]
-            lengths = np.array([len(f) for f in found], dtype=np.int64)
-            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
-            self.flat = np.concatenate([self.flat, *found])
-            self.lengths = np.concatenate([self.lengths, lengths])
-        codes = self.codes
-        return np.array([codes[w] for w in listed], dtype=np.int64)
+        known = self.codes.get
+        found = np.array([known(w, -1) for w in words.to_numpy(zero_copy_only=False)], dtype=np.int64)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            unknown = words.take(pa.array(new))
+            self._remember(unknown)
+            found[new] = [known(w) for w in unknown.to_numpy(zero_copy_only=False)]
+        return found
+
+    def _lowered(self, texts: pa.Array) -> pa.Array:
+        """A-Z in lower case where the tokeniser does that itself and no added token can be in the text."""
+        if not self.spelling or self.spelling[ord("A")] != self.spelling[ord("a")]:
+            return texts
+        low = pc.ascii_lower(texts)
+        for token in self.added:
+            low = pc.if_else(pc.match_substring(texts, token[:2]), texts, low)
+        return low
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts with an end id after each, how many of each text). Null is empty."""
         texts = pc.fill_null(texts, "")
+        texts = self._lowered(texts)
         apart = pc.replace_substring(pc.replace_substring_regex(texts, _LETTER_SIGN, r"\1 \2"), "\n", " ")
         lists = pc.split_pattern(apart, " ")
         of_text = np.diff(lists.offsets.to_numpy())
@@ -268,7 +312,7 @@ def write_token_files(
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = name = number = None
-        for part in slices(batches, column="text"):
+        for part in slices(batches, SLICE_ROWS, "text"):
             if writer is None:
                 os.environ["TOKENIZERS_PARALLELISM"] = "false"
                 words = WordIds(Tokenizer.from_str(model.value))
