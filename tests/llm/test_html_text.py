@@ -1,5 +1,7 @@
 import html
 import re
+import time
+import tracemalloc
 
 import pytest
 
@@ -83,7 +85,8 @@ def test_paths_of_running_text_score_higher():
     page = f"<div><p>{PROSE}</p><p>{PROSE}</p></div><ul><li><a href=a>short</a></li><li><a href=b>link</a></li></ul>"
     found = blocks(page)
     scores = path_scores(found)
-    assert [b.path for b in found] == ["div/p", "div/p", "ul/li", "ul/li"]
+    one, other = found[0].path, found[2].path
+    assert [b.path for b in found] == [one, one, other, other] and one != other
     assert scores[0] == scores[1] > 10 * scores[2]
 
 
@@ -105,3 +108,16 @@ def test_odd_rows(spark, odd, nothing):
 
 def test_very_long_page():
     assert len(main_text("<article>" + "<p>word, and word.</p>" * 50000)) == 50000 * 16 - 1
+
+
+@pytest.mark.parametrize("tag", ["<div>", "<div class=menu>", "<div class=content-menu>", "<a href=x>", "<b class=share>", "<p></x><article>", "<form>"])
+def test_deep_pages_take_time_and_memory_in_proportion(tag):
+    """20,000 tags that are never closed, with text in each."""
+    tracemalloc.start()
+    began = time.monotonic()
+    found = blocks((tag + "word in it, ") * 20_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6 and time.monotonic() - began < 30
+    assert sum(b.text.count("word") for b in found) == 20_000
+    assert isinstance(main_text((tag + "word in it, ") * 20_000), str)

@@ -80,11 +80,11 @@ THRESHOLD = 0.5
 class Block:
     """Text between two block-level tags: its path, its pieces, and what encloses it."""
 
-    path: str
+    path: int
     banned: bool
     article: int
-    # Elements around it that a name or a form may ban, and whether it goes on after the block before it.
-    named: tuple[int, ...] = ()
+    # The innermost element around it that a name or a form may ban, and whether it goes on after the block before it.
+    named: int = -1
     continues: bool = False
     pieces: list[str] = field(default_factory=list)
     linked: int = 0
@@ -120,66 +120,112 @@ def _named_otherwise(tag: str, attributes: str, article: int) -> int:
     return found
 
 
-def _lift_bans(found: list[Block], firmness: list[int], landmarks: list[tuple[str, tuple[int, ...]]]) -> None:
-    """Bans the blocks inside named elements, but for elements that enclose the article or most of the text."""
-    lifted: set[int] = set()
+def _lift_bans(found: list[Block], firmness: list[int], around: list[int], landmarks: list[tuple[str, int]]) -> None:
+    """Bans the blocks inside named elements, but for elements that enclose the article or most of the text.
+
+    Named elements are numbered in page order, and `around` has the next one outside each (or -1), a smaller number.
+    """
+    lifted = [False] * len(firmness)
     usable = [b for b in found if not b.banned and b.text]
 
-    def text_in(within: list[Block]) -> Counter:
-        sizes: Counter = Counter()
+    def text_in(within: list[Block]) -> list[int]:
+        sizes = [0] * len(firmness)
         for block in within:
-            for element in block.named:
-                sizes[element] += len(block.text)
+            if block.named >= 0:
+                sizes[block.named] += len(block.text)
+        for element in range(len(sizes) - 1, -1, -1):
+            if around[element] >= 0:
+                sizes[around[element]] += sizes[element]
         return sizes
 
+    def outermost() -> list[int]:
+        """The outermost element around each that is not lifted, itself included; -1 if all are lifted."""
+        first = [-1] * len(firmness)
+        for element, outside in enumerate(around):
+            first[element] = first[outside] if outside >= 0 and first[outside] >= 0 else -1 if lifted[element] else element
+        return first
+
+    def free(element: int, first: list[int]) -> bool:
+        return element < 0 or first[element] < 0
+
     # Where names enclose every article, the one around most of the articles' text is lifted, from the outside in.
     of_articles = text_in([b for b in usable if b.article])
-    while landmarks and not any(lifted.issuperset(named) for _, named in landmarks):
-        outermost = {next(n for n in named if n not in lifted) for _, named in landmarks}
-        lifted.add(min(outermost, key=lambda n: (-of_articles[n], n)))
+    within = sorted({named for _, named in landmarks})
+    # The elements around each landmark from the outside in, and how many of them are lifted.
+    chains = []
+    for named in within if within and within[0] >= 0 else []:
+        chain = []
+        while named >= 0:
+            chain.append(named)
+            named = around[named]
+        chains.append(chain[::-1])
+    done = [0] * len(chains)
+    while chains and all(d < len(c) for d, c in zip(done, chains)):
+        lifted[min({c[d] for d, c in zip(done, chains)}, key=lambda n: (-of_articles[n], n))] = True
+        for i, chain in enumerate(chains):
+            while done[i] < len(chain) and lifted[chain[done[i]]]:
+                done[i] += 1
     if PART in firmness and usable:
         scores = path_scores(usable)
         # Inside the landmarks, if there are any that no name encloses.
-        level = max((ARTICLE[tag] for tag, named in landmarks if lifted.issuperset(named)), default=0)
+        first = outermost()
+        level = max((ARTICLE[tag] for tag, named in landmarks if free(named, first)), default=0)
         strong = [b for b, high in zip(usable, scores >= THRESHOLD * scores.mean()) if high and b.article >= level]
         total = sum(len(b.text) for b in strong)
-        lifted.update(n for n, size in text_in(strong).items() if firmness[n] == PART and 2 * size > total)
+        for element, size in enumerate(text_in(strong)):
+            lifted[element] = lifted[element] or (firmness[element] == PART and 2 * size > total)
+    first = outermost()
     for block in found:
-        block.banned = block.banned or not lifted.issuperset(block.named)
+        block.banned = block.banned or not free(block.named, first)
 
 
 def blocks(page: str) -> list[Block]:
-    """The blocks of text of a page in their order."""
+    """The blocks of text of a page in their order. Time and memory are linear in the page, however deep its tags are nested."""
     found: list[Block] = []
-    stack: list[tuple[str, bool, int, tuple[int, ...]]] = []  # tag, banned, inside an article, named elements around
+    # Tag, banned, inside an article, the innermost named element around, and the path of block-level tags as a number.
+    stack: list[tuple[str, bool, int, int, int]] = []
+    opened: Counter = Counter()
+    paths: dict[tuple[int, str], int] = {}
     firmness: list[int] = []
-    landmarks: list[tuple[str, tuple[int, ...]]] = []
+    around: list[int] = []
+    landmarks: list[tuple[str, int]] = []
     open_block: Block | None = None
     position = 0
 
-    def top() -> tuple[str, bool, int, tuple[int, ...]]:
-        return stack[-1] if stack else ("", False, 0, ())
+    def top() -> tuple[str, bool, int, int, int]:
+        return stack[-1] if stack else ("", False, 0, -1, 0)
+
+    def push(tag: str, banned: bool, article: int, named: int) -> None:
+        path = top()[4]
+        if tag not in INLINE:
+            path = paths.setdefault((path, tag), len(paths) + 1)
+        stack.append((tag, banned, article, named, path))
+        opened[tag] += 1
 
     def add(text: str) -> None:
         nonlocal open_block
         if not text:
             return
-        _, banned, article, named = top()
+        _, banned, article, named, path = top()
         if open_block is None or (open_block.banned, open_block.named) != (banned, named):
             if not text.strip():
                 if open_block is not None:
                     open_block.pieces.append(" ")
                 return
-            open_block = Block("/".join(t for t, *_ in stack if t not in INLINE), banned, article, named, open_block is not None)
+            open_block = Block(path, banned, article, named, open_block is not None)
             found.append(open_block)
         decoded = html.unescape(text) if "&" in text else text
         open_block.pieces.append(decoded)
-        if any(t == "a" for t, *_ in stack):
+        if opened["a"]:
             open_block.linked += len(decoded.strip())
 
     def close(tag: str, limits: frozenset[str] = frozenset()) -> None:
+        if not opened[tag]:
+            return
         for depth in range(len(stack) - 1, -1, -1):
             if stack[depth][0] == tag:
+                for ended, *_ in stack[depth:]:
+                    opened[ended] -= 1
                 del stack[depth:]
                 return
             if stack[depth][0] in limits:
@@ -213,29 +259,31 @@ def blocks(page: str) -> list[Block]:
                 if attributes.rstrip().endswith("/") and tag in ("svg", "math"):
                     continue
                 position = end.start() if end else len(page)
-                stack.append((tag, True, top()[2], top()[3]))
+                push(tag, True, top()[2], top()[3])
                 continue
-            _, banned, article, named = top()
+            _, banned, article, named, _ = top()
             firm = NEVER if banned else _named_otherwise(tag, attributes, article)
             if firm in (PART, WHOLE):
-                named = (*named, len(firmness))
+                around.append(named)
+                named = len(firmness)
                 firmness.append(firm)
             if tag in ARTICLE and firm != NEVER:
                 landmarks.append((tag, named))
-            stack.append((tag, firm == NEVER, max(article, ARTICLE.get(tag, 0)), named))
+            push(tag, firm == NEVER, max(article, ARTICLE.get(tag, 0)), named)
     for block in found:
         block.text = " ".join("".join(block.pieces).split())
     if firmness:
-        _lift_bans(found, firmness, landmarks)
+        _lift_bans(found, firmness, around, landmarks)
     # Text goes on across the border of an inline element whose name bans nothing.
     whole: list[Block] = []
     for block in found:
         if block.continues and whole and whole[-1].banned == block.banned:
             whole[-1].pieces += block.pieces
             whole[-1].linked += block.linked
-            whole[-1].text = " ".join("".join(whole[-1].pieces).split())
         else:
             whole.append(block)
+    for block in whole:
+        block.text = " ".join("".join(block.pieces).split())
     return [b for b in whole if b.text]
 
 
