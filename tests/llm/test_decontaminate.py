@@ -1,8 +1,11 @@
+import random
 import re
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.llm import decontaminate
 from tidemark.llm.common import read
 from tidemark.llm.decontaminate import find_contamination, without_contaminated
 
@@ -105,3 +108,26 @@ def test_an_item_with_two_texts_is_listed_once(spark, block_bytes):
     items = spark.createDataFrame([(7, first), (7, second), (8, second)], "item_id long, text string")
     rows = find_contamination(spark, docs, items, block_bytes=block_bytes).collect()
     assert {r["doc_id"]: sorted(r["item_ids"]) for r in rows} == {1: [7, 8], 2: [7, 8]}
+
+
+def test_repeated_words_take_memory_in_proportion():
+    """An item of 400 equal words against a text of 50,000, and against the same with other words between."""
+    block = decontaminate.test_block([(1, "again " * 400)], 10)
+    for text, hits in (("again " * 50_000, [(0, 50_000)]), (("again " * 25 + "other ") * 2000, [(26 * i, 25) for i in range(2000)])):
+        tracemalloc.start()
+        n_words, spans, ids, matches = (a.to_pylist()[0] for a in decontaminate.match_texts([text], block))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 400e6
+        assert [(s["start"], s["length"]) for s in spans] == hits and ids == [1]
+        assert max(m["length"] for m in matches) == min(400, hits[0][1])
+
+
+def test_matches_across_stretches(monkeypatch):
+    draw = random.Random(2)
+    items = [(i, " ".join(draw.choices("ab", k=draw.randint(4, 40)))) for i in range(6)]
+    text = " ".join(draw.choices("ab", k=600))
+    block = decontaminate.test_block(items, 4)
+    whole = decontaminate.match_texts([text, text[::-1]], block)
+    monkeypatch.setattr(decontaminate, "PLACES_AT_A_TIME", 50)
+    assert decontaminate.match_texts([text, text[::-1]], block) == whole

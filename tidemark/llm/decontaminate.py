@@ -88,8 +88,33 @@ def suffix_array(numbers: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarr
     return keys[order], places[order]
 
 
+def _runs(kind: np.ndarray, start: np.ndarray, place: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Rows (class, start, place, windows): neighbours of one class on one diagonal, of which each goes on where the last ends, as one."""
+    line = place - start
+    order = np.lexsort((start, line, kind))
+    kind, start, line, place, many = kind[order], start[order], line[order], place[order], many[order]
+    goes_on = (kind[1:] == kind[:-1]) & (line[1:] == line[:-1]) & (start[1:] == start[:-1] + many[:-1])
+    first = np.flatnonzero(np.r_[True, ~goes_on]) if len(kind) else np.zeros(0, dtype=np.int64)
+    return np.column_stack([kind[first], start[first], place[first], np.add.reduceat(many, first) if len(first) else first])
+
+
+def _place_cuts(window: np.ndarray, low: np.ndarray, high: np.ndarray, places: np.ndarray) -> list[int]:
+    """Borders of stretches of the text in each of which the entries' windows have up to `PLACES_AT_A_TIME` places in all."""
+    different, entries = np.unique(window, return_counts=True)
+    many = high[different] - low[different]
+    where = places[_ranges(low[different], many)]
+    order = np.argsort(where, kind="stable")
+    total = np.cumsum(np.repeat(entries, many)[order])
+    cuts = np.flatnonzero(total[1:] // PLACES_AT_A_TIME != total[:-1] // PLACES_AT_A_TIME) + 1
+    return [0, *np.unique(where[order[cuts]]).tolist(), int(where.max()) + 1]
+
+
 def longest_matches(numbers: np.ndarray, block: dict) -> np.ndarray:
-    """Rows (class, start in the item, start in `numbers`, words) of all maximal matches of a window or more."""
+    """Rows (class, start in the item, start in `numbers`, words) of all maximal matches of a window or more.
+
+    Windows that are frequent in item and text are followed one stretch of the text after the other, and the matches
+    that cross a border are put together, so memory is that of the matches and of a stretch.
+    """
     found = [np.zeros((0, 4), dtype=np.int64)]
     for length, (windows, entries) in block["windows"].items():
         keys, places = suffix_array(numbers, length)
@@ -97,22 +122,28 @@ def longest_matches(numbers: np.ndarray, block: dict) -> np.ndarray:
         low, high = np.searchsorted(keys, wanted, "left"), np.searchsorted(keys, wanted, "right")
         counts = (high - low)[entries[:, 0]]
         entries, counts = entries[counts > 0], counts[counts > 0]
-        # Entries are sorted by class, and a class is never cut.
         class_ends = np.flatnonzero(np.r_[entries[1:, 1] != entries[:-1, 1], True]) + 1 if len(entries) else np.zeros(0, dtype=np.int64)
         before = np.r_[0, np.cumsum(counts)]
         begin = 0
         while begin < len(entries):
             fits = class_ends[(class_ends > begin) & (before[class_ends] - before[begin] <= PLACES_AT_A_TIME)]
             end = fits[-1] if len(fits) else class_ends[class_ends > begin][0]
-            part, many = entries[begin:end], counts[begin:end]
-            place = places[_ranges(low[part[:, 0]], many)]
-            kind, start = np.repeat(part[:, 1], many), np.repeat(part[:, 2], many)
-            line = place - start
-            order = np.lexsort((start, line, kind))
-            kind, start, line, place = kind[order], start[order], line[order], place[order]
-            first = np.flatnonzero(np.r_[True, (kind[1:] != kind[:-1]) | (line[1:] != line[:-1]) | (start[1:] != start[:-1] + 1)])
-            run = np.diff(np.r_[first, len(kind)])
-            found.append(np.column_stack([kind[first], start[first], place[first], length + run - 1]))
+            window, kind, start = entries[begin:end].T
+            cuts = [0, len(numbers)] if len(fits) else _place_cuts(window, low, high, places)
+            parts = []
+            for first, last in zip(cuts, cuts[1:]):
+                a, b = low, high
+                if len(cuts) > 2:
+                    a, b = low.copy(), high.copy()
+                    for w in np.unique(window).tolist():
+                        inside = places[low[w] : high[w]]
+                        a[w], b[w] = low[w] + np.searchsorted(inside, first), low[w] + np.searchsorted(inside, last)
+                many = (b - a)[window]
+                place = places[_ranges(a[window], many)]
+                parts.append(_runs(np.repeat(kind, many), np.repeat(start, many), place, np.ones(len(place), dtype=np.int64)))
+            runs = _runs(*np.concatenate(parts).T) if len(parts) > 1 else parts[0]
+            runs[:, 3] += length - 1
+            found.append(runs)
             begin = end
     return np.concatenate(found)
 
