@@ -198,7 +198,9 @@ def near_pairs(words: DataFrame, most_words: int = MOST_WORDS) -> DataFrame:
 
     rows = states(words, most_words).select("state.m", "state.forward", "state.half", "block.low", "block.high", "word", "slice")
     keys = ["m", "forward", "half", "low", "high"]
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(read, "longer string, shorter string")
+    # A stated number of partitions is kept: the rows are few bytes each, but much work.
+    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(read, "longer string, shorter string")
 
 
 def spelled(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", every: int = 31, least_length: int = LEAST_LENGTH) -> DataFrame:
