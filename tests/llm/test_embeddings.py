@@ -143,3 +143,14 @@ def test_one_bucket_if_no_table_would_do():
     a = cone(rng, 500, 64, 0.9999)
     codes = [embeddings.substrings(x, mean, projection, bits) for x in (a, moved(rng, a, 0.95))]
     assert (codes[0] == codes[1]).any(axis=1).mean() >= 0.94
+
+
+def test_hamming_limit_keeps_pairs_at_the_threshold_and_not_others():
+    rng = np.random.default_rng(4)
+    sample = cone(rng, 3000, 64, 0.3)
+    mean, projection, bits = embeddings.fit_codes(sample, 1_000_000)
+    limit = embeddings.hamming_limit(sample, mean, projection)
+    a, others = cone(rng, 3000, 64, 0.3), cone(rng, 3000, 64, 0.3)
+    codes = [embeddings.packed_codes(x, mean, projection) for x in (a, moved(rng, a, 0.95), others)]
+    near, far = (np.bitwise_count(codes[0] ^ c).sum(axis=1) for c in codes[1:])
+    assert (near <= limit).mean() > 0.99 and (far <= limit).mean() < 0.02

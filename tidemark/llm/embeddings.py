@@ -2,8 +2,9 @@
 
 Iterative quantisation (Gong and Lazebnik, CVPR 2011) learns a rotation of the principal axes under
 which signs are balanced binary codes. The code is cut into substrings, one hash table for each: vectors that agree
-in a whole substring meet in a bucket of its table, and are compared there by their original components in double
-precision. Substring length follows from the number of vectors. Tables are added until the wanted share of planted pairs,
+in a whole substring meet in a bucket of its table. There the whole codes are compared, as packed bits: pairs within a
+Hamming distance that all but one in a thousand planted pairs keep are candidates, and only rows with a candidate have
+their vectors sent, for the comparison in double precision. Substring length follows from the number of vectors. Tables are added until the wanted share of planted pairs,
 sample vectors and their copies moved to exactly the threshold, meet under the fitted mean and rotations: where
 vectors share a direction, the angle about the mean is larger than that about the origin. More tables than one
 rotation has bits for take further rotations.
@@ -38,8 +39,9 @@ BLOCK_ROWS, BUCKET_ROWS = 2048, 256
 LEAST_BITS, MOST_BITS = 6, 30
 # Planted pairs of each kind, and tables above which shorter substrings are taken instead.
 PLANTED_PAIRS, MOST_TABLES = 4000, 256
-# Rows whose cosines with a block are held at a time.
+# Rows whose codes are compared with a block at a time, and pairs of vectors that are compared at a time.
 STRIP_ROWS = 256
+PAIRS_AT_A_TIME = 100_000
 
 
 def table_shape(vectors: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int]:
@@ -133,41 +135,89 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def _block_links(threshold: float) -> Callable[[pa.Table], pa.Table]:
-    """Compares the rows of a cell: all pairs if it has one side, else the pairs of a left and a right row."""
+def packed_codes(vectors: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndarray:
+    """The whole codes, as rows of bytes."""
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    return np.packbits((unit - mean) @ projection >= 0, axis=1, bitorder="little")
+
+
+def hamming_limit(sample: np.ndarray, mean: np.ndarray, projection: np.ndarray, threshold: float = THRESHOLD) -> int:
+    """Bits in which codes at the threshold may differ: all but one in a thousand planted pairs of either kind do not differ in more."""
+    left, right, kind = planted_pairs(sample, threshold)
+    apart = (((left - mean) @ projection >= 0) != ((right - mean) @ projection >= 0)).sum(axis=1)
+    return int(max((np.quantile(apart[kind == k], 0.999, method="higher") for k in np.unique(kind)), default=projection.shape[1]))
+
+
+def _bytes_matrix(column: pa.Array) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), dtype=np.uint8).reshape(len(rows), -1)
+
+
+def _candidates(table: pa.Table, bits: int, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of a cell whose codes differ in up to `limit` bits and that no earlier table has: all of one side, or of left and right."""
+    codes = _bytes_matrix(table["packed"])
+    width = codes.shape[1]
+    words = np.ascontiguousarray(np.pad(codes, ((0, 0), (0, -width % 8)))).view(np.uint64)
+    number = table["table_number"][0].as_py()
+    earlier = np.unpackbits(codes, axis=1, count=number * bits, bitorder="little").reshape(len(codes), number, bits) if number else None
+    earlier = earlier @ (1 << np.arange(bits, dtype=np.int64)) if number else None
+    side = table["side"].to_numpy()
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    within = not len(right)
+    right = left if within else right
+    for begin in range(0, len(left), STRIP_ROWS):
+        rows = left[begin : begin + STRIP_ROWS]
+        apart = np.zeros((len(rows), len(right)), dtype=np.int32)
+        for word in range(words.shape[1]):
+            apart += np.bitwise_count(words[rows, word][:, None] ^ words[right, word][None, :])
+        a, b = np.nonzero(apart <= limit)
+        a, b = rows[a], right[b]
+        if within:
+            a, b = a[a < b], b[a < b]
+        if number:
+            # An earlier table has the pair if it agrees there.
+            new = ~(earlier[a] == earlier[b]).any(axis=1)
+            a, b = a[new], b[new]
+        yield a, b
+
+
+def _near_codes(bits: int, limit: int) -> Callable[[pa.Table], pa.Table]:
+    """The rows of a cell that have a candidate in it: only their vectors have to travel."""
+
+    def keep(table: pa.Table) -> pa.Table:
+        has = np.zeros(table.num_rows, dtype=bool)
+        for a, b in _candidates(table, bits, limit):
+            has[a] = has[b] = True
+        return table.filter(pa.array(has))
+
+    return keep
+
+
+def _block_links(threshold: float, bits: int, limit: int) -> Callable[[pa.Table], pa.Table]:
+    """Reranks the candidates of a cell by the cosine of the original vectors."""
 
     def compare(table: pa.Table) -> pa.Table:
         ids, copies = table["id"].to_numpy(), table["copies"].to_numpy()
-        codes = _matrix(table["codes"]).astype(np.int64)
-        number = table["table_number"][0].as_py()
         vectors = _matrix(table["vector"])
         vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
-        side = table["side"].to_numpy()
-        left = np.flatnonzero(side == 0)
-        right = np.flatnonzero(side == 1)
-        within = not len(right)
-        right = left if within else right
         linked = np.zeros(len(ids), dtype=np.int64)
         label = np.arange(len(ids))
-        for begin in range(0, len(left), STRIP_ROWS):
-            rows = left[begin : begin + STRIP_ROWS]
-            a, b = np.nonzero(vectors[rows] @ vectors[right].T >= threshold)
-            a, b = rows[a], right[b]
-            keep = a < b if within else np.ones(len(a), dtype=bool)
-            a, b = a[keep], b[keep]
-            # An earlier table has counted the pair if it agrees there.
-            new = ~(codes[a, :number] == codes[b, :number]).any(axis=1)
-            a, b = a[new], b[new]
-            np.add.at(linked, a, copies[b])
-            np.add.at(linked, b, copies[a])
-            while len(a):
-                la, lb = label[a], label[b]
-                apart = la != lb
-                if not apart.any():
-                    break
-                np.minimum.at(label, np.maximum(la, lb)[apart], np.minimum(la, lb)[apart])
-                while not np.array_equal(label, label[label]):
-                    label = label[label]
+        for all_a, all_b in _candidates(table, bits, limit):
+            for begin in range(0, len(all_a), PAIRS_AT_A_TIME):
+                a, b = all_a[begin : begin + PAIRS_AT_A_TIME], all_b[begin : begin + PAIRS_AT_A_TIME]
+                near = np.einsum("ij,ij->i", vectors[a], vectors[b]) >= threshold
+                a, b = a[near], b[near]
+                np.add.at(linked, a, copies[b])
+                np.add.at(linked, b, copies[a])
+                while len(a):
+                    la, lb = label[a], label[b]
+                    apart = la != lb
+                    if not apart.any():
+                        break
+                    np.minimum.at(label, np.maximum(la, lb)[apart], np.minimum(la, lb)[apart])
+                    while not np.array_equal(label, label[label]):
+                        label = label[label]
         found = np.flatnonzero(linked)
         return pa.table({"id": ids[found], "root": ids[label[found]], "links": linked[found]})
 
@@ -229,30 +279,36 @@ def _links_of_width(spark: SparkSession, classes: DataFrame, size: int, threshol
     chosen = classes.filter(F.pmod(F.xxhash64("vector"), F.lit(1_000_000)) < max(1, int(share * 1_000_000)))
     sample = np.array([r["vector"] for r in chosen.select("vector").collect()] or [classes.first()["vector"]])
     mean, projection, bits = fit_codes(sample, size, threshold, recall)
+    limit = hamming_limit(sample, mean, projection, threshold)
     shared = spark.sparkContext.broadcast((mean, projection))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                parts = substrings(_matrix(batch.column(1)), *shared.value, bits)
+                vectors = _matrix(batch.column(1))
+                parts = substrings(vectors, *shared.value, bits)
                 offsets = np.arange(len(parts) + 1) * parts.shape[1]
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(parts.ravel()))
-                columns = [batch.column(0), batch.column(1), batch.column(2), lists]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "vector", "copies", "codes"])
+                packed = pa.array([row.tobytes() for row in packed_codes(vectors, *shared.value)], pa.binary())
+                columns = [batch.column(0), batch.column(1), batch.column(2), packed, lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "vector", "copies", "packed", "codes"])
 
-    coded = classes.select("id", "vector", "copies").mapInArrow(code, "id bigint, vector array<double>, copies bigint, codes array<bigint>")
-    coded = stage(coded, "codes")
-    entries = coded.select("id", F.posexplode("codes").alias("table_number", "substring"))
+    made = "id bigint, vector array<double>, copies bigint, packed binary, codes array<bigint>"
+    coded = stage(classes.select("id", "vector", "copies").mapInArrow(code, made), "codes")
+    entries = coded.select("id", "copies", "packed", F.posexplode("codes").alias("table_number", "substring"))
     sizes = entries.groupBy("table_number", "substring").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     # A bucket of n blocks has a cell for each block and each pair of blocks; a row goes to the n cells of its block.
     blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
     placed = entries.join(sizes, ["table_number", "substring"]).withColumn("blocks", blocks)
     placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cell = ["table_number", "substring", "low", "high"]
     cells = placed.select(
-        "id", "table_number", "substring",
+        "id", "copies", "packed", "table_number", "substring",
         F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
         (F.col("block") > F.col("other")).cast("int").alias("side"),
     )
-    cells = cells.join(coded, "id")
-    return cells.groupBy("table_number", "substring", "low", "high").applyInArrow(_block_links(threshold), "id bigint, root bigint, links bigint")
+    # Codes are compared first; vectors go only where a code has a candidate.
+    near = stage(cells.groupBy(*cell).applyInArrow(_near_codes(bits, limit), cells.schema), "near-codes")
+    with_vectors = near.join(coded.select("id", "vector"), "id")
+    return with_vectors.groupBy(*cell).applyInArrow(_block_links(threshold, bits, limit), "id bigint, root bigint, links bigint")
