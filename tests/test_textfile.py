@@ -1,0 +1,73 @@
+"""Every value survives the text form, and lines that are not rows are told apart."""
+
+from datetime import date
+from decimal import Decimal
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import types as T
+from tidemark.sources.textfile import read_text, read_text_with_rejects, reject_counts, write_text
+
+SCHEMA = (
+    T.StructType()
+    .add("id", T.LongType(), False)
+    .add("word", T.StringType())
+    .add("amount", T.DecimalType(18, 2))
+    .add("ratio", T.DoubleType())
+    .add("day", T.DateType())
+    .add("other", T.StringType())
+)
+HARD = ["", " ", "\x01", "\n", "\r\n", "\\", "\\N", "\\\\N", "\\n", "\\1", "\\\\1", '"', "a,b\"c'", "\\\\\x01\\\n", "ä\U0001f600\u2028", "null", "\t", "\ufeffx"]
+
+
+def test_hard_values_come_back(spark, tmp_path):
+    rows = [(i, w, Decimal("1.50"), 0.1 + i, date(2023, 7, 1), HARD[-1 - i]) for i, w in enumerate(HARD)]
+    rows += [(99, None, None, None, None, None), (100, None, Decimal("-0.01"), 1e-300, date(1, 1, 1), None), (101, "x", None, float("inf"), None, "")]
+    write_text(spark.createDataFrame(rows, SCHEMA), f"{tmp_path}/t")
+    found, rejects = read_text_with_rejects(spark, f"{tmp_path}/t", SCHEMA)
+    assert sorted(map(tuple, found.collect())) == sorted(rows) and rejects.collect() == []
+    assert sorted(map(tuple, read_text(spark, f"{tmp_path}/t", SCHEMA).collect())) == sorted(rows)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.text(alphabet="\\\\\x01\n\rN1nr a"), st.none() | st.text(max_size=5)), min_size=1, max_size=30))
+def test_any_text_comes_back(spark, tmp_path_factory, rows):
+    path = str(tmp_path_factory.mktemp("any") / "t")
+    schema = T.StructType().add("a", T.StringType()).add("b", T.StringType())
+    write_text(spark.createDataFrame(rows, schema), path)
+    key = lambda r: (r[0], r[1] is None, r[1] or "")
+    assert sorted(map(tuple, read_text(spark, path, schema).collect()), key=key) == sorted(rows, key=key)
+
+
+def test_plain_lines_are_as_ever(spark, tmp_path):
+    write_text(spark.createDataFrame([(1, "plain", None, 0.5, date(2023, 7, 1), None)], SCHEMA).coalesce(1), f"{tmp_path}/t")
+    (line,) = [r[0] for r in spark.read.text(f"{tmp_path}/t").collect()]
+    assert line == "1\x01plain\x01\\N\x010.5\x012023-07-01\x01\\N"
+
+
+def test_broken_lines_are_returned_apart(spark, tmp_path):
+    good = "1\x01a\x01\\N\x010.5\x01\\N\x01b"
+    broken = {
+        "": "1 fields of 6",
+        "1\x01a": "2 fields of 6",
+        good + "\x01more": "7 fields of 6",
+        "x\x01a\x01\\N\x010.5\x01\\N\x01b": "id is not bigint",
+        "\\N\x01a\x01\\N\x010.5\x01\\N\x01b": "id is missing",
+        "1\x01a\x01\\N\x01\x01\\N\x01b": "ratio is not double",
+        "1\x01a\x01\\N\x010.5\x012023-13-01\x01b": "day is not date",
+        "1\x01a\\q\x01\\N\x010.5\x01\\N\x01b": "word is not string",
+        "1\x01a\x01\\N\x010.5\x01\\N\x01end\\": "other is not string",
+    }
+    (tmp_path / "t").write_text("\n".join([good, *broken, "1\x01a"]) + "\n")
+    rows, rejects = read_text_with_rejects(spark, f"{tmp_path}/t", SCHEMA)
+    assert rows.count() == 1 and rejects.count() == len(broken) + 1
+    assert {r["line"]: r["reason"] for r in rejects.collect()} == broken
+    assert tuple(reject_counts(rejects).first()) == ("2 fields of 6", 2)
+    with pytest.raises(Exception, match="a line is not a row"):
+        read_text(spark, f"{tmp_path}/t", SCHEMA).collect()
+
+
+def test_nested_columns_are_refused(spark, tmp_path):
+    with pytest.raises(ValueError, match="xs cannot"):
+        write_text(spark.createDataFrame([([1],)], "xs array<int>"), f"{tmp_path}/t")

@@ -1,29 +1,98 @@
-"""The headerless text form of the feature table: \\x01 between fields, \\N for null, UTF-8."""
+"""The headerless text form of the feature table: \\x01 between fields, \\N for null, UTF-8, one row a line.
+
+Backslashes, separators and line ends inside a value are written as escapes, so every value comes back as it was; a value
+without any of them is written as it is.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Field separator and null marker of the text form.
 SEPARATOR = "\x01"
 NULL = "\\N"
+# Characters with a form of their own inside a value, and that form.
+ESCAPES = {"\\": "\\\\", SEPARATOR: "\\1", "\n": "\\n", "\r": "\\r"}
+
+
+def _escaped(value: Column) -> Column:
+    for character, form in ESCAPES.items():
+        value = F.replace(value, F.lit(character), F.lit(form))
+    return value
+
+
+def _unescaped(value: Column) -> Column:
+    """Between two escaped backslashes a backslash begins an escape, so the parts are read one by one."""
+
+    def part(text: Column) -> Column:
+        for character, form in reversed(ESCAPES.items()):
+            text = F.replace(text, F.lit(form), F.lit(character)) if character != "\\" else text
+        return text
+
+    return F.when(F.contains(value, F.lit("\\")), F.array_join(F.transform(F.split(value, r"\\\\"), part), "\\")).otherwise(value)
+
 
-_OPTIONS = {"sep": SEPARATOR, "nullValue": NULL, "encoding": "UTF-8", "quote": "", "header": "false"}
+def _bad_escape(value: Column) -> Column:
+    """A backslash that begins no escape."""
+    return value.rlike(r"^(?:[^\\]|\\[\\1nr])*+\\")
 
 
 def write_text(df: DataFrame, path: str) -> None:
-    """Write all columns in order. An empty string has no form of its own and becomes null."""
-    text = [
-        F.nullif(F.col(field.name), F.lit("")).alias(field.name)
-        if isinstance(field.dataType, T.StringType)
-        else F.col(field.name)
-        for field in df.schema
+    """Write all columns in order, each as its text. Only columns whose text can be cast back are allowed."""
+    kinds = (T.ArrayType, T.MapType, T.StructType, T.BinaryType)
+    nested = [f.name for f in df.schema if isinstance(f.dataType, kinds)]
+    if nested:
+        raise ValueError(f"{', '.join(nested)} cannot be written as text")
+    fields = [F.col(f"`{f.name}`").cast("string") for f in df.schema]
+    fields = [
+        F.coalesce(_escaped(text) if isinstance(f.dataType, T.StringType) else text, F.lit(NULL)) for f, text in zip(df.schema, fields)
     ]
-    df.select(*text).write.options(**_OPTIONS, emptyValue="").csv(path)
+    df.select(F.concat_ws(SEPARATOR, *fields).alias("value")).write.option("lineSep", "\n").text(path)
+
+
+def _parsed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """(line, reason, one column for each field, named by its place): `reason` is null for a line that is whole."""
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("value").alias("line"))
+    fields = F.split("line", SEPARATOR)
+    split = lines.withColumn("fields", fields)
+    columns, reasons = [], [F.when(F.size("fields") != len(schema), F.concat(F.size("fields").cast("string"), F.lit(f" fields of {len(schema)}")))]
+    for place, field in enumerate(schema):
+        text = F.get("fields", F.lit(place))
+        known = F.when(text != NULL, text)
+        if isinstance(field.dataType, T.StringType):
+            value = _unescaped(known)
+            wrong = _bad_escape(known)
+        else:
+            value = known.try_cast(field.dataType)
+            wrong = known.isNotNull() & value.isNull()
+        columns.append(value.alias(f"_{place}"))
+        reasons.append(F.when(wrong, f"{field.name} is not {field.dataType.simpleString()}"))
+        if not field.nullable:
+            reasons.append(F.when(text == NULL, f"{field.name} is missing"))
+    return split.select("line", F.coalesce(*reasons).alias("reason"), *columns)
+
+
+def read_text_with_rejects(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects): the rows by position under the schema, and (line, reason) of every line that is not one.
+
+    A line is rejected for the number of its fields, or for the first field that is not of its type, holds an unknown
+    escape, or is null where the schema allows none. Empty text is empty text.
+    """
+    parsed = _parsed(spark, path, schema)
+    rows = parsed.filter("reason is null").select(*[F.col(f"_{i}").alias(f.name) for i, f in enumerate(schema)])
+    return rows, parsed.filter("reason is not null").select("line", "reason")
+
+
+def reject_counts(rejects: DataFrame) -> DataFrame:
+    """(reason, lines) of the rejected lines, the most frequent first."""
+    return rejects.groupBy("reason").agg(F.count(F.lit(1)).alias("lines")).orderBy(F.desc("lines"), "reason")
 
 
 def read_text(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Read by position under an explicit schema; a field that does not parse fails the read."""
-    return spark.read.schema(schema).options(**_OPTIONS, mode="FAILFAST").csv(path)
+    """Read by position under an explicit schema; a line that is not a row fails the read."""
+    parsed = _parsed(spark, path, schema)
+    failed = F.raise_error(F.concat(F.lit("a line is not a row: "), F.col("reason")))
+    checked = parsed.filter(F.when(F.col("reason").isNull(), True).otherwise(failed.cast("boolean")))
+    return checked.select(*[F.col(f"_{i}").alias(f.name) for i, f in enumerate(schema)])
