@@ -251,3 +251,18 @@ def test_write_table_replaces(spark, tmp_path, table):
     assert spark.read.parquet(path).count() == 3
     with pytest.raises(Exception, match="already exists"):
         write_table(spark.range(3), path, overwrite=False)
+
+
+def test_every_attribute_value(spark, src, members):
+    """A second phone and a second age: one row for the largest values, or a row for each combination."""
+    more = [(1, CFG.words.phone_name, None, "13900000999"), (1, CFG.words.age_name, None, "77"), (99, CFG.words.phone_name, None, "1")]
+    eav = src.feature_eav.unionByName(spark.createDataFrame(more, "user_id long, three_class_name string, feature_name string, feature_value string"))
+    sources = Sources(**{n: (lambda n=n: getattr(src, n)) for n in Sources.NAMES} | {"feature_eav": lambda: eav})
+    one = profile.customer_profile(members, sources, CFG).collect()
+    every = profile.customer_profile(members, sources, replace(CFG, every_attribute_value=True)).collect()
+    assert len(one) == members.count() and len(every) == len(one) + 3
+    stored = {n: {r["feature_value"] for r in eav.filter((F.col("user_id") == 1) & (F.col("three_class_name") == n)).collect()} for n in (CFG.words.phone_name, CFG.words.age_name)}
+    assert {(r["tel_num"], r["age"]) for r in every if r["cust_id"] == 1} == {(p, a) for p in stored[CFG.words.phone_name] for a in stored[CFG.words.age_name]}
+    rest = [tuple(r) for r in every if r["cust_id"] != 1]
+    assert sorted(rest, key=str) == sorted((tuple(r) for r in one if r["cust_id"] != 1), key=str)
+    assert {(r["user_id"], r["n"]) for r in profile.repeated_attributes(eav).collect()} >= {(1, 2)}

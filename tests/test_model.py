@@ -3,12 +3,13 @@
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 from tidemark.config import training_config
-from tidemark.functions.staging import new_path
-from tidemark.operators import metrics
+from tidemark.functions.staging import new_path, stage
+from tidemark.operators import forest, metrics
 from tidemark.operators.model import feature_importances, fit_forest, score
-from tidemark.operators.prep import encode_ordinals
+from tidemark.operators.prep import encode_ordinals, hash_split
 from tidemark.plans.model_registry import LABEL, labelled_features
 from tidemark.plans.model_run import ModelParams, train_model
 
@@ -65,3 +66,35 @@ def test_forest_learns_a_rule_and_auc_agrees_with_the_evaluator(spark):
     noisy = rows.select("label", (F.col("a") + F.col("b")).alias("score"))
     theirs = BinaryClassificationEvaluator(rawPredictionCol="score", numBins=0).evaluate(noisy)
     assert abs(metrics.auc_rank(noisy, "label").first()["auc"] - theirs) < 1e-9
+
+
+@pytest.mark.parametrize("most_nodes", [1_000_000, 40])
+def test_scores_from_nodes_are_the_model_s(spark, fitted, most_nodes):
+    rows, trained = fitted
+    nodes = stage(forest.forest_nodes(spark, trained.model), "nodes")
+    later = encode_ordinals(rows, training_config().words)
+    prepared = trained.model.stages[0].transform(later)
+    inputs = trained.model.stages[-2].getInputCols()
+    want = {r["cust_id"]: r["p"] for r in trained.model.transform(later).select("cust_id", vector_to_array("probability").alias("p")).collect()}
+    got = {r["cust_id"]: r["shares"] for r in forest.score_by_nodes(prepared, nodes, inputs, most_nodes=most_nodes).select("cust_id", "shares").collect()}
+    assert got.keys() == want.keys() and all(abs(a - b) < 1e-12 for i in want for a, b in zip(got[i], want[i]))
+
+
+def test_importances_from_nodes_are_the_model_s(spark, fitted):
+    _, trained = fitted
+    nodes = forest.forest_nodes(spark, trained.model)
+    inputs = trained.model.stages[-2].getInputCols()
+    got = forest.importances_by_nodes(nodes, inputs).orderBy("position").collect()
+    want = feature_importances(spark, trained.model).collect()
+    assert {r["feature"]: round(r["importance"], 12) for r in got} == {r["feature"]: round(r["importance"], 12) for r in want}
+    assert [r["position"] for r in got] == list(range(1, len(inputs) + 1))
+
+
+def test_held_out_quality_of_a_noisy_rule(spark):
+    """A forest of noise would be near 0.5."""
+    rows = spark.range(4000).select("id", (F.col("id") % 10).cast("double").alias("a"), (F.xxhash64("id") % 7).cast("double").alias("b"))
+    rows = rows.withColumn("label", F.when((F.col("a") > 6) != (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(10)) == 0), 1).otherwise(0))
+    split = hash_split(rows, "id")
+    model = fit_forest(split.filter("is_test = 0"), ["a", "b"], "label", trees=20, depth=5)
+    scored = score(model, split.filter("is_test = 1"), ("label",))
+    assert metrics.auc_rank(scored, "label").first()["auc"] > 0.8

@@ -104,6 +104,8 @@ class FeatureConfig:
     phone_digits: int = 11
     # One class for a route with several: the alphabetically last. By default each class joins.
     one_class_per_route: bool = False
+    # True: a customer with several values of an attribute has a row for each in the profile, as in the source's joins.
+    every_attribute_value: bool = False
     # False: of several ratings with the newest time only one counts.
     rating_ties: bool = True
 

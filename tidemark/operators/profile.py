@@ -27,7 +27,7 @@ def eav_pivot(eav: DataFrame, attributes: dict[str, tuple[str, str]]) -> DataFra
 
 
 def repeated_attributes(eav: DataFrame) -> DataFrame:
-    """(user_id, three_class_name, n) stored more than once, to be empty before a run."""
+    """(user_id, three_class_name, n) stored more than once: where one row per user and every value differ."""
     counts = eav.groupBy("user_id", "three_class_name").agg(F.count(F.lit(1)).alias("n"))
     return counts.filter(F.col("n") > 1)
 
@@ -45,6 +45,22 @@ def personal_attributes(eav: DataFrame, words: Vocabulary) -> DataFrame:
     )
 
 
+def personal_attribute_rows(users: DataFrame, eav: DataFrame, words: Vocabulary) -> DataFrame:
+    """user_id, sex, age, age_group, tel_num with every stored value: a user with several values has a row for each combination.
+
+    `users` (user_id) all have a row; an attribute that is not stored is null.
+    """
+    rows = users
+    for name, value, out in (
+        (words.sex_name, "feature_name", "sex"),
+        (words.age_name, "feature_value", "age"),
+        (words.age_group_name, "feature_name", "age_group"),
+        (words.phone_name, "feature_value", "tel_num"),
+    ):
+        rows = rows.join(eav.filter(F.col("three_class_name") == name).select("user_id", F.col(value).alias(out)), "user_id", "left")
+    return rows
+
+
 def _days_since(day: Column, anchor: Column) -> Column:
     return F.when(anchor > day, F.datediff(anchor, day) + 1).otherwise(0)
 
@@ -83,7 +99,11 @@ def reachable_channels(access: DataFrame) -> DataFrame:
 
 
 def customer_profile(cohort: DataFrame, src: Sources, cfg: FeatureConfig) -> DataFrame:
-    """The cohort with all profile columns, one row per customer. Other users are dropped before any aggregation."""
+    """The cohort with all profile columns. Other users are dropped before any aggregation.
+
+    One row per customer; with `cfg.every_attribute_value` one for each combination of the values that are stored
+    of the personal attributes and the city, as joins of the attribute table give them.
+    """
 
     def own(rows: DataFrame) -> DataFrame:
         return keep_members(rows, cohort, "user_id")
@@ -91,9 +111,14 @@ def customer_profile(cohort: DataFrame, src: Sources, cfg: FeatureConfig) -> Dat
     def by_customer(rows: DataFrame) -> DataFrame:
         return rows.withColumnRenamed("user_id", "cust_id")
 
+    if cfg.every_attribute_value:
+        users = cohort.select(F.col("cust_id").alias("user_id"))
+        personal = personal_attribute_rows(users, own(src.feature_eav), cfg.words)
+    else:
+        personal = personal_attributes(own(src.feature_eav), cfg.words)
     joined = (
         tenure(cohort, src.cust_attribute)
-        .join(by_customer(personal_attributes(own(src.feature_eav), cfg.words)), "cust_id", "left")
+        .join(by_customer(personal), "cust_id", "left")
         .join(by_customer(geography(own(src.city_eav), src.city_key, cfg.words)), "cust_id", "left")
         .join(by_customer(reachable_channels(own(src.access_channel))), "cust_id", "left")
     )
