@@ -47,9 +47,9 @@ def behavior_table(cohort: DataFrame, src: Sources, cfg: FeatureConfig, keep: St
     )
 
 
-def feature_table(src: Sources, cfg: FeatureConfig, keep: Stage = stage) -> DataFrame:
-    """One row per cohort customer, columns and types as in `FEATURE_SCHEMA`."""
-    cohort = staged_cohort(src, cfg, keep)
+def feature_table(src: Sources, cfg: FeatureConfig, keep: Stage = stage, cohort: DataFrame | None = None) -> DataFrame:
+    """One row per cohort customer, columns and types as in `FEATURE_SCHEMA`. `cohort` may be one that is staged already."""
+    cohort = staged_cohort(src, cfg, keep) if cohort is None else cohort
     joined = (
         label_table(cohort, src, cfg)
         .join(profile.customer_profile(cohort, src, cfg).drop("create_date"), "cust_id", "left")
@@ -67,10 +67,11 @@ def feature_table(src: Sources, cfg: FeatureConfig, keep: Stage = stage) -> Data
 def write_feature_table(src: Sources, cfg: FeatureConfig, table: str, keep: Stage = stage) -> None:
     """Puts the run's rows in place as the day of `table` on which its activity ends; other days are not touched.
 
-    One row per customer is checked before. A day without customers is not written.
+    That there is one row for each customer of the cohort is checked before. A day without customers is not written.
     """
-    rows = feature_table(src, cfg, keep).withColumn(RUN_DAY, F.lit(cfg.activity_end))
-    write_table(rows, table, day=RUN_DAY, keys=["cust_id"])
+    cohort = staged_cohort(src, cfg, keep)
+    rows = feature_table(src, cfg, keep, cohort).withColumn(RUN_DAY, F.lit(cfg.activity_end))
+    write_table(rows, table, day=RUN_DAY, keys=["cust_id"], rows=cohort.count())
 
 
 def read_feature_table(spark: SparkSession, table: str, cfg: FeatureConfig) -> DataFrame:

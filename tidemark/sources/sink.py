@@ -15,7 +15,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,20 +26,13 @@ class WriteCheckError(ValueError):
     """The written rows are not what the table needs; the table is as it was."""
 
 
-def _checked_copy(df: DataFrame, path: str, day: str | None, keys: Sequence[str]) -> DataFrame:
+def _checked_copy(df: DataFrame, path: str, day: str | None, keys: Sequence[str], rows: int | None) -> DataFrame:
     """Writes `df` to a new folder and reads it back. Lost, repeated or keyless rows are an error."""
-    spark = df.sparkSession
-    seen = Observation()
-    # What the tasks wrote is counted while they write.
-    watched = df.observe(seen, F.count(F.lit(1)).alias("rows"))
-    writer = watched.write.mode("errorifexists")
+    writer = df.write.mode("errorifexists")
     (writer.partitionBy(day) if day else writer).parquet(path)
-    copy = spark.read.schema(df.schema).parquet(path)
-    found = copy.count()
-    # The counter is of the rows that the plan gave; a plan of no partition gives none.
-    wanted = seen.get["rows"] if found else int(not df.isEmpty())
-    if found != wanted:
-        raise WriteCheckError(f"{found} rows were written of {wanted}")
+    copy = df.sparkSession.read.schema(df.schema).parquet(path)
+    if rows is not None and copy.count() != rows:
+        raise WriteCheckError(f"{copy.count()} rows were written of {rows}")
     if day and copy.filter(F.col(day).isNull()).take(1):
         raise WriteCheckError(f"a row has no {day}")
     if keys:
@@ -64,17 +57,23 @@ def _root(spark: SparkSession, table: str, root: str | None) -> str:
 
 
 def write_table(
-    df: DataFrame, target: str, overwrite: bool = True, day: str | None = None, keys: Sequence[str] = (), root: str | None = None
+    df: DataFrame,
+    target: str,
+    overwrite: bool = True,
+    day: str | None = None,
+    keys: Sequence[str] = (),
+    root: str | None = None,
+    rows: int | None = None,
 ) -> None:
     """Replaces a named table, or a folder if `target` has a slash, by the rows of `df`; without `overwrite` it must be new.
 
     With `day` the table is partitioned by that column, and only the days that `df` has are replaced. `keys` name
-    columns that must be present and unique (within the day). If a check fails the target is as it was. A named
+    columns that must be present and unique (within the day), and `rows` says how many rows there must be. If a check fails the target is as it was. A named
     table's files go below `root`, by default the warehouse. The result may be read from the target itself.
     """
     spark = df.sparkSession
     if "/" in target:
-        copy = _checked_copy(df, new_path(spark, "aside"), day, keys)
+        copy = _checked_copy(df, new_path(spark, "aside"), day, keys, rows)
         writer = copy.write.mode("overwrite" if overwrite else "errorifexists")
         (writer.option("partitionOverwriteMode", "dynamic").partitionBy(day) if day else writer).parquet(target)
         return
@@ -82,7 +81,7 @@ def write_table(
         raise ValueError(f"{target} already exists")
     path = f"{_root(spark, target, root)}/write-{uuid.uuid4().hex}"
     ordered = df.select(*[c for c in df.columns if c != day], *([day] if day else []))
-    copy = _checked_copy(ordered, path, day, keys)
+    copy = _checked_copy(ordered, path, day, keys, rows)
     if not spark.catalog.tableExists(target):
         # The table begins as an empty folder, so a loss before the first write is in place leaves an empty table.
         begin = path if day is None else f"{_root(spark, target, root)}/days"
