@@ -114,3 +114,33 @@ def test_sources_open_on_demand(spark):
         src.unknown
     with pytest.raises(ValueError, match="missing"):
         Sources(calls=tables["calls"])
+
+
+def test_runtime_filter_before_the_shuffle_of_views_calls_and_attributes(spark, no_broadcast):
+    """With a cohort too large to broadcast, a Bloom filter of it stands below the exchange of the large side."""
+    size = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+    run = Run(spark, FOLDER, training_config())
+    rows = {
+        "views": (lambda: stage(browsing._window_views(run.src, run.cfg), "views"), "cust_id"),
+        "phones": (lambda: stage(run.src.feature_eav, "eav"), "user_id"),
+        "calls": (lambda: stage(run.src.calls.withColumn("tel_num", F.col("cust_tel_no")), "calls"), "tel_num"),
+    }
+    book = stage(communication.cohort_phones(run.cohort, run.src, run.cfg).select("tel_num"), "book")
+    for name, (make, key) in rows.items():
+        table, members = make(), book if name == "calls" else run.cohort
+        want = keep_members(table, members, key)
+        assert "might_contain" not in plan_of(want)
+        spark.conf.set(size, "0")
+        try:
+            found = keep_members(table, members, key)
+            plan = plan_of(found)
+            assert "might_contain" in plan and plan.index("Exchange hashpartitioning") < plan.index("might_contain"), name
+            assert sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
+        finally:
+            spark.conf.unset(size)
+
+
+def test_keys_of_any_kind_are_kept(spark):
+    for values, kind in (([-(2**63), 0, 2**63 - 1, None], "bigint"), (["", "a", None], "string"), ([1.5, -1.0], "double")):
+        table = spark.createDataFrame([(v,) for v in values], f"k {kind}")
+        assert sorted(r[0] for r in keep_members(table, table, "k").collect()) == sorted(v for v in values if v is not None)

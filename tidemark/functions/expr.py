@@ -38,9 +38,9 @@ def ratio(total: Column, count: Column, scale: int = 1, digits: int = 4) -> Colu
     """`scale` * total / count, rounded half up, as a double; null when the count is zero.
 
     The division is done in decimals: a quotient such as 905.22125 has no exact double, and rounding the
-    nearest one may go down. `total` is a whole number or an amount with two decimals.
+    nearest one may go down. `total` is a whole number, an amount or a duration with up to six decimals.
     """
-    exact = F.try_divide((total * scale).cast("decimal(24,2)"), count.cast("decimal(20,0)"))
+    exact = F.try_divide((total * scale).cast("decimal(30,6)"), count.cast("decimal(20,0)"))
     return F.round(exact, digits).cast("double")
 
 

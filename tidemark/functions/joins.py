@@ -26,11 +26,21 @@ def left_join_sparse_key(left: DataFrame, right: DataFrame, keys: str | Sequence
     return slotted.join(target, [*keys, "_slot"], "left").drop("_slot")
 
 
+# A comparison that every key meets. The optimizer builds its runtime Bloom filter only from a side that has one.
+_LOWEST = {"bigint": -(2**63), "int": -(2**31), "string": ""}
+
+
 def keep_members(rows: DataFrame, members: DataFrame, key: str, spread: Sequence[str] = ()) -> DataFrame:
     """Rows whose key is in `members`; the optimizer chooses the join.
 
+    Where `members` is too large to be broadcast, Spark's own runtime filter drops most other rows before the shuffle,
+    within the sizes that `spark.sql.optimizer.runtime.bloomFilter.*` allow.
     `spread` names the columns by which the rows are dealt anew. A following aggregation on these keeps to them
     and not to the join's own partitioning, so that a key with very many rows can be split in the join.
     """
-    kept = rows.join(members.select(F.col(members.columns[0]).alias(key)), key, "left_semi")
+    side = members.select(F.col(members.columns[0]).alias(key))
+    lowest = _LOWEST.get(side.schema[key].dataType.simpleString())
+    if lowest is not None:
+        side = side.filter(F.col(key) >= F.lit(lowest))
+    kept = rows.join(side, key, "left_semi")
     return kept.repartition(*[F.col(c) for c in spread]) if spread else kept
