@@ -24,11 +24,9 @@ def plain(text):
     found = []
     for part in parts:
         a = grams(part)
-        for name, wording in TEMPLATES:
-            b = grams(wording)
-            dice = round(2 * len(a & b) / (len(a) + len(b)), 6)
-            if dice >= THRESHOLD:
-                found.append((name, dice))
+        dices = [(name, round(2 * len(a & b) / (len(a) + len(b)), 6)) for name, b in ((n, grams(w)) for n, w in TEMPLATES)]
+        best = max(d for _, d in dices)
+        found += [(name, dice) for name, dice in dices if dice >= THRESHOLD and dice == best]
     return sorted(found)
 
 
@@ -99,3 +97,34 @@ def test_windows(spark, text, want):
     wordings = [" ".join(re.findall(r"[a-z0-9]+", w.lower())) for _, w in TEMPLATES]
     assert all(m["segment"] == "window" for m in row["matches"])
     assert all(" ".join(spelled[m["first_word"] : m["first_word"] + m["words"]]) in wordings for m in row["matches"] if m["dice"] == 1)
+
+
+NOTICES = {
+    "GPL-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+    "the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as "
+    "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "LGPL-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+    "published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "CC-BY-NC-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "MIT": "# SPDX-License-Identifier: MIT",
+    "GPL-3.0": "SPDX-License-Identifier: GPL-3.0-or-later",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, "
+    "or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
+    "are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. "
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+    "and/or other materials provided with the distribution.",
+}
+
+
+@pytest.mark.parametrize("frame", ["{}", "some words before it {} and some words after it", "A header\n\n{}\n\ndef function():\n    return 1"])
+def test_related_licenses_are_told_apart(spark, frame):
+    """As a line, inside a line, and cut over several lines."""
+    rows = [(i, frame.format(t)) for i, t in enumerate(NOTICES.values())]
+    rows += [(100 + i, frame.format(t.replace(", ", ",\n"))) for i, t in enumerate(NOTICES.values())]
+    got = {i: {n for n, _ in m} for i, m in found(spark.createDataFrame(rows, "doc_id long, text string"))}
+    for i, name in enumerate(NOTICES):
+        assert got[i] == {name} and got[100 + i] == {name}, name

@@ -82,7 +82,46 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0."),
     ("all-rights-reserved", "All rights reserved."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    (
+        "GPL-2.0",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
+        "by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    (
+        "AGPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as "
+        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    (
+        "LGPL-2.1",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+        "published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ),
+    (
+        "BSD-2-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
+        "are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution.",
+    ),
+    (
+        "Unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
+        "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any "
+        "means.",
+    ),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
 )
+# The line that names a licence by its identifier, for every licence that has one.
+TEMPLATES += tuple((name, f"SPDX-License-Identifier: {name}") for name in dict.fromkeys(n for n, _ in TEMPLATES) if name != "all-rights-reserved")
 
 
 def _tokens(text: str | None) -> list[bytes]:
@@ -151,16 +190,16 @@ class Scanner:
                 yield best
 
     @staticmethod
-    def _apart(windows: list[tuple[float, int, int]]) -> Iterator[tuple[float, int, int]]:
-        """The best windows first: one that overlaps a better one is left."""
+    def _apart(windows: list[tuple[float, int, int, str]]) -> Iterator[tuple[float, int, int, str]]:
+        """The best windows first, with their licences: one that overlaps a better one is left."""
         begins: list[int] = []
         ends: list[int] = []
-        for dice, begin, count in sorted(set(windows), key=lambda w: (-w[0], w[1], -w[2])):
+        for dice, begin, count, name in sorted(set(windows), key=lambda w: (-w[0], w[1], -w[2], w[3])):
             k = bisect.bisect_left(begins, begin)
             if (k == 0 or ends[k - 1] <= begin) and (k == len(begins) or begins[k] >= begin + count):
                 begins.insert(k, begin)
                 ends.insert(k, begin + count)
-                yield dice, begin, count
+                yield dice, begin, count, name
 
     def __call__(self, texts: list[str | None]) -> list[list[tuple[str, float, str, int, int]]]:
         found: list[list[tuple[str, float, str, int, int]]] = [[] for _ in texts]
@@ -204,20 +243,26 @@ class Scanner:
             begins, ends, owner = begins[use], ends[use], owner[use]
             for s in self._candidates(pair_known, word_known, pair, begins, ends):
                 grams = bigrams(words[begins[s] : ends[s]])
+                matching = []
                 for name, template in self.templates:
                     least, most = sorted((len(grams), len(template)))
                     if 2 * least >= self.threshold * (least + most) - 1e-9:
                         dice = round(2 * len(grams & template) / (least + most), 6)
                         if dice >= self.threshold:
-                            found[owner[s]].append((name, dice, level, int(begins[s]), int(ends[s] - begins[s])))
-                            whole.setdefault(int(owner[s]), []).append((template, dice, int(begins[s]), int(ends[s] - begins[s])))
+                            matching.append((dice, name, template))
+                # Of related licences the nearest one is meant; equal ones are all reported.
+                best = max((dice for dice, _, _ in matching), default=None)
+                for dice, name, template in matching:
+                    if dice == best:
+                        found[owner[s]].append((name, dice, level, int(begins[s]), int(ends[s] - begins[s])))
+                        whole.setdefault(int(owner[s]), []).append((template, dice, int(begins[s]), int(ends[s] - begins[s])))
         first_words = np.r_[0, line_ends[lasts]]
         owner_of = np.repeat(np.arange(len(texts)), np.diff(first_words))
         covered: dict[str, np.ndarray] = {}
         for rows in found:
             for name, _, _, begin, count in rows:
                 covered.setdefault(name, np.zeros(len(words), dtype=bool))[begin : begin + count] = True
-        windows: dict[str, list[tuple[float, int, int]]] = {}
+        windows: list[tuple[float, int, int, str]] = []
         places = np.flatnonzero(pair_known)
         for (name, template), codes in zip(self.templates, self.codes_of):
             own = places[np.isin(pair[places], codes)]
@@ -227,15 +272,15 @@ class Scanner:
             # A window around a matched segment is that segment's match.
             for w in self._windows(words, own, owner_of, template):
                 if name not in covered or not covered[name][w[1] : w[1] + w[2]].any():
-                    windows.setdefault(name, []).append(w)
-        for name, of_name in windows.items():
-            for dice, begin, count in self._apart(of_name):
-                # Words that a better segment around them has from its own template are no notice of another licence.
-                grams = bigrams(words[begin : begin + count])
-                around = [t for t, d, b, c in whole.get(int(owner_of[begin]), ()) if d >= dice and b <= begin and begin + count <= b + c]
-                if any(grams <= template for template in around):
-                    continue
-                found[owner_of[begin]].append((name, dice, "window", begin, count))
+                    windows.append((*w, name))
+        for dice, begin, count, name in self._apart(windows):
+            # A window of most of a matched segment has been compared with it, and words that a better segment around
+            # them has from its own template are no notice of another licence.
+            grams = bigrams(words[begin : begin + count])
+            around = [(t, d, c) for t, d, b, c in whole.get(int(owner_of[begin]), ()) if b <= begin and begin + count <= b + c]
+            if any(2 * count > c or (d >= dice and grams <= template) for template, d, c in around):
+                continue
+            found[owner_of[begin]].append((name, dice, "window", begin, count))
         return [[(n, d, level, at - int(first_words[i]), count) for n, d, level, at, count in rows] for i, rows in enumerate(found)]
 
 
@@ -246,10 +291,11 @@ def scan(
     text_column: str = "text",
     keep: Sequence[str] | None = None,
 ) -> DataFrame:
-    """`docs` with `matches`: for each matching (segment, template) the licence, the coefficient and the words it covers.
+    """`docs` with `matches`: for each matching segment the licence of the nearest template (of equally near ones, each), the
+    coefficient and the words it covers.
 
     Segments are lines, paragraphs of several lines (parted by lines without words) and texts of several paragraphs, and
-    windows of words in what no other segment matches of a licence, the best of those that overlap, at most of the most bigrams
+    windows of words in what no other segment matches of a licence, of any licences the best of those that overlap, at most of the most bigrams
     that a match can have; templates of one word have no windows. A
     null or empty text has no match. Repeated lines and rows count each time; a column named `matches` is replaced.
     """

@@ -110,13 +110,13 @@ line as (
 ), whole as (
   select r, {_WORDS} as w from (select r, text as x from doc where r in (select r from paragraph group by r having count(*) > 1))
 ), parts as (
-  select r, {_PAIRS} as g from (
+  select r, row_number() over () as part, {_PAIRS} as g from (
     select r, w from line where len(w) > 0 union all select r, w from paragraph where n > 1 union all select r, w from whole)
 ),
 scored as (
-  select r, license, round(2.0 * len(list_intersect(g, t)) / (len(g) + len(t)), 6) as dice
+  select r, part, license, round(2.0 * len(list_intersect(g, t)) / (len(g) + len(t)), 6) as dice
   from parts join known on len(g) >= len(t) * 0.8 / 1.2 - 1 and len(t) >= len(g) * 0.8 / 1.2 - 1
-), met as (select r, license, dice from scored where dice >= 0.8)
+), met as (select r, license, dice from scored where dice >= 0.8 qualify dice = max(dice) over (partition by part))
 select doc_id, coalesce(string_agg(distinct license, ',' order by license), '') as licenses, count(license) as n_matches, max(dice) as best_dice
 from doc left join met using (r) group by r, doc_id
 """
