@@ -6,6 +6,7 @@ from decimal import Decimal
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tidemark.sources.textfile import read_text, read_text_with_rejects, reject_counts, write_text
 
@@ -71,3 +72,13 @@ def test_broken_lines_are_returned_apart(spark, tmp_path):
 def test_nested_columns_are_refused(spark, tmp_path):
     with pytest.raises(ValueError, match="xs cannot"):
         write_text(spark.createDataFrame([([1],)], "xs array<int>"), f"{tmp_path}/t")
+
+
+def test_the_plan_of_many_columns_stays_small(spark, tmp_path):
+    """A line is split and judged once, whatever the number of columns."""
+    schema = T.StructType([T.StructField(f"c{i}", T.DoubleType() if i % 2 else T.LongType()) for i in range(70)])
+    write_text(spark.range(3).select(*[(F.col("id") * i).cast(f.dataType).alias(f.name) for i, f in enumerate(schema)]), f"{tmp_path}/t")
+    table = read_text(spark, f"{tmp_path}/t", schema)
+    assert table.count() == 3 and table.agg(F.sum("c69")).first()[0] == 3 * 69
+    plan = table._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and plan.count("array_min(") == 1

@@ -6,6 +6,8 @@ without any of them is written as it is.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,26 +54,47 @@ def write_text(df: DataFrame, path: str) -> None:
     df.select(F.concat_ws(SEPARATOR, *fields).alias("value")).write.option("lineSep", "\n").text(path)
 
 
+def _reason(schema: T.StructType) -> Column:
+    """Why `fields` are not a row: their number, or the first field that is missing or not of its type; null for a row.
+
+    Fields of one type are tested by one expression over their places, so the plan stays small for any number of columns.
+    """
+
+    def failing(places: list[int], wrong: Callable[[Column], Column], kind: int) -> Column:
+        """Codes 2 * place + kind of the fields of these places that are wrong."""
+        bad = F.filter(F.array(*[F.lit(p) for p in places]), lambda p: wrong(F.get("fields", p)))
+        return F.transform(bad, lambda p: p * 2 + kind)
+
+    codes = []
+    required = [i for i, f in enumerate(schema) if not f.nullable]
+    if required:
+        codes.append(failing(required, lambda text: text == NULL, 0))
+    for kind in dict.fromkeys(f.dataType for f in schema):
+        places = [i for i, f in enumerate(schema) if f.dataType == kind]
+        if isinstance(kind, T.StringType):
+            codes.append(failing(places, lambda text: (text != NULL) & _bad_escape(text), 1))
+        else:
+            codes.append(failing(places, lambda text, kind=kind: (text != NULL) & text.try_cast(kind).isNull(), 1))
+    first = F.array_min(F.concat(*codes))
+    messages = [m for f in schema for m in (f"{f.name} is missing", f"{f.name} is not {f.dataType.simpleString()}")]
+    of_field = F.get(F.array(*[F.lit(m) for m in messages]), first)
+    number = F.concat(F.size("fields").cast("string"), F.lit(f" fields of {len(schema)}"))
+    return F.when(F.size("fields") != len(schema), number).otherwise(of_field)
+
+
 def _parsed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """(line, reason, one column for each field, named by its place): `reason` is null for a line that is whole."""
-    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("value").alias("line"))
-    fields = F.split("line", SEPARATOR)
-    split = lines.withColumn("fields", fields)
-    columns, reasons = [], [F.when(F.size("fields") != len(schema), F.concat(F.size("fields").cast("string"), F.lit(f" fields of {len(schema)}")))]
+    lines = spark.read.option("lineSep", "\n").text(path)
+    # Generated columns are not put into the expressions that use them: a line is split and judged once.
+    split = lines.select(F.col("value").alias("line"), F.explode(F.array(F.split("value", SEPARATOR))).alias("fields"))
+    judged = split.select("*", F.explode(F.array(_reason(schema))).alias("reason"))
+    columns = []
     for place, field in enumerate(schema):
         text = F.get("fields", F.lit(place))
         known = F.when(text != NULL, text)
-        if isinstance(field.dataType, T.StringType):
-            value = _unescaped(known)
-            wrong = _bad_escape(known)
-        else:
-            value = known.try_cast(field.dataType)
-            wrong = known.isNotNull() & value.isNull()
+        value = _unescaped(known) if isinstance(field.dataType, T.StringType) else known.try_cast(field.dataType)
         columns.append(value.alias(f"_{place}"))
-        reasons.append(F.when(wrong, f"{field.name} is not {field.dataType.simpleString()}"))
-        if not field.nullable:
-            reasons.append(F.when(text == NULL, f"{field.name} is missing"))
-    return split.select("line", F.coalesce(*reasons).alias("reason"), *columns)
+    return judged.select("line", "reason", *columns)
 
 
 def read_text_with_rejects(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
