@@ -51,9 +51,9 @@ def test_a_lost_or_bad_write_leaves_the_old_rows(spark, tmp_path, name, kind):
     good = days(spark, (3, "x", 1), (4, "y", 2))
     bad = [
         ("executor lost", broken(good)),
-        ("repeated", good.unionByName(good)),
-        ("missing", good.withColumn("k", F.when(F.col("k") == 3, F.col("k")))),
-        ("no day", good.withColumn("day", F.when(F.col("k") == 3, F.col("day")))),
+        ("k of a row is repeated", good.unionByName(good)),
+        ("k of a row is missing", good.withColumn("k", F.when(F.col("k") == 3, F.col("k")))),
+        ("day of a row is missing", good.withColumn("day", F.when(F.col("k") == 3, F.col("day")))),
     ]
     for reason, df in bad:
         with pytest.raises(Exception, match=reason):

@@ -31,16 +31,20 @@ def _checked_copy(df: DataFrame, path: str, day: str | None, keys: Sequence[str]
     writer = df.write.mode("errorifexists")
     (writer.partitionBy(day) if day else writer).parquet(path)
     copy = df.sparkSession.read.schema(df.schema).parquet(path)
-    if rows is not None and copy.count() != rows:
-        raise WriteCheckError(f"{copy.count()} rows were written of {rows}")
-    if day and copy.filter(F.col(day).isNull()).take(1):
-        raise WriteCheckError(f"a row has no {day}")
-    if keys:
-        names = [*([day] if day else []), *keys]
-        missing = copy.filter(" or ".join(f"`{k}` is null" for k in keys)).take(1)
-        repeated = copy.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").take(1)
-        if missing or repeated:
-            raise WriteCheckError(f"{', '.join(keys)} of a row is {'missing' if missing else 'repeated'}")
+    names = [*([day] if day else []), *keys]
+    if not names and rows is None:
+        return copy
+    # One pass for all checks.
+    groups = copy.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
+    missing = [F.sum(F.when(F.col(f"`{n}`").isNull(), F.col("_n")).otherwise(0)) for n in names]
+    found, most, *missing = groups.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.max("_n"), *missing).first()
+    if rows is not None and found != rows:
+        raise WriteCheckError(f"{found} rows were written of {rows}")
+    lacking = [name for name, n in zip(names, missing) if n]
+    if lacking:
+        raise WriteCheckError(f"{', '.join(lacking)} of a row is missing")
+    if keys and (most or 0) > 1:
+        raise WriteCheckError(f"{', '.join(keys)} of a row is repeated")
     return copy
 
 
