@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 from tidemark.config import training_config
 from tidemark.functions.joins import keep_members, left_join_sparse_key
-from tidemark.functions.staging import new_path, shared_folder, stage
+from tidemark.functions.staging import new_path, shared_folder, stage, stage_by, stage_together
 from tidemark.operators import browsing, communication, orders, profile
+from tidemark.plans.feature_table import feature_table
 from tidemark.plans.registry import Run
 from tidemark.sources.model import Sources
 
@@ -144,3 +145,29 @@ def test_keys_of_any_kind_are_kept(spark):
     for values, kind in (([-(2**63), 0, 2**63 - 1, None], "bigint"), (["", "a", None], "string"), ([1.5, -1.0], "double")):
         table = spark.createDataFrame([(v,) for v in values], f"k {kind}")
         assert sorted(r[0] for r in keep_members(table, table, "k").collect()) == sorted(v for v in values if v is not None)
+
+
+def test_sides_of_the_feature_table_meet_without_an_exchange(spark, no_broadcast):
+    run = Run(spark, FOLDER, training_config())
+    before = spark.catalog.listTables()
+    table = feature_table(run.src, run.cfg)
+    plan = plan_of(table)
+    assert plan.count("SortMergeJoin [cust_id]") == 3 and plan.count("Bucketed: true") == 4
+    assert "Exchange" not in plan
+    assert table.count() == run.cohort.count() and spark.catalog.listTables() == before
+
+
+def test_staged_by_key(spark, no_broadcast):
+    """Repeated, missing and hot keys stay whole; a table without rows is a table; a lost write leaves no name."""
+    rows = spark.createDataFrame([(1, "a"), (1, "a"), (1, None), (None, "b"), (7, "c")], "k long, v string")
+    for table in (rows, rows.filter("false"), rows.select("v", "k")):
+        copy = stage_by("k", 3)(table, "rows")
+        assert copy.schema == table.schema and sorted(map(str, copy.collect())) == sorted(map(str, table.collect()))
+    left, right = stage_together(spark, stage_by("k"), left=rows, right=lambda: spark.range(9).withColumnRenamed("id", "k"))
+    joined = left.join(right, "k").groupBy("k").count()
+    assert "Exchange" not in plan_of(joined)
+    assert sorted(tuple(r) for r in joined.collect()) == [(1, 3), (7, 1)]
+    names = spark.catalog.listTables()
+    with pytest.raises(Exception, match="executor lost"):
+        stage_by("k")(rows.withColumn("v", F.raise_error(F.lit("executor lost")).cast("string")), "broken")
+    assert spark.catalog.listTables() == names

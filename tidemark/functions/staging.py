@@ -44,8 +44,36 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def stage_together(keep: Stage, **tables: DataFrame) -> list[DataFrame]:
-    """Stage independent tables at the same time, so that one job's tail does not idle the cluster."""
+def stage_by(key: str, buckets: int | None = None) -> Stage:
+    """A way to stage that deals the rows into buckets of `key`, as many as shuffle partitions if not told otherwise.
+
+    Tables dealt alike join, and are grouped, by that key without an exchange. It is for tables of about one row for each
+    key: all rows of a key are in one bucket. The catalog names the table only until it is opened; its files are external
+    and stay, in the folder of the other staged tables.
+    """
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        spark = df.sparkSession
+        number = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        table = f"{name}_{uuid.uuid4().hex}"
+        dealt = df.repartition(number, key).write.format("parquet").bucketBy(number, key)
+        dealt.option("path", new_path(spark, name)).saveAsTable(table)
+        copy = spark.read.table(table)
+        spark.sql(f"drop table {table}")
+        return copy
+
+    return keep
+
+
+def stage_together(spark: SparkSession, keep: Stage, **tables: DataFrame | Callable[[], DataFrame]) -> list[DataFrame]:
+    """Stage independent tables at the same time, so that one job's tail does not idle the cluster.
+
+    A table may be a function that makes it, where making it stages tables of its own.
+    """
+
+    def one(table: DataFrame | Callable[[], DataFrame], name: str) -> DataFrame:
+        return keep(table() if callable(table) else table, name)
+
     with ThreadPoolExecutor(len(tables)) as pool:
-        started = [pool.submit(inheritable_thread_target(df.sparkSession)(keep), df, name) for name, df in tables.items()]
+        started = [pool.submit(inheritable_thread_target(spark)(one), table, name) for name, table in tables.items()]
         return [job.result() for job in started]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.config import FeatureConfig
-from tidemark.functions.staging import Stage, stage, stage_together
+from tidemark.functions.staging import Stage, stage, stage_by, stage_together
 from tidemark.operators import behavior, browsing, communication, orders, profile
 from tidemark.operators.cohort import cohort as build_cohort
 from tidemark.schema import COLUMNS, FEATURE_SCHEMA
@@ -34,6 +34,7 @@ def history_table(cohort: DataFrame, src: Sources, cfg: FeatureConfig) -> DataFr
 def behavior_table(cohort: DataFrame, src: Sources, cfg: FeatureConfig, keep: Stage = stage) -> DataFrame:
     """Both fact tables are read by two steps each, so they are staged."""
     views, contacts = stage_together(
+        cohort.sparkSession,
         keep,
         product_days=browsing.product_day_views(cohort, src, cfg),
         contact_days=communication.communication_days(cohort, src, cfg),
@@ -47,14 +48,29 @@ def behavior_table(cohort: DataFrame, src: Sources, cfg: FeatureConfig, keep: St
     )
 
 
+def _assembled(labels: DataFrame, *sides: DataFrame) -> DataFrame:
+    for side in sides:
+        labels = labels.join(side, "cust_id", "left")
+    return labels
+
+
 def feature_table(src: Sources, cfg: FeatureConfig, keep: Stage = stage, cohort: DataFrame | None = None) -> DataFrame:
-    """One row per cohort customer, columns and types as in `FEATURE_SCHEMA`. `cohort` may be one that is staged already."""
-    cohort = staged_cohort(src, cfg, keep) if cohort is None else cohort
-    joined = (
-        label_table(cohort, src, cfg)
-        .join(profile.customer_profile(cohort, src, cfg).drop("create_date"), "cust_id", "left")
-        .join(history_table(cohort, src, cfg), "cust_id", "left")
-        .join(behavior_table(cohort, src, cfg, keep), "cust_id", "left")
+    """One row per cohort customer, columns and types as in `FEATURE_SCHEMA`. `cohort` may be one that is staged already.
+
+    The cohort and the four sides, one row per customer each, are staged in buckets of the customer: the sides are made
+    at the same time, and meet without an exchange.
+    """
+    by_customer = stage_by("cust_id")
+    cohort = staged_cohort(src, cfg, by_customer) if cohort is None else cohort
+    joined = _assembled(
+        *stage_together(
+            cohort.sparkSession,
+            by_customer,
+            labels=lambda: label_table(cohort, src, cfg),
+            profile=lambda: profile.customer_profile(cohort, src, cfg).drop("create_date"),
+            history=lambda: history_table(cohort, src, cfg),
+            behavior=lambda: behavior_table(cohort, src, cfg, keep),
+        )
     )
     return joined.select(
         *[
@@ -69,7 +85,7 @@ def write_feature_table(src: Sources, cfg: FeatureConfig, table: str, keep: Stag
 
     That there is one row for each customer of the cohort is checked before. A day without customers is not written.
     """
-    cohort = staged_cohort(src, cfg, keep)
+    cohort = staged_cohort(src, cfg, stage_by("cust_id"))
     rows = feature_table(src, cfg, keep, cohort).withColumn(RUN_DAY, F.lit(cfg.activity_end))
     write_table(rows, table, day=RUN_DAY, keys=["cust_id"], rows=cohort.count())
 
