@@ -19,10 +19,10 @@ def contains_any(text: Column, words: Iterable[str]) -> Column:
     return reduce(lambda left, right: left | right, [F.contains(text, F.lit(word)) for word in words])
 
 
-def search_intent(key: Column, single_words: Iterable[str]) -> Column:
-    """0 for a single-resource search, null for no search, 1 for anything else."""
+def search_intent(key: Column, single: Column) -> Column:
+    """0 for a search of which `single` says that it is for a single resource, null for no search, 1 for anything else."""
     return (
-        F.when(contains_any(key, single_words), F.lit(0))
+        F.when(single, F.lit(0))
         .when(key.isNull() | (F.lower(key) == "null"), F.lit(None).cast("int"))
         .otherwise(F.lit(1))
     )

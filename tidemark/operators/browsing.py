@@ -16,6 +16,7 @@ from tidemark.config import FeatureConfig
 from tidemark.functions.expr import or_zero, recency_flag, search_intent
 from tidemark.functions.joins import keep_members, left_join_sparse_key
 from tidemark.functions.staging import Stage, stage
+from tidemark.functions.words import mentions
 from tidemark.operators.orders import CLASS, class_weights, product_classes
 from tidemark.sources.model import Sources
 
@@ -38,7 +39,8 @@ def _distinct_views(cohort: DataFrame, src: Sources, cfg: FeatureConfig) -> Data
     """
     spread = ["cust_id", "operate_date", *VIEW]
     views = keep_members(_window_views(src, cfg), cohort, "cust_id", spread).distinct()
-    return views.withColumn("search_key_type", search_intent(F.col("search_key"), cfg.words.single_search_words))
+    (single,) = mentions(F.col("search_key"), [cfg.words.single_search_words])
+    return views.withColumn("search_key_type", search_intent(F.col("search_key"), single))
 
 
 def traffic_union(cohort: DataFrame, src: Sources, cfg: FeatureConfig) -> DataFrame:

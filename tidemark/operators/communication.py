@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import FeatureConfig
-from tidemark.functions.expr import contains_any, phone_tail, recency_flag, sum_if
+from tidemark.functions.expr import phone_tail, recency_flag, sum_if
 from tidemark.functions.joins import keep_members, left_join_sparse_key
+from tidemark.functions.words import mentions
 from tidemark.operators.cohort import phones
 from tidemark.operators.orders import PLACE, class_weights, product_classes
 from tidemark.sources.model import Sources
@@ -100,12 +101,13 @@ def keyword_daily(
 ) -> DataFrame:
     """Messages per customer and day: all, customer-sent, and those that mention each word list."""
     window = F.col(day).between(cfg.behavior_start, cfg.behavior_end)
+    vacation, single = mentions(F.col(text), [cfg.words.vacation_words, cfg.words.single_words])
     flagged = chats.filter(window).select(
         "cust_id",
         F.col(day).alias("comm_date"),
         active.alias("active"),
-        contains_any(F.col(text), cfg.words.vacation_words).alias("vacation"),
-        contains_any(F.col(text), cfg.words.single_words).alias("single"),
+        vacation.alias("vacation"),
+        single.alias("single"),
     )
     return flagged.groupBy("cust_id", "comm_date").agg(
         F.lit(None).cast("bigint").alias("comm_duration"),

@@ -13,6 +13,7 @@ from tidemark.config import FeatureConfig, scoring_config, training_config
 from tidemark.functions.expr import or_zero, search_intent
 from tidemark.functions.joins import keep_members
 from tidemark.functions.staging import new_path
+from tidemark.functions.words import mentions
 from tidemark.operators import activity, behavior, browsing, cohort, communication, orders, profile
 from tidemark.plans import feature_table as features
 from tidemark.schema import FEATURE_SCHEMA
@@ -121,7 +122,8 @@ def reachable_channels(run: Run) -> DataFrame:
 
 
 def searches(run: Run) -> DataFrame:
-    intent = search_intent(F.col("search_key"), run.cfg.words.single_search_words)
+    (single,) = mentions(F.col("search_key"), [run.cfg.words.single_search_words])
+    intent = search_intent(F.col("search_key"), single)
     views = run.whole.app_traffic.unionByName(run.whole.web_traffic)
     return views.select("visitor_trace", "search_key", intent.alias("search_key_type"))
 
