@@ -7,7 +7,7 @@ from dataclasses import replace
 from tidemark.config import scoring_config, training_config
 from tidemark.operators.behavior import BROWSING, COMMUNICATION
 from tidemark.operators.communication import MEASURES
-from tidemark.plans.check_sql import compose, typed
+from tidemark.plans.check_sql import SECOND_PHONES, compose, typed
 from tidemark.schema import COLUMNS
 
 _DAILY = ", ".join(f"cast({m} as bigint) as {m}" for m in MEASURES)
@@ -99,4 +99,6 @@ def feature_sql() -> dict[str, str]:
     training, scoring = training_config(), scoring_config()
     long = replace(training, lookback_days=30, decision_cap=31)
     sql = {name: compose(text, long if name == "decision_time_long" else training) for name, text in _TRAINING.items()}
+    for name in ("last_activity_cohort", "customer_profile", "call_daily"):
+        sql[f"{name}_second_phones"] = compose(_TRAINING[name], training, SECOND_PHONES)
     return sql | {name: compose(text, scoring) for name, text in _SCORING.items()}

@@ -32,10 +32,11 @@ class Run:
     spark: SparkSession
     folder: str
     cfg: FeatureConfig
+    second_phones: bool = False
 
     @cached_property
     def src(self) -> Sources:
-        return standin_sources(self.spark, self.folder, self.cfg)
+        return standin_sources(self.spark, self.folder, self.cfg, self.second_phones)
 
     @cached_property
     def whole(self) -> Sources:
@@ -141,6 +142,15 @@ def call_daily(run: Run) -> DataFrame:
     return communication.call_daily(run.src.calls, book, run.src.history_orders, run.classes, run.cfg)
 
 
+def with_second_phones(run: Run) -> Run:
+    """The same run on tables in which a customer may have two phones and a phone two customers; every value counts."""
+    return replace(run, cfg=replace(run.cfg, every_attribute_value=True), second_phones=True)
+
+
+def profile_every_value(run: Run) -> DataFrame:
+    return profile.customer_profile(run.cohort, run.src, run.cfg)
+
+
 def of_cohort(run: Run, daily: DataFrame) -> DataFrame:
     return daily.join(run.cohort, "cust_id", "left_semi")
 
@@ -200,6 +210,9 @@ FEATURE_QUERIES: dict[str, Query] = {
     "geo_lookup": _training(lambda run: profile.geography(run.src.city_eav, run.src.city_key, run.cfg.words)),
     "reachable_channels": _training(reachable_channels),
     "customer_profile": _training(lambda run: profile.customer_profile(run.cohort, run.src, run.cfg)),
+    "last_activity_cohort_second_phones": _training(lambda run: with_second_phones(run).cohort),
+    "customer_profile_second_phones": _training(lambda run: profile_every_value(with_second_phones(run))),
+    "call_daily_second_phones": _training(lambda run: call_daily(with_second_phones(run))),
     "search_intent": _training(searches),
     "traffic_union": _training(lambda run: run.page_views()),
     "latest_product_rating": _training(latest_product_rating),

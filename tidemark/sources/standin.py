@@ -177,13 +177,16 @@ def _cust_attribute(customer: DataFrame) -> DataFrame:
     )
 
 
-def _feature_eav(customer: DataFrame) -> DataFrame:
-    """Personal attributes of a customer in one pass, as an exploded array of entries."""
+def _feature_eav(customer: DataFrame, second_phones: bool = False) -> DataFrame:
+    """Personal attributes of a customer in one pass, as an exploded array of entries.
+
+    With `second_phones` every sixth customer also has the phone of the next one, so phones are repeated and shared.
+    """
     key = F.col("c_custkey")
     band = (
         F.when(key % 60 < 8, "16-25").when(key % 60 < 18, "26-35").when(key % 60 < 28, "36-45").otherwise("46+")
     )
-    phone = F.concat(F.lit("139"), F.lpad(key.cast("string"), 8, "0"))
+    phone, next_phone = (F.concat(F.lit("139"), F.lpad(owner.cast("string"), 8, "0")) for owner in (key, key + 1))
 
     def entry(when: Column, attribute: str, name: Column, value: Column) -> Column:
         fields = F.struct(
@@ -196,6 +199,7 @@ def _feature_eav(customer: DataFrame) -> DataFrame:
         entry(key % 9 != 4, "AGE", F.lit("age"), (key % 60 + 18).cast("string")),
         entry(key % 9 != 4, "AGE_GROUP", band, F.lit("g")),
         entry(key.isNotNull(), "PHONE", F.lit("phone"), phone),
+        entry((key % 6 == 1) & F.lit(second_phones), "PHONE", F.lit("phone"), next_phone),
     )
     rows = customer.select(key.alias("user_id"), F.explode(F.array_compact(entries)).alias("e"))
     return rows.select("user_id", "e.three_class_name", "e.feature_name", "e.feature_value")
@@ -225,7 +229,7 @@ def _access_channel(customer: DataFrame) -> DataFrame:
     )
 
 
-def standin_sources(spark: SparkSession, folder: str, cfg: FeatureConfig | None = None) -> Sources:
+def standin_sources(spark: SparkSession, folder: str, cfg: FeatureConfig | None = None, second_phones: bool = False) -> Sources:
     """All sources of a folder; with a config, the event channels are read for its windows only."""
     days = cfg and (min(cfg.activity_start, cfg.behavior_start), max(cfg.activity_end, cfg.behavior_end))
 
@@ -254,7 +258,7 @@ def standin_sources(spark: SparkSession, folder: str, cfg: FeatureConfig | None
         label_orders=order_detail,
         history_orders=order_detail,
         cust_attribute=lambda: _cust_attribute(table("customer")),
-        feature_eav=lambda: _feature_eav(table("customer")),
+        feature_eav=lambda: _feature_eav(table("customer"), second_phones),
         city_eav=lambda: _city_eav(table("customer"), table("nation")),
         city_key=lambda: _city_key(table("nation"), table("region")),
         access_channel=lambda: _access_channel(table("customer")),
