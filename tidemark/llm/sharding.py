@@ -40,8 +40,10 @@ def balanced_shards(rows: DataFrame, shards: int, partitions: int | None = None)
     spark = rows.sparkSession
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["doc_id", "text_crc32", "size", "tie"]
+    # Range borders are sampled in a pass of their own: the short rows are written first, so that texts are read once.
     dealt = (
-        rows.withColumn("tie", F.monotonically_increasing_id())
+        stage(rows, "sized")
+        .withColumn("tie", F.monotonically_increasing_id())
         .repartitionByRange(partitions, *[F.col(c) for c in order])
         .withColumn("part", F.spark_partition_id())
     )
