@@ -1,3 +1,5 @@
+from itertools import groupby
+
 import numpy as np
 import pytest
 
@@ -82,3 +84,97 @@ def test_near_copies_add_few_entries():
     others = [["idiot"], ["moron"], ["idiot", "moron"]] * 5
     chosen = choose_terms(copies + others, {t: 3.0 for c in copies + others for t in c})
     assert {"idiot", "moron"} <= set(chosen) and len(chosen) <= 2 + toxicity.ENTRIES_A_TEXT
+
+
+def is_letter(c):
+    return c.isalnum() and not c.isdecimal()
+
+
+def plain_parts(text):
+    return ["".join(run) for word, run in groupby(text, str.isalnum) if word]
+
+
+def shorter(word):
+    """Runs of three and more equal letters as one letter."""
+    runs = [(c, len(list(run))) for c, run in groupby(word)]
+    return "".join(c if n > 2 and is_letter(c) else c * n for c, n in runs)
+
+
+def plain_weight(found):
+    """(weight, whole word) of the best entry that is one of the words or a beginning of one."""
+    entries = [(w, not t.endswith("*")) for t, w in LEXICON.items() for word in found if t == word or fits(t, word)]
+    return max(entries, default=(0.0, True))
+
+
+def fits(term, word):
+    stem = term[:-1]
+    return term.endswith("*") and len(stem) in toxicity.PREFIXES and len(word) > len(stem) and word.startswith(stem)
+
+
+def plain_token(token):
+    low, core = token.lower(), token.strip(toxicity._OUTSIDE)
+    as_written = set(plain_parts(low))
+    if core.isalpha():
+        undone = {shorter(core.lower())}
+    else:
+        letters = "".join(toxicity.LOOKALIKES.get(c, c) for c in low.rstrip("!?.,;:"))
+        undone = {"".join(plain_parts(low)), "".join(plain_parts(letters))}
+        undone |= {shorter(w) for w in as_written | undone}
+    (weight, whole), disguised = plain_weight(as_written), False
+    if not weight:
+        (weight, whole), disguised = plain_weight(undone), plain_weight(undone)[0] > 0
+    signs = "@$!|*_.-"
+    mixed = any(
+        is_letter(token[i]) and is_letter(token[j]) and all(c.isdecimal() or c in signs for c in token[i + 1 : j])
+        for i in range(len(token)) for j in range(i + 2, len(token))
+    )
+    alphas, capitals = sum(map(str.isalpha, token)), sum(map(str.isupper, token))
+    return {
+        "letters": alphas, "capitals": capitals, "marks": sum(not c.isalnum() for c in token), "calls": token.count("!"),
+        "person": bool(as_written & set(toxicity.SECOND_PERSON)), "weight": weight, "beginning": weight > 0 and not whole,
+        "disguised": disguised, "shouted": alphas > 1 and alphas == capitals, "mixed": mixed and not core.isalpha(),
+        "stretched": shorter(low) != low, "single": len(token) == 1 and token.isalpha(),
+    }
+
+
+def plain_measures(text):
+    words = (text or "").split()
+    facts = [plain_token(w) for w in words]
+    n, letters = max(len(words), 1), max(sum(f["letters"] for f in facts), 1)
+    weights = [f["weight"] for f in facts if f["weight"]]
+    near = sum(
+        any(facts[j]["person"] for j in range(max(0, i - 3), min(len(facts), i + 4)) if j != i) for i, f in enumerate(facts) if f["weight"]
+    )
+    spaced = ["".join(words[i] for i in run) for run in runs_of_letters(facts)]
+    weights += [w for w in (plain_weight([word.lower()])[0] for word in spaced) if w]
+
+    def share(name):
+        return sum(f[name] for f in facts) / n
+
+    return [
+        len(weights) / n, np.log1p(len(weights)), max(weights, default=0), sum(weights) / n, share("beginning"), share("disguised"), near / n,
+        share("person"), sum(f["capitals"] for f in facts) / letters, share("shouted"), sum(f["shouted"] for f in facts if f["weight"]),
+        share("calls"), share("marks"), share("mixed"), share("stretched"), len(spaced) / n, np.log1p(len(words)),
+    ]
+
+
+def runs_of_letters(facts):
+    for single, run in groupby(range(len(facts)), lambda i: facts[i]["single"]):
+        places = list(run)
+        if single and len(places) >= 4:
+            yield places
+
+
+HARD = (
+    "IDIOT!! you 1d10t, i.d.i.o.t (vequais) vequ VEQUOZ idiiiiot", "i d i o t and m o r o n s", "a b c i d i o t", "du, mor0n? ... !!! _",
+    "x" * 700, "no\u00a0break idiot\tyou\nyou", "a.b a-1-b 3.4 $$ @you you@", "Ünïcode ÇA票票票 vous", "idiot " * 3000, " ", "you idiot " * 9,
+)
+
+
+def test_features_as_a_plain_loop(spark, odd):
+    docs = read(spark, "/root/testdata/sf0.01", "documents").select("text")
+    hard = spark.createDataFrame([(t,) for t in HARD], "text string")
+    rows = features(spark, docs.unionByName(odd.filter("length(text) < 60000 or text is null").select("text")).unionByName(hard), LEXICON, keep=["text"]).collect()
+    assert len(rows) > 1000 and sum(r["features"][0] > 0 for r in rows) >= 5
+    for row in rows:
+        assert row["features"] == pytest.approx(plain_measures(row["text"]), rel=1e-5, abs=1e-9), row["text"][:200]
