@@ -113,6 +113,54 @@ def test_a_large_group_of_near_copies(spark):
     assert [r["doc_id"] for r in similar.one_of_each_group(texts).collect()] == [0]
 
 
+def test_a_link_that_does_not_hold_hides_no_other(spark):
+    """Chains of texts, one word changed at each step: neighbours are similar, others are near in the codes only."""
+    draw = random.Random(8)
+    rows = []
+    for chain in range(60):
+        words = ["".join(draw.choices("bcdfgaeiou", k=6)) for _ in range(60)]
+        ids = draw.sample(range(10 * chain, 10 * chain + 10), 7)
+        for step, i in enumerate(ids):
+            words[8 * step + 2] = f"n{chain}x{step}"
+            rows.append((i, " ".join(words)))
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    # Codes miss one pair in a hundred or so, and with it cut a chain.
+    nodes = [(i, np.array(similar.codes(t), dtype=np.uint64)) for i, t in rows]
+
+    def near(a, b):
+        apart = np.bitwise_count(a ^ b)
+        return apart[: similar.PROBES].min() <= similar.RADIUS and apart[similar.PROBES :].sum() <= similar.LONG_RADIUS
+
+    sets, label = {i: shingle_set(t) for i, t in rows}, {i: i for i, _ in rows}
+    for n, (i, a) in enumerate(nodes):
+        for j, b in nodes[:n]:
+            if i // 10 == j // 10 and label[i] != label[j] and near(a, b) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                one, other = sorted((label[i], label[j]))
+                label = {k: one if g == other else g for k, g in label.items()}
+    assert len(set(label.values())) < 90
+    assert sorted(r["doc_id"] for r in similar.one_of_each_group(texts).collect()) == sorted(set(label.values()))
+
+
+def test_blocks_of_a_large_component(spark):
+    """Groups of near copies that no pair joins but one, in blocks of two texts."""
+    draw = random.Random(9)
+    words = ["".join(draw.choices("bcdfgaeiou", k=6)) for _ in range(60)]
+    texts = [" ".join([*words[:k], f"n{k}", *words[k + 1 :]]) for k in range(5, 55, 4)]
+    sets = [similar.shingles(similar.word_hashes(t), 5).view(np.int64).tolist() for t in [" ".join(words), *texts]]
+    codes = [np.array(similar.codes(t), dtype=np.uint64).view(np.int64).tolist() for t in [" ".join(words), *texts]]
+    n = len(sets)
+    # The only candidates: a path that leaves the first text, to which all are similar, to its end.
+    candidates = spark.createDataFrame([(i + 1, i) for i in range(1, n - 1)] + [(n - 1, 0)], "u long, v long")
+    nodes = spark.createDataFrame(list(enumerate(codes)), "node long, codes array<long>")
+    shingles = spark.createDataFrame(list(enumerate(sets)), "node long, shingles array<long>")
+    near = [i for i in range(1, n) if min(bin((a ^ b) % 2**64).count("1") for a, b in zip(codes[0][:3], codes[i][:3])) <= similar.RADIUS]
+    for block in (2, 256):
+        stars = similar.components(similar.similar_links(candidates, shingles))
+        links = similar.missed_links(candidates, stars, nodes, shingles, candidates, block=block)
+        joined = similar.components(links.unionByName(stars.selectExpr("node as u", "component as v")))
+        assert {r["node"] for r in joined.collect() if r["component"] == 0} >= {0, *near} and len(near) > 8
+
+
 def test_shards_that_are_cut_lose_no_pair(spark):
     draw = random.Random(7)
     base = [draw.choices([f"w{i}" for i in range(400)], k=80) for _ in range(60)]

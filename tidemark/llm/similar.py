@@ -6,7 +6,9 @@ its five-word shingles. Pairs within `RADIUS` bits in any of the probe codes mee
 bands of bits, and each shard's BK-tree is searched, as for `simhash`. Of the pairs found, those near in the long code,
 which leaves nearly no chance pairs, make a forest: one link joins two parts that no link joined before, so a
 large group of near copies gives as many links as texts and not all its pairs. The links are checked by the shingles
-themselves; components of those that hold are the groups.
+themselves; components of those that hold are the groups. Where a link does not hold, another pair that it kept out of
+the forest may: texts of such a component meet once more in pairs of blocks, in which all near pairs of different
+groups are checked.
 
 Shards end at `SHARD_CODES` codes: larger ones are cut by further bands, up to `simhash.LEVELS` times.
 """
@@ -35,6 +37,8 @@ LONG_CODES = 4
 # Bits of the long code in which two texts of the least similarity differ on average are 39; the spread is 6.
 LONG_RADIUS = 56
 SHARD_CODES = 2048
+# A task that checks a component with a failed link holds the shingles of two blocks of about so many texts.
+BLOCK_TEXTS = 256
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -172,18 +176,120 @@ def candidate_links(texts: DataFrame, shard_size: int = SHARD_CODES, levels: int
     return links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def similar_links(docs: DataFrame, texts: DataFrame, candidates: DataFrame, text_column: str, similarity: float = SIMILARITY) -> DataFrame:
-    """The links (u, v) of `candidates` whose texts have the similarity, of `texts` (node, key) with the rows' md5 as key."""
+def shingle_sets(docs: DataFrame, texts: DataFrame, candidates: DataFrame, text_column: str) -> DataFrame:
+    """(node, shingles) of the nodes of `candidates`, of `texts` (node, key) with the md5 of the texts of `docs` as key."""
     needed = candidates.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(texts, "node").select("node", "key")
     wanted = docs.select(F.md5(F.col(text_column).cast("binary")).alias("key"), F.col(text_column).alias("text")).join(needed, "key")
     one_each = wanted.groupBy("node").agg(F.first("text").alias("text"))
-    sets = stage(with_arrays(one_each, "text", _shingle_arrays, "shingles array<bigint>", ["node"]), "shingles")
+    return with_arrays(one_each, "text", _shingle_arrays, "shingles array<bigint>", ["node"])
+
+
+def similar_links(candidates: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The links (u, v) of `candidates` whose shingles, of `sets` (node, shingles), have the similarity."""
     both = candidates.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
     both = both.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
     common = F.size(F.array_intersect("a", "b"))
     return both.filter(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v")
 
 
+def block_links(
+    part: np.ndarray, code: np.ndarray, shingles: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity: float
+) -> list[tuple[int, int]]:
+    """Positions of similar pairs that join the parts of all near pairs of a `left` and a `right` position."""
+    label = {p: p for p in part.tolist()}
+
+    def root(p: int) -> int:
+        while label[p] != p:
+            label[p] = label[label[p]]
+            p = label[p]
+        return p
+
+    sizes = np.array([len(s) for s in shingles], dtype=np.int64)
+    seen, flat = np.unique(np.concatenate(shingles), return_inverse=True)
+    flat = np.split(flat, np.cumsum(sizes)[:-1])
+    place, owner = np.concatenate([flat[j] for j in right]), np.repeat(np.arange(len(right)), sizes[right])
+    found = []
+    for i in left.tolist():
+        apart = np.bitwise_count(code[right] ^ code[i])
+        near = (apart[:, :PROBES].min(axis=1) <= RADIUS) & (apart[:, PROBES:].sum(axis=1) <= LONG_RADIUS) & (part[right] != part[i])
+        if not near.any():
+            continue
+        mine = np.zeros(len(seen), dtype=bool)
+        mine[flat[i]] = True
+        common = np.bincount(owner[mine[place]], minlength=len(right))
+        for j in right[near & (common >= similarity * (sizes[i] + sizes[right] - common))].tolist():
+            one, other = root(int(part[i])), root(int(part[j]))
+            if one != other:
+                label[one] = other
+                found.append((i, j))
+    return found
+
+
+def _block_task(similarity: float) -> Callable:
+    """Maps the rows of a pair of blocks (node, part, codes, shingles, is_second) to links."""
+
+    def work(rows: pa.Table) -> pa.Table:
+        node, part = (rows[c].to_numpy() for c in ("node", "part"))
+        code = rows["codes"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(node), -1).view(np.uint64)
+        lists = rows["shingles"].combine_chunks()
+        shingles = np.split(lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))[:-1])
+        second = rows["is_second"].to_numpy()
+        # A block that meets itself has no second rows.
+        left, right = (np.flatnonzero(~second), np.flatnonzero(second)) if second.any() else (np.arange(len(node)),) * 2
+        links = block_links(part, code, shingles, left, right, similarity) if len(left) and len(right) else []
+        return pa.table({"u": pa.array([node[i] for i, _ in links], pa.int64()), "v": pa.array([node[j] for _, j in links], pa.int64())})
+
+    return work
+
+
+def missed_links(
+    candidates: DataFrame, stars: DataFrame, texts: DataFrame, sets: DataFrame, failed: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK_TEXTS
+) -> DataFrame:
+    """Similar pairs (u, v) that join what a `failed` link of `candidates` kept apart; `stars` are the components of the others.
+
+    Components of `candidates` hold all near pairs. In one with a failed link, the texts of its largest part are dealt to
+    blocks, and all others too. Blocks of others meet each other and those of the largest part, whose own texts are joined already.
+    """
+    whole = stage(components(candidates), "near")
+    torn = whole.join(failed.select(F.col("u").alias("node")).distinct(), "node").select("component").distinct()
+    parts = whole.join(torn, "component", "left_semi").join(stars.select("node", F.col("component").alias("part")), "node", "left")
+    parts = stage(parts.select("component", "node", F.coalesce("part", "node").alias("part")), "parts")
+    sizes = parts.groupBy("component", "part").agg(F.count(F.lit(1)).alias("size"))
+    sizes = sizes.groupBy("component").agg(F.max(F.struct("size", "part")).alias("most"), F.sum("size").alias("size")).filter("size > most.size")
+    blocks = [F.ceil(n / F.lit(block)).cast("int").alias(name) for n, name in ((F.col("size") - F.col("most.size"), "others"), (F.col("most.size"), "mains"))]
+    sizes = sizes.select("component", F.col("most.part").alias("main"), *blocks)
+    hashed, in_main = F.xxhash64("node"), F.col("part") == F.col("main")
+    own = F.when(in_main, F.col("others") + F.pmod(hashed, "mains")).otherwise(F.pmod(hashed, "others")).cast("int")
+    last = F.when(in_main, F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1
+    dealt = parts.join(sizes, "component").select("component", "node", "part", own.alias("own"), last.alias("last"))
+    dealt = dealt.join(texts.select("node", "codes"), "node").join(sets, "node").withColumn("other", F.explode(F.sequence(F.lit(0), "last")))
+    met = dealt.select(
+        "component",
+        F.least("own", "other").alias("first"),
+        F.greatest("own", "other").alias("second"),
+        "node",
+        "part",
+        "codes",
+        "shingles",
+        (F.col("own") > F.col("other")).alias("is_second"),
+    )
+    return met.groupBy("component", "first", "second").applyInArrow(_block_task(similarity), "u bigint, v bigint")
+
+
+def groups_of(candidates: DataFrame, texts: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, component) of the texts that similar pairs join, if all near pairs are joined by `candidates`."""
+    links = stage(similar_links(candidates, sets, similarity), "similar")
+    stars = stage(components(links), "components")
+    failed = stage(candidates.join(links, ["u", "v"], "left_anti"), "failed")
+    if failed.isEmpty():
+        return stars
+    missed = stage(missed_links(candidates, stars, texts, sets, failed, similarity), "missed")
+    if missed.isEmpty():
+        return stars
+    joined = stars.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    return stage(components(joined.unionByName(missed)), "components")
+
+
 def one_of_each_group(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """`docs` without near duplicates: of each group the row with the smallest id stays, null ids last.
 
@@ -202,8 +308,8 @@ def one_of_each_group(docs: DataFrame, id_column: str = "doc_id", text_column: s
     heads = stage(same.groupBy("codes").agg(F.min("node").alias("node")), "heads")
     equal = same.join(heads.select("codes", F.col("node").alias("v")), "codes").filter("node != v").select(F.col("node").alias("u"), "v")
     candidates = stage(candidate_links(heads).unionByName(equal), "candidates")
-    links = similar_links(docs, texts.select("node", "key"), candidates, text_column)
-    stars = stage(components(links), "components")
+    sets = stage(shingle_sets(docs, texts.select("node", "key"), candidates, text_column), "shingles")
+    stars = groups_of(candidates, texts, sets)
     group = texts.join(stars, "node", "left").groupBy(F.coalesce("component", "node").alias("group")).agg(F.min("first").alias("first"))
     kept = stage(group.select(F.col("first.id").alias("id"), F.col("first.key").alias("key")), "kept")
     # Carried columns travel in a struct, so their names cannot clash.
