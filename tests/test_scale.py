@@ -27,6 +27,20 @@ def no_broadcast(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
+def test_sides_that_grow_are_not_broadcast(spark):
+    """However small its files: rows of a broadcast side pass through the driver."""
+    run = Run(spark, FOLDER, training_config())
+    kept = orders.effective_orders(run.src.label_orders, None, run.cfg.distribution_flags)
+    made = [
+        keep_members(run.src.access_channel, run.cohort, "user_id"),
+        left_join_sparse_key(kept, run.src.prd_route, "route_id"),
+        browsing.coupon_match(run.page_views(), run.coupons),
+        orders.effective_orders(run.src.label_orders, None, run.cfg.distribution_flags).join(run.cohort, "cust_id"),
+    ]
+    for df in made:
+        assert "SortMergeJoin" in plan_of(df) and "BroadcastHashJoin" not in plan_of(df)
+
+
 def test_missing_keys_are_spread(spark, no_broadcast):
     left = spark.range(3000).select("id", F.when(F.col("id") % 3 != 0, F.col("id") % 50).alias("k"))
     right = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))

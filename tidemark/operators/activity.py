@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import FeatureConfig
 from tidemark.functions.expr import phone_tail
+from tidemark.functions.joins import not_broadcast
 from tidemark.operators.cohort import eligible_customers, last_activity, phones
 from tidemark.sources.model import Sources
 from tidemark.sources.sink import write_table
@@ -68,7 +69,7 @@ def cohort_from_store(store: DataFrame, src: Sources, cfg: FeatureConfig) -> Dat
     inside = store.filter(window)
     customers = inside.filter("cust_id is not null").select("cust_id", "create_date")
     called = inside.filter("tel_num is not null").select("tel_num", "create_date").distinct()
-    owners = called.join(phones(src.feature_eav, cfg.words.phone_name), "tel_num").select(F.col("user_id").alias("cust_id"), "create_date")
+    owners = called.join(not_broadcast(phones(src.feature_eav, cfg.words.phone_name)), "tel_num").select(F.col("user_id").alias("cust_id"), "create_date")
     return last_activity([customers, owners], eligible_customers(src.cust_attribute), cfg.id_range, cfg.anchor)
 
 

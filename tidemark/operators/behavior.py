@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.expr import or_zero, ratio, sum_if
-from tidemark.functions.joins import left_join_sparse_key
+from tidemark.functions.joins import left_join_sparse_key, not_broadcast
 from tidemark.operators.browsing import AMOUNTS
 
 
@@ -100,7 +100,7 @@ def browsing_features(product_days: DataFrame, weights: DataFrame, coupons: Data
     days = (
         inside.select("cust_id", "operate_date")
         .distinct()
-        .join(coupons.withColumn("coupon", F.lit(1)), ["cust_id", "operate_date"], "left")
+        .join(not_broadcast(coupons.withColumn("coupon", F.lit(1))), ["cust_id", "operate_date"], "left")
         .groupBy("cust_id")
         .agg(F.count(F.lit(1)).alias("days"), F.count("coupon").alias("coupon_days"))
     )
@@ -228,9 +228,9 @@ def behavior_features(
     """Every cohort customer with all behaviour measures; absent counts and shares become 0."""
     joined = (
         cohort.select("cust_id")
-        .join(decision, "cust_id", "left")
-        .join(browsing, "cust_id", "left")
-        .join(communication, "cust_id", "left")
+        .join(not_broadcast(decision), "cust_id", "left")
+        .join(not_broadcast(browsing), "cust_id", "left")
+        .join(not_broadcast(communication), "cust_id", "left")
     )
     measures = [
         F.col(name) if name in KEPT_NULL else or_zero(F.col(name)).alias(name)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import FeatureConfig, Vocabulary
 from tidemark.functions.expr import or_zero
-from tidemark.functions.joins import keep_members
+from tidemark.functions.joins import keep_members, not_broadcast
 from tidemark.sources.model import Sources
 
 ATTRIBUTES = ("cust_level", "cust_type", "cust_group_type", "is_office_weixin")
@@ -118,9 +118,9 @@ def customer_profile(cohort: DataFrame, src: Sources, cfg: FeatureConfig) -> Dat
         personal = personal_attributes(own(src.feature_eav), cfg.words)
     joined = (
         tenure(cohort, src.cust_attribute)
-        .join(by_customer(personal), "cust_id", "left")
-        .join(by_customer(geography(own(src.city_eav), src.city_key, cfg.words)), "cust_id", "left")
-        .join(by_customer(reachable_channels(own(src.access_channel))), "cust_id", "left")
+        .join(not_broadcast(by_customer(personal)), "cust_id", "left")
+        .join(not_broadcast(by_customer(geography(own(src.city_eav), src.city_key, cfg.words))), "cust_id", "left")
+        .join(not_broadcast(by_customer(reachable_channels(own(src.access_channel)))), "cust_id", "left")
     )
     return joined.select(
         "cust_id",
