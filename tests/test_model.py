@@ -2,7 +2,9 @@
 
 import pytest
 from pyspark.ml import PipelineModel
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 from tidemark.config import training_config
@@ -98,3 +100,19 @@ def test_held_out_quality_of_a_noisy_rule(spark):
     model = fit_forest(split.filter("is_test = 0"), ["a", "b"], "label", trees=20, depth=5)
     scored = score(model, split.filter("is_test = 1"), ("label",))
     assert metrics.auc_rank(scored, "label").first()["auc"] > 0.8
+
+
+def test_deep_forest_is_fitted_on_kept_nodes(spark):
+    """No level sends the trees to its tasks, and the trees are those of a fit that does."""
+    rows = spark.range(3000).select(*[(F.xxhash64("id", F.lit(i)) % 50).cast("double").alias(f"x{i}") for i in range(4)], F.pmod(F.xxhash64("id"), F.lit(2)).cast("int").alias("label"))
+    rows = stage(rows, "noise")
+    inputs = [f"x{i}" for i in range(4)]
+    kept = fit_forest(rows, inputs, "label", trees=5, depth=20).stages[-1]
+    assembled = VectorAssembler(inputCols=inputs, outputCol="features").transform(rows)
+    sent = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=5, maxDepth=20, seed=42).fit(assembled)
+    assert kept.getCacheNodeIds() and max(tree.depth for tree in kept.trees) > 10
+
+    def splits(model):
+        return [tree.toDebugString.split("\n", 1)[1] for tree in model.trees]
+
+    assert splits(kept) == splits(sent)

@@ -22,10 +22,14 @@ def fit_forest(
     seed: int = 42,
 ) -> PipelineModel:
     """Fit on a prepared table. `before` are the fitted preparation stages to put in front, so that the
-    returned model applies to raw feature rows and saves as one."""
+    returned model applies to raw feature rows and saves as one.
+
+    Each row's node in each tree is kept from level to level. Otherwise every task of a level is sent all trees and walks them
+    from the root again, which grows with the forest.
+    """
     assembler = VectorAssembler(inputCols=list(features), outputCol="features")
     forest = RandomForestClassifier(
-        labelCol=label, featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed
+        labelCol=label, featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed, cacheNodeIds=True
     ).fit(assembler.transform(train))
     return PipelineModel([*before, assembler, forest])
 
