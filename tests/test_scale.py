@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 from tidemark.config import training_config
-from tidemark.functions.joins import keep_members, left_join_sparse_key
+from tidemark.functions.joins import dealt_distinct, keep_members, left_join_sparse_key
 from tidemark.functions.staging import new_path, shared_folder, stage, stage_by, stage_together
 from tidemark.operators import browsing, communication, orders, profile
 from tidemark.plans.feature_table import feature_table
@@ -41,6 +41,25 @@ def test_sides_that_grow_are_not_broadcast(spark):
         assert "SortMergeJoin" in plan_of(df) and "BroadcastHashJoin" not in plan_of(df)
 
 
+def test_dimension_rows_are_dealt_before_they_are_gathered(spark):
+    """A scan task that gathered them would hold as many rows as its file has, and the files are small for their rows."""
+    run = Run(spark, FOLDER, training_config())
+    made = [
+        run.classes,
+        orders.class_weights(run.classes, run.cfg.words),
+        orders.product_classes(run.src.route_dim, run.cfg.words, by_city=False),
+        browsing.product_weights(run.src, run.cfg).select("product_id", "price_n"),
+    ]
+    for df in made:
+        read = [part.split("FileScan")[0] for part in plan_of(df).split("Exchange")[1:] if re.search(r"FileScan.*part\.parquet", part)]
+        assert read and not any("Aggregate" in steps for steps in read)
+
+
+def test_dealt_rows_are_distinct(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (1, None), (1, None), (None, "a"), (None, "a"), (None, None)], "k int, v string")
+    assert sorted(map(repr, dealt_distinct(rows, ["k"]).collect())) == sorted(map(repr, rows.distinct().collect()))
+
+
 def test_missing_keys_are_spread(spark, no_broadcast):
     left = spark.range(3000).select("id", F.when(F.col("id") % 3 != 0, F.col("id") % 50).alias("k"))
     right = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
