@@ -1,14 +1,15 @@
 """Hot and missing keys: results stay whole, and no plan sends such a group to one task."""
 
 import re
+from datetime import timedelta
 
 import pytest
 from pyspark.sql import functions as F
 from tidemark.config import training_config
-from tidemark.functions.joins import dealt_distinct, keep_members, left_join_sparse_key
+from tidemark.functions.joins import dealt_distinct, keep_member_groups, keep_members, left_join_sparse_key
 from tidemark.functions.staging import new_path, shared_folder, stage, stage_by, stage_together
 from tidemark.operators import browsing, communication, orders, profile
-from tidemark.plans.feature_table import feature_table
+from tidemark.plans.feature_table import feature_table, history_table, label_table, staged_orders
 from tidemark.plans.registry import Run
 from tidemark.sources.model import Sources
 
@@ -54,6 +55,69 @@ def test_dealt_rows_are_distinct(spark):
     assert sorted(map(repr, dealt_distinct(rows, ["k"]).collect())) == sorted(map(repr, rows.distinct().collect()))
 
 
+def test_chats_are_reduced_where_they_are_read(spark):
+    """Between the scan of the texts and the first exchange they become counts, however small the cohort's files are."""
+    run = Run(spark, FOLDER, training_config())
+    days = communication.channel_days(run.cohort, run.src, run.cfg)
+    for df, name in ((days[2], "conversations"), (days[3], "documents")):
+        read = [part.split("FileScan")[0] for part in plan_of(df).split("Exchange")[1:] if re.search(rf"FileScan.*{name}\.parquet", part)]
+        assert read and all("Aggregate" in steps for steps in read)
+
+
+def test_groups_of_members(spark):
+    """Repeated members do not repeat a group, and missing keys match nothing."""
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d"), (4, "e")], "k long, v string")
+    members = spark.createDataFrame([(1,), (1,), (4,), (None,), (9,)], "id long")
+    found = keep_member_groups(rows.groupBy("k").agg(F.count("v").alias("n")), members, "k")
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 2), (4, 1)] and found.columns == ["k", "n"]
+
+
+def test_order_lines_in_reach_give_the_same_rows(spark):
+    """Days at and beyond every edge of the windows, missing days, and lines that do not count."""
+    cfg = training_config()
+    run = Run(spark, FOLDER, cfg)
+    edges = [cfg.anchors[0], cfg.anchors[1], *(cfg.anchors[1] + timedelta(days=n) for n in (7, 8, 15, 16, 90, 91)), cfg.anchors[0] - timedelta(days=59)]
+    days = [None, *(day + timedelta(days=n) for day in edges for n in (-1, 0, 1))]
+    cust = [r["cust_id"] for r in run.cohort.orderBy("cust_id").limit(5).collect()]
+    rows = [
+        (cust[i % 5], i, created, 0, 1, 0, signed, 10 + i, 1 + i % 3, 0, i % 7, visited, None, int(i % 11 != 0), int(i % 13 == 0), i % 6)
+        for i, (created, signed, visited) in enumerate((a, b, c) for a in days for b in days[::3] for c in days[::7])
+    ]
+    names = (
+        "cust_id long, order_id long, create_time date, cancel_flag int, sign_flag int, cancel_sign_flag int, sign_date date, "
+        "travel_sign_amount int, route_id long, book_city int, satisfaction long, return_visit_date date, complaint_time date, "
+        "valid_flag int, is_sub int, distribution_flag int"
+    )
+    lines = spark.createDataFrame(rows, names)
+    src = run.src.with_tables(label_orders=lambda: lines, history_orders=lambda: lines)
+    horizons = (7, 15, 90)
+    staged = staged_orders(src, cfg, horizons)
+    assert staged.label_orders is staged.history_orders and 0 < staged.label_orders.count() < lines.count()
+    assert staged.label_orders.exceptAll(lines).isEmpty() and staged.service_chat is src.service_chat
+    for of in (lambda s: label_table(run.cohort, s, cfg, horizons), lambda s: history_table(run.cohort, s, cfg)):
+        want = sorted(map(str, of(src).collect()))
+        assert sorted(map(str, of(staged).collect())) == want
+    # Two snapshots are read as they are.
+    other = src.with_tables(history_orders=lambda: lines.limit(3))
+    assert staged_orders(other, cfg) is other
+
+
+def test_label_of_another_horizon(spark):
+    run = Run(spark, FOLDER, training_config())
+    made = feature_table(run.src, run.cfg, horizon=90)
+    kept = orders.effective_orders(run.src.label_orders, run.cfg.label_orders_since, run.cfg.distribution_flags)
+    want = orders.future_window_flags(run.cohort, kept, run.classes, run.cfg, (90,)).select("cust_id", F.col("executed_flag_90").cast("bigint"))
+    assert made.columns == [*feature_table(run.src, run.cfg).columns, "executed_flag_90"]
+    assert sorted(made.select("cust_id", "executed_flag_90").collect()) == sorted(want.collect())
+
+
+def test_attributes_are_exploded_in_compiled_code(spark):
+    """No entry is missing in the rows, and no function is interpreted row by row to drop it."""
+    eav = Run(spark, FOLDER, training_config()).src.feature_eav
+    assert "lambda" not in plan_of(eav)
+    assert eav.filter("three_class_name is null").isEmpty() and eav.filter("three_class_name = 'PHONE'").count() == spark.read.parquet(f"{FOLDER}/customer.parquet").count()
+
+
 def test_missing_keys_are_spread(spark, no_broadcast):
     left = spark.range(3000).select("id", F.when(F.col("id") % 3 != 0, F.col("id") % 50).alias("k"))
     right = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))

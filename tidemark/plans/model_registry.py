@@ -14,9 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.config import FeatureConfig, scoring_config, training_config
-from tidemark.functions.joins import not_broadcast
 from tidemark.functions.staging import new_path, stage
-from tidemark.operators import metrics, orders
+from tidemark.operators import metrics
 from tidemark.operators.model import feature_importances, score
 from tidemark.operators.prep import PrepModel, encode_ordinals, fit_prep, hash_split, label_distribution
 from tidemark.operators.resample import smote, undersample
@@ -51,11 +50,7 @@ def labelled_features(spark: SparkSession, folder: str, cfg: FeatureConfig) -> D
     key = (*_state(spark, folder), cfg)
     if key not in _staged:
         run = Run(spark, folder, cfg)
-        table = stage(feature_table(run.src, cfg), "features")
-        kept = orders.effective_orders(run.src.label_orders, cfg.label_orders_since, cfg.distribution_flags)
-        found = orders.future_purchases(table.select("cust_id", "create_date"), kept, run.classes, cfg, (HORIZON,))
-        flag = F.coalesce(F.col(LABEL), F.lit(0)).cast("bigint").alias(LABEL)
-        _staged[key] = stage(table.join(not_broadcast(found), "cust_id", "left").select(*COLUMNS, flag), "labelled")
+        _staged[key] = stage(feature_table(run.src, cfg, horizon=HORIZON), "labelled")
     return _staged[key]
 
 
