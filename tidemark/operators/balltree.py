@@ -29,7 +29,7 @@ class BallTree:
     """Leaves are balls: rows `starts[i]` to `starts[i + 1]` of `x` around `centers[i]` within `radii[i]`."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
-        order, starts, todo = [], [0], [np.arange(len(x))]
+        order, starts, todo = [], [0], [np.arange(len(x))] if len(x) else []
         while todo:
             rows = todo.pop()
             if len(rows) <= LEAF_ROWS:
