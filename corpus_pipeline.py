@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.staging import stage
 from tidemark.llm import decontaminate, language, pieces, similar, toxicity
-from tidemark.llm.common import read, remainder
+from tidemark.llm.common import numbered, read, remainder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -39,8 +39,8 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     unseen = F.coalesce(remainder("doc_id", HELD_OUT) == 0, F.lit(False))
     profiles = language.learn_profiles(docs.filter(~unseen))
     border = language.learn_border(language.identify(spark, docs.filter(unseen), profiles, keep=["lang"]))
-    names = [f"_c{i}" for i in range(len(docs.columns))]
-    found = language.identify(spark, docs.toDF(*names).withColumn("text", F.col(names[docs.columns.index("text")])), profiles, keep=names)
+    shown, names, text = numbered(docs, docs.columns, "text")
+    found = language.identify(spark, shown, profiles, text, names)
     return found.filter(border.known()).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
 
 

@@ -2,10 +2,12 @@
 
 import random
 import re
+import tracemalloc
 
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
@@ -247,3 +249,38 @@ def test_empty_tables(spark, tmp_path):
             assert function(spark, empty, folder).collect() == []
     assert corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).count() == docs.count()
     assert corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).count() == docs.count()
+
+
+def test_a_task_holds_few_texts_and_little_else(spark, monkeypatch):
+    """Texts reach a task once, and what is made of 2.4 MB of them takes little memory beside them."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("etaoinshrdlu ", k=1000 + rng.randrange(2000))) for _ in range(1200)]
+    docs = spark.createDataFrame([(i, i % 2, t, "en") for i, t in enumerate(texts[:200])], "doc_id long, toxic int, text string, lang string")
+    labels = docs.select("doc_id", "toxic")
+    docs = docs.drop("toxic")
+    model = corpus_pipeline.toxicity.learn(spark, docs, labels)
+    made = []
+    real = type(docs).mapInArrow
+
+    def watched(self, function, *more):
+        made.append((self.columns, [f.dataType.simpleString() for f in self.schema], function))
+        return real(self, function, *more)
+
+    monkeypatch.setattr(type(docs), "mapInArrow", watched)
+    monkeypatch.setattr(corpus_pipeline.toxicity, "learn", lambda *_: model)
+    for stage_of in (corpus_pipeline.drop_toxic, corpus_pipeline.keep_known_languages, corpus_pipeline.drop_contaminated, corpus_pipeline.to_pieces):
+        made.clear()
+        stage_of(spark, docs, FOLDER)
+        columns, types, function = made[-1]
+        # Carried: doc_id, text and lang at most, none of them twice and none within a struct.
+        assert types in (["bigint", "string", "string"], ["bigint", "string"]), stage_of.__name__
+        values = [np.arange(len(texts)), texts, ["en"] * len(texts)][: len(types)]
+        batch = pa.RecordBatch.from_arrays([pa.array(v) for v in values], names=columns)
+        if stage_of is corpus_pipeline.drop_contaminated:
+            continue
+        tracemalloc.start()
+        for out in function(iter([batch])):
+            del out
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+        tracemalloc.stop()
+        assert peak < 64, (stage_of.__name__, peak)

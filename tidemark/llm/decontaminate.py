@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.staging import stage
-from tidemark.llm.common import with_arrays
+from tidemark.llm.common import numbered, with_arrays
 
 WINDOW_WORDS = 10
 # Bytes of item texts in one broadcast block.
@@ -266,6 +266,6 @@ def without_contaminated(
     spark: SparkSession, docs: DataFrame, items: DataFrame, window: int = WINDOW_WORDS, text_column: str = "text"
 ) -> DataFrame:
     """The rows of `docs` in which no window of an item occurs, with the columns of `docs`."""
-    named = docs.select(F.struct(*docs.columns).alias("row"), docs[text_column].alias("text"))
-    found = find_contamination(spark, named, items, window, "text", ["row"])
-    return found.filter(F.size("hits") == 0).select("row.*")
+    shown, names, text = numbered(docs, docs.columns, text_column)
+    found = find_contamination(spark, shown, items, window, text, names)
+    return found.filter(F.size("hits") == 0).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices, with_arrays
+from tidemark.llm.common import SMALL_SLICE_ROWS, slices, with_arrays
 
 DIMENSIONS = 1024
 GRAM = 3
@@ -34,7 +34,7 @@ KNOWN_SHARE, SPREAD_TIMES, LEVEL_TIMES = 0.99, 4.0, 0.5
 # Steps of the logarithm to base 2 in which rows are counted to measure that share.
 STEPS = 32
 # N-gram vectors made at a time.
-GRAMS_AT_A_TIME = 8192
+GRAMS_AT_A_TIME = 2048
 
 
 class Bundler:
@@ -102,7 +102,7 @@ def learn_profiles(docs: DataFrame, label_column: str = "lang", text_column: str
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bundler, sums = Bundler(), {}
-        for part in slices(batches, column=1):
+        for part in slices(batches, SMALL_SLICE_ROWS, column=1):
             labels, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
             names = sorted(set(labels))
             owner = np.array([names.index(x) for x in labels], dtype=np.int64)
@@ -152,7 +152,7 @@ def identify(
 
         return work
 
-    return with_arrays(docs, text_column, start, "lang_pred string, score double, spelled bigint", keep)
+    return with_arrays(docs, text_column, start, "lang_pred string, score double, spelled bigint", keep, SMALL_SLICE_ROWS)
 
 
 @dataclass(frozen=True)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from sentencepiece import SentencePieceProcessor
 
-from tidemark.llm.common import with_arrays
+from tidemark.llm.common import SMALL_SLICE_ROWS, with_arrays
 
 SPACE = "▁"
 # A word is cut before a space mark that follows something else, and before line ends: no piece spans these.
@@ -33,7 +33,7 @@ WORDS = re.compile(f"\n?{SPACE}*[^{SPACE}\n]+|\n|{SPACE}+")
 # Longer words merge one by one with a heap: rounds that merge one pair each would take time of their square.
 ROUND_SYMBOLS = 2048
 # Words that a task remembers; the memory starts anew when it is full.
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 64_000
 NONE = np.iinfo(np.int64).max
 _SHIFT = 32
 _MARK_BYTES = "mark-bytes"
@@ -315,4 +315,4 @@ def encode_and_decode(
 
         return work
 
-    return with_arrays(docs, text_column, start, "ids array<int>, decoded string", keep)
+    return with_arrays(docs, text_column, start, "ids array<int>, decoded string", keep, SMALL_SLICE_ROWS)

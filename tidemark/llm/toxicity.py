@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.staging import stage
-from tidemark.llm.common import slices, with_arrays
+from tidemark.llm.common import SMALL_SLICE_ROWS, numbered, slices, with_arrays
 
 SAMPLE_ROWS = 20_000
 # One labelled row in so many is kept for the calibration.
@@ -47,7 +47,8 @@ NEAR = 3
 SPACED_LETTERS = 4
 # Part of the score that keeps the order of the trees among rows with equal calibrated values.
 ORDER_WEIGHT = 0.01
-MEMORY_WORDS = 400_000
+# Words that a task remembers; the memory starts anew when it is full.
+MEMORY_WORDS = 64_000
 
 # Second person pronouns of the common languages, and characters that stand for letters.
 SECOND_PERSON = (
@@ -280,7 +281,7 @@ def features(spark: SparkSession, docs: DataFrame, lexicon: dict[str, float], te
 
         return work
 
-    return with_arrays(docs, text_column, start, "features array<double>", keep)
+    return with_arrays(docs, text_column, start, "features array<double>", keep, SMALL_SLICE_ROWS)
 
 
 @dataclass
@@ -345,9 +346,9 @@ def score(spark: SparkSession, docs: DataFrame, model: ToxicityModel, text_colum
         rows = docs.select(*carried, F.lit(model.base).alias("score"))
     else:
         trees, calibration = model.fitted.stages
-        packed = docs.select(F.struct(*carried).alias("row"), F.col(text_column).alias("text"))
-        rows = features(spark, packed, model.lexicon, keep=["row"]).withColumn("features", array_to_vector("features"))
+        shown, names, text = numbered(docs, carried, text_column)
+        rows = features(spark, shown, model.lexicon, text, names).withColumn("features", array_to_vector("features"))
         rows = calibration.transform(_with_raw(trees.transform(rows)))
         blended = F.col("calibrated") * (1 - ORDER_WEIGHT) + F.col("raw") * ORDER_WEIGHT
-        rows = rows.select(*[F.col("row")[c].alias(c) for c in carried], F.least(F.greatest(blended, F.lit(0.0)), F.lit(1.0)).alias("score"))
+        rows = rows.select(*[F.col(n).alias(c) for n, c in zip(names, carried)], F.least(F.greatest(blended, F.lit(0.0)), F.lit(1.0)).alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
