@@ -13,7 +13,7 @@ from tidemark.operators import forest, metrics
 from tidemark.operators.model import feature_importances, fit_forest, score
 from tidemark.operators.prep import encode_ordinals, hash_split
 from tidemark.plans.model_registry import LABEL, labelled_features
-from tidemark.plans.model_run import ModelParams, train_model
+from tidemark.plans.model_run import ModelParams, evaluate, train_model
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -116,3 +116,62 @@ def test_deep_forest_is_fitted_on_kept_nodes(spark):
         return [tree.toDebugString.split("\n", 1)[1] for tree in model.trees]
 
     assert splits(kept) == splits(sent)
+
+
+@pytest.fixture(scope="module")
+def noise(spark):
+    """Rows that no shallow tree tells apart, and a forest of them that is fitted some trees at a time."""
+    rows = spark.range(3000).select("id", *[(F.xxhash64("id", F.lit(i)) % 50).cast("double").alias(f"x{i}") for i in range(4)], F.pmod(F.xxhash64("id"), F.lit(2)).cast("int").alias("label"))
+    rows = stage(rows, "noise")
+    return rows, fit_forest(rows, [f"x{i}" for i in range(4)], "label", trees=7, depth=20, most_nodes=4000)
+
+
+def test_large_forest_is_not_held_by_the_driver(spark, noise):
+    """Its trees are written in groups, all of them, no two alike; and it learns as a forest does."""
+    rows, model = noise
+    assert isinstance(model.stages[-1], forest.NodeForest)
+    nodes = model.stages[-1].nodes
+    of_trees = nodes.groupBy("tree").agg(F.count("*").alias("n"), F.sum("threshold").alias("t")).collect()
+    assert sorted(r["tree"] for r in of_trees) == list(range(7)) and len({(r["n"], r["t"]) for r in of_trees}) == 7
+    assert sum(r["n"] for r in of_trees) > 4000
+    # Each group is a written model of at most 4000 nodes, two trees here.
+    assert nodes.groupBy(F.input_file_name()).agg(F.count_distinct("tree").alias("n")).agg(F.max("n")).first()[0] <= 2
+    scored = score(model, rows, ("id", "label"))
+    assert scored.count() == 3000 and scored.filter("label = predicted").count() > 2700
+    assert scored.filter("not score between 0 and 1 or predicted <> cast(score > 0.5 as int)").isEmpty()
+
+
+def test_large_forest_saves_and_ranks(spark, noise):
+    rows, model = noise
+    path = new_path(spark, "model")
+    model.write().save(path)
+    one, two = (score(m, rows, ("id",)).orderBy("id").collect() for m in (model, PipelineModel.load(path)))
+    assert one == two and len(one) == 3000
+    ranked = feature_importances(spark, PipelineModel.load(path)).collect()
+    assert {r["feature"] for r in ranked} == {"x0", "x1", "x2", "x3"} and abs(sum(r["importance"] for r in ranked) - 1) < 1e-9
+
+
+@pytest.mark.parametrize("most_nodes", [1_000_000, 4000])
+def test_stage_of_nodes_scores_as_the_model(spark, noise, most_nodes):
+    rows, _ = noise
+    whole = fit_forest(rows, [f"x{i}" for i in range(4)], "label", trees=5, depth=20)
+    assert not isinstance(whole.stages[-1], forest.NodeForest)
+    staged = stage(forest.forest_nodes(spark, whole), "nodes")
+    walked = PipelineModel([*whole.stages[:-1], forest.NodeForest(staged, most_nodes)])
+    want = {r["id"]: r for r in score(whole, rows, ("id",)).collect()}
+    got = {r["id"]: r for r in score(walked, rows, ("id",)).collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[i]["score"] - want[i]["score"]) < 1e-12 and got[i]["predicted"] == want[i]["predicted"] for i in want)
+    assert walked.transform(rows).select(whole.transform(rows).drop("rawPrediction").columns).count() == 3000
+    assert score(walked, rows.filter("id < 0"), ("id",)).isEmpty()
+
+
+def test_later_day_is_measured_on_a_large_forest(spark, fitted):
+    """All measures of a forest of nodes are those of the model it was read from."""
+    rows, trained = fitted
+    staged = stage(forest.forest_nodes(spark, trained.model), "nodes")
+    walked = PipelineModel([*trained.model.stages[:-1], forest.NodeForest(staged, 40)])
+    words = training_config().words
+    want, got = (evaluate(m, rows, words, LABEL) for m in (trained.model, walked))
+    assert sorted(map(repr, want.confusion.collect())) == sorted(map(repr, got.confusion.collect()))
+    assert sorted(map(repr, want.auc_hard.collect())) == sorted(map(repr, got.auc_hard.collect()))

@@ -2,6 +2,7 @@
 
 The table is what Spark ML saves of the model, so it needs no access to the fitted object and can be kept, queried and
 compared between runs. Scores walk all trees for a batch of rows at a time; importances are one aggregation over nodes.
+A forest too large for the driver is such a table from the start: `NodeForest`.
 """
 
 from __future__ import annotations
@@ -10,14 +11,18 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml import PipelineModel
+from pyspark.broadcast import Broadcast
+from pyspark.ml import Model, PipelineModel
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.param.shared import HasFeaturesCol, HasPredictionCol, HasProbabilityCol
+from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.staging import Stage, new_path, stage
+from tidemark.functions.staging import new_path
 
-# Nodes that are sent to all tasks at a time; larger forests are walked in several passes of whole trees.
-MOST_NODES = 1_000_000
+# Nodes that the driver, or a task that scores, holds at a time. Trees are not cut: a larger one is held alone.
+MOST_NODES = 200_000
 
 
 def forest_nodes(spark: SparkSession, model: PipelineModel) -> DataFrame:
@@ -26,8 +31,11 @@ def forest_nodes(spark: SparkSession, model: PipelineModel) -> DataFrame:
     A row goes to the node `below` if its feature is at most the threshold. Leaves have a null feature. `weight` is the
     training rows that reached a node and `shares` their classes. Only splits by thresholds are understood.
     """
+    forest = model.stages[-1]
+    if isinstance(forest, NodeForest):
+        return forest.nodes
     path = new_path(spark, "forest")
-    model.stages[-1].write().save(path)
+    forest.write().save(path)
     data = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*")
     inner = F.col("leftChild") >= 0
     weight = F.aggregate("impurityStats", F.lit(0.0), lambda a, b: a + b)
@@ -58,44 +66,43 @@ def _passes(nodes: DataFrame, most_nodes: int) -> list[list[int]]:
     return groups
 
 
-def score_by_nodes(rows: DataFrame, nodes: DataFrame, features: Sequence[str], keep: Stage = stage, most_nodes: int = MOST_NODES) -> DataFrame:
-    """`rows` with `shares`, the mean over the trees of the class shares of the leaf that a row comes to.
-
-    Features are cast to double and must not be null. `nodes` is read several times: pass a staged table.
+def _sent(nodes: DataFrame, group: Sequence[int]) -> Broadcast:
+    """The trees of a group as arrays, for all tasks."""
+    table = nodes.filter(F.col("tree").isin(list(group))).orderBy("tree", "node").toArrow()
+    inner = table["feature"].is_valid().to_numpy()
+    tree = table["tree"].to_numpy()
+    first, own = np.searchsorted(tree, tree), np.arange(len(tree))
+    arrays = {
+        "roots": np.flatnonzero(np.r_[True, tree[1:] != tree[:-1]]),
+        "feature": np.where(inner, table["feature"].fill_null(0).to_numpy(), 0).astype(np.int32),
+        "threshold": table["threshold"].fill_null(0.0).to_numpy(),
+        # Places in the table; a leaf is its own child.
+        "below": np.where(inner, first + table["below"].fill_null(0).to_numpy(), own).astype(np.int32),
+        "above": np.where(inner, first + table["above"].fill_null(0).to_numpy(), own).astype(np.int32),
+        "inner": inner,
+        "shares": table["shares"].combine_chunks().flatten().to_numpy().reshape(len(tree), -1),
+    }
+    return nodes.sparkSession.sparkContext.broadcast(arrays)
+
+
+def _walked(plain: DataFrame, nodes: DataFrame, most_nodes: int) -> DataFrame:
+    """(row, x) with `shares`: the mean over the trees of the class shares of the leaf that x comes to.
+
+    The driver gathers one group of trees after the other, and a task holds one group at a time.
     """
-    spark = rows.sparkSession
     groups = _passes(nodes, most_nodes)
     trees = sum(map(len, groups))
-    plain = rows.select(F.struct(*rows.columns).alias("row"), F.array(*[F.col(f).cast("double") for f in features]).alias("x"))
-    sums = plain.withColumn("total", F.lit(None).cast("array<double>"))
-    for group in groups:
-        table = nodes.filter(F.col("tree").isin(group)).orderBy("tree", "node").toArrow()
-        inner = table["feature"].is_valid().to_numpy()
-        tree = table["tree"].to_numpy()
-        first = np.searchsorted(tree, tree)
-        shared = spark.sparkContext.broadcast(
-            {
-                "roots": np.flatnonzero(np.r_[True, tree[1:] != tree[:-1]]),
-                "feature": np.where(inner, table["feature"].fill_null(0).to_numpy(), 0),
-                "threshold": table["threshold"].fill_null(0.0).to_numpy(),
-                # Places in the table; a leaf is its own child.
-                "below": np.where(inner, first + table["below"].fill_null(0).to_numpy(), np.arange(len(tree))),
-                "above": np.where(inner, first + table["above"].fill_null(0).to_numpy(), np.arange(len(tree))),
-                "inner": inner,
-                "shares": np.array(table["shares"].to_pylist(), dtype=np.float64),
-            }
-        )
-
-        def walk(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            forest = shared.value
-            for batch in batches:
-                size = batch.num_rows
-                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(size, -1)
-                classes = forest["shares"].shape[1]
-                before = batch.column(2)
-                total = np.zeros((size, classes))
-                if before.null_count == 0 and size:
-                    total += before.flatten().to_numpy().reshape(size, classes)
+    sent = [_sent(nodes, group) for group in groups]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = batch.num_rows
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(size, -1 if size else 0)
+            total = None
+            for shared in sent:
+                forest = shared.value
+                if total is None:
+                    total = np.zeros((size, forest["shares"].shape[1]))
                 for root in forest["roots"]:
                     at = np.full(size, root)
                     open_rows = np.flatnonzero(forest["inner"][at])
@@ -105,14 +112,25 @@ def score_by_nodes(rows: DataFrame, nodes: DataFrame, features: Sequence[str], k
                         at[open_rows] = np.where(low, forest["below"][here], forest["above"][here])
                         open_rows = open_rows[forest["inner"][at[open_rows]]]
                     total += forest["shares"][at]
-                offsets = pa.array(np.arange(size + 1) * classes, pa.int32())
-                summed = pa.ListArray.from_arrays(offsets, pa.array(total.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), summed], names=["row", "x", "total"])
+                if len(sent) > 1:
+                    # A worker would keep every group it has read; it is read from its local copy again.
+                    del forest
+                    vars(shared).pop("_value", None)
+            total = np.zeros((size, 0)) if total is None else total / trees
+            offsets = pa.array(np.arange(size + 1) * total.shape[1], pa.int32())
+            shares = pa.ListArray.from_arrays(offsets, pa.array(total.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), shares], names=["row", "x", "shares"])
+
+    return plain.mapInArrow(walk, plain.withColumn("shares", F.lit(None).cast("array<double>")).schema)
+
 
-        sums = sums.mapInArrow(walk, sums.schema)
-        if len(groups) > 1:
-            sums = keep(sums, "walked")
-    return sums.select("row.*", F.transform("total", lambda s: s / F.lit(float(max(trees, 1)))).alias("shares"))
+def score_by_nodes(rows: DataFrame, nodes: DataFrame, features: Sequence[str], most_nodes: int = MOST_NODES) -> DataFrame:
+    """`rows` with `shares`, the mean over the trees of the class shares of the leaf that a row comes to.
+
+    Features are cast to double and must not be null. `nodes` is read several times: pass a staged table.
+    """
+    plain = rows.select(F.struct(*rows.columns).alias("row"), F.array(*[F.col(f).cast("double") for f in features]).alias("x"))
+    return _walked(plain, nodes, most_nodes).select("row.*", "shares")
 
 
 def importances_by_nodes(nodes: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -126,3 +144,47 @@ def importances_by_nodes(nodes: DataFrame, features: Sequence[str]) -> DataFrame
     shares = names.join(F.broadcast(sums), "feature", "left").select(F.col("name").alias("feature"), F.coalesce("share", F.lit(0.0)).alias("share"))
     shares = shares.select("feature", F.coalesce(F.try_divide("share", F.sum("share").over(every)), F.lit(0.0)).alias("importance"))
     return shares.select(F.row_number().over(order).cast("bigint").alias("position"), "feature", "importance")
+
+
+class NodeForest(Model, HasFeaturesCol, HasProbabilityCol, HasPredictionCol, MLReadable, MLWritable):
+    """A forest as a pipeline stage that knows its trees as a written table of nodes only, so the driver never holds them all."""
+
+    def __init__(self, nodes: DataFrame | None = None, most_nodes: int = MOST_NODES) -> None:
+        super().__init__()
+        self.nodes, self.most_nodes = nodes, most_nodes
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        vector = self.getFeaturesCol()
+        others = [F.col(c) for c in df.columns if c != vector]
+        plain = df.select(F.struct(*others, F.lit(0).alias("_row")).alias("row"), vector_to_array(vector).alias("x"))
+        walked = _walked(plain, self.nodes, self.most_nodes)
+        # The first of equal shares, as in Spark ML.
+        likely = F.array_position("shares", F.array_max("shares")) - 1
+        columns = [array_to_vector("x").alias(vector) if c == vector else F.col(f"row.`{c}`") for c in df.columns]
+        return walked.select(*columns, array_to_vector("shares").alias(self.getProbabilityCol()), likely.cast("double").alias(self.getPredictionCol()))
+
+    def write(self) -> MLWriter:
+        return _NodeForestWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _NodeForestReader()
+
+
+class _NodeForestWriter(MLWriter):
+    def __init__(self, forest: NodeForest) -> None:
+        super().__init__()
+        self.forest = forest
+
+    def saveImpl(self, path: str) -> None:
+        DefaultParamsWriter.saveMetadata(self.forest, path, self.sparkSession, {"most_nodes": self.forest.most_nodes})
+        self.forest.nodes.write.parquet(f"{path}/nodes")
+
+
+class _NodeForestReader(MLReader):
+    def load(self, path: str) -> NodeForest:
+        metadata = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        forest = NodeForest(self.sparkSession.read.parquet(f"{path}/nodes"), metadata["most_nodes"])
+        forest._resetUid(metadata["uid"])
+        DefaultParamsReader.getAndSetParams(forest, metadata)
+        return forest
